@@ -1,0 +1 @@
+"""Intentionally empty: every source and operator of this toolkit is a batch one."""

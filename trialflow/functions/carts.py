@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trialflow.functions.stats import population_stddev
+from trialflow.functions.stats import array_mean, population_stddev
 
 # The cart document's layout. Amounts are cents held as text.
 CART_SCHEMA = (
@@ -67,14 +67,11 @@ def total_of(parts: Column, amount, null_as_zero: bool = False) -> Column:
 
 
 def mean_price(prices: Column) -> Column:
-    """Mean of a price array; 0.0 if it is NULL or empty."""
-    return F.when(
-        F.size(prices) > 0, total_of(prices, lambda price: price) / F.size(prices)
-    ).otherwise(F.lit(0.0))
+    return array_mean(prices)
 
 
-def price_spread(prices: Column) -> Column:
-    return population_stddev(prices)
+def price_spread(prices: Column, mean: Column | None = None) -> Column:
+    return population_stddev(prices, mean)
 
 
 def has_discount(items: Column) -> Column:

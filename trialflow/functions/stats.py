@@ -16,23 +16,31 @@ _ERF_TERMS = 80
 _ERFC_STEPS = 60
 
 
-def population_stddev(values: Column) -> Column:
-    """Population standard deviation of an array<double>; 0.0 if NULL or fewer than two values."""
-    zero = F.lit(0.0)
-    start = F.struct(zero.alias("n"), zero.alias("mean"), zero.alias("m2"))
-
-    def push(acc: Column, x: Column) -> Column:
-        n = acc["n"] + F.lit(1.0)
-        gap = x - acc["mean"]
-        mean = acc["mean"] + gap / n
-        return F.struct(
-            n.alias("n"), mean.alias("mean"), (acc["m2"] + gap * (x - mean)).alias("m2")
-        )
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def array_mean(values: Column) -> Column:
+    """Mean of an array<double>; 0.0 if it is NULL or empty."""
+    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(F.size(values) > 0, total / F.size(values)).otherwise(F.lit(0.0))
+
+
+def population_stddev(values: Column, mean: Column | None = None) -> Column:
+    """Population standard deviation of an array<double>; 0.0 if NULL or fewer than two values.
+
+    ``mean`` may name a column that already holds the array's mean.
+    """
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["n"] >= 2, F.sqrt(acc["m2"] / acc["n"])).otherwise(zero)
+    def spread(mean: Column) -> Column:
+        squares = F.aggregate(
+            values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)
+        )
+        return F.sqrt(squares / F.size(values))
 
-    return F.coalesce(F.aggregate(values, start, push, finish), zero)
+    deviation = spread(mean) if mean is not None else let(array_mean(values), spread)
+    return F.when(F.size(values) >= 2, deviation).otherwise(F.lit(0.0))
 
 
 def lift_pct(control: Column, target: Column) -> Column:
@@ -74,55 +82,79 @@ def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
 
 def _beta_tail(t2: Column, df: Column) -> Column:
     """I_x(df/2, 1/2) at x = df / (df + t^2)."""
-    a, b = df / 2, F.lit(0.5)
-    x, y = df / (df + t2), t2 / (df + t2)
-    front = F.exp(_log_inverse_beta_half(a) + a * F.log(x) + b * F.log(y))
-    return F.when(
-        x < (a + 1) / (a + b + 2), front * _beta_fraction(a, b, x) / a
-    ).otherwise(F.lit(1.0) - front * _beta_fraction(b, a, y) / b)
+    half = F.lit(0.5)
+
+    def tail(v: Column) -> Column:
+        a, x, y = v["a"], v["x"], v["y"]
+        front = F.exp(_log_inverse_beta_half(a) + a * F.log(x) + half * F.log(y))
+        return F.when(
+            x < (a + 1) / (a + 1.5 + 1), front * _beta_fraction(a, half, x) / a
+        ).otherwise(F.lit(1.0) - front * _beta_fraction(half, a, y) * 2)
+
+    return let(
+        F.struct(
+            (df / 2).alias("a"), (df / (df + t2)).alias("x"), (t2 / (df + t2)).alias("y")
+        ),
+        tail,
+    )
 
 
 def erfc(x: Column) -> Column:
     """Complementary error function for x >= 0."""
-    x2 = x * x
-    series = F.aggregate(
-        F.sequence(F.lit(1), F.lit(_ERF_TERMS)),
-        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
-        lambda acc, n: F.struct(
-            (acc["term"] * 2 * x2 / (2 * n + 1)).alias("term"),
-            (acc["total"] + acc["term"] * 2 * x2 / (2 * n + 1)).alias("total"),
-        ),
-        lambda acc: acc["total"],
-    )
-    near = F.lit(1.0) - F.lit(2 / math.sqrt(math.pi)) * x * F.exp(-x2) * series
-    fraction = F.aggregate(
-        F.sequence(F.lit(_ERFC_STEPS), F.lit(1), F.lit(-1)),
-        F.lit(1.0),
-        lambda f, k: F.lit(1.0) + k / (2 * x2) / f,
-    )
-    far = F.exp(-x2) / (x * F.lit(math.sqrt(math.pi))) / fraction
-    return F.when(x < 2.5, near).otherwise(far)
+
+    def series(x: Column) -> Column:
+        def add(acc: Column, n: Column) -> Column:
+            return let(
+                acc["term"] * 2 * x * x / (2 * n + 1),
+                lambda term: F.struct(
+                    term.alias("term"), (acc["total"] + term).alias("total")
+                ),
+            )
+
+        total = F.aggregate(
+            F.sequence(F.lit(1), F.lit(_ERF_TERMS)),
+            F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total")),
+            add,
+            lambda acc: acc["total"],
+        )
+        return F.lit(1.0) - F.lit(2 / math.sqrt(math.pi)) * x * F.exp(-x * x) * total
+
+    def fraction(x: Column) -> Column:
+        below = F.aggregate(
+            F.sequence(F.lit(_ERFC_STEPS), F.lit(1), F.lit(-1)),
+            F.lit(1.0),
+            lambda f, k: F.lit(1.0) + k / (2 * x * x) / f,
+        )
+        return F.exp(-x * x) / (x * F.lit(math.sqrt(math.pi))) / below
+
+    return let(x, lambda x: F.when(x < 2.5, series(x)).otherwise(fraction(x)))
 
 
 def _normal_tail(t2: Column, df: Column) -> Column:
     """Two-sided tail by the normal deviate that matches t (Hill, CACM algorithm 395, 1970)."""
+
+    def deviate(v: Column) -> Column:
+        y, b = v["y"], v["b"]
+        correction = (((-0.4 * y - 3.3) * y - 24) * y - 85.5) / (0.8 * y * y + 100 + b)
+        return ((correction + y + 3) / b + 1) * F.sqrt(y)
+
     a = df - 0.5
-    b = 48 * a * a
-    y = a * F.log1p(t2 / df)
-    correction = (((-0.4 * y - 3.3) * y - 24) * y - 85.5) / (0.8 * y * y + 100 + b)
-    z = ((correction + y + 3) / b + 1) * F.sqrt(y)
+    z = let(F.struct((a * F.log1p(t2 / df)).alias("y"), (48 * a * a).alias("b")), deviate)
     return erfc(z / F.lit(math.sqrt(2.0)))
 
 
 def student_t_two_sided_p(t: Column, df: Column) -> Column:
     """P(|T| >= |t|) for Student's t with ``df`` degrees of freedom; NULL unless df > 0."""
-    t = t.cast("double")
-    df = df.cast("double")
-    t2 = t * t
-    return (
-        F.when(t.isNull() | df.isNull() | (df <= 0) | F.isnan(t), F.lit(None).cast("double"))
-        .when(t2 == 0, F.lit(1.0))
-        .when(t2 == F.lit(float("inf")), F.lit(0.0))
-        .when(df > NORMAL_FROM_DF, _normal_tail(t2, df))
-        .otherwise(_beta_tail(t2, df))
-    )
+
+    def tail(v: Column) -> Column:
+        t2, df = v["t2"], v["df"]
+        return (
+            F.when(t2.isNull() | (df > 0).isNull() | (df <= 0) | F.isnan(t2), None)
+            .when(t2 == 0, F.lit(1.0))
+            .when(t2 == F.lit(float("inf")), F.lit(0.0))
+            .when(df > NORMAL_FROM_DF, _normal_tail(t2, df))
+            .otherwise(_beta_tail(t2, df))
+        )
+
+    t, df = t.cast("double"), df.cast("double")
+    return let(F.struct((t * t).alias("t2"), df.alias("df")), tail)

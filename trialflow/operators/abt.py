@@ -58,6 +58,7 @@ def build_abt(
     tz_col: str | None = None,
     legacy_null_bucket: bool = False,
     hot_rows: int = HOT_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Join orders to their three dimensions and add context and history columns.
 
@@ -68,7 +69,7 @@ def build_abt(
     broadcast and their history is computed in ordered chunks.
     """
     restaurant = Dim(restaurants, "merchant_id", "id", RESTAURANT_COLUMNS)
-    hot = skew.find_hot_keys(orders, ["customer_id"], hot_rows)
+    hot = skew.find_hot_keys(orders, ["customer_id"], hot_rows, chunk_rows)
     if not hot.n_keys:
         rows = _with_history(_joined(orders, restaurant, consumers, assignment))
     else:

@@ -40,7 +40,6 @@ def cart_features(df: DataFrame, items: str = "items", null_as_zero: bool = Fals
                 "_quantity": fn.total_of(cart, lambda item: item["quantity"], null_as_zero),
                 "mean_item_price": fn.mean_price(prices),
                 "max_item_price": F.array_max(prices),
-                "item_price_spread": fn.price_spread(prices),
                 "recomputed_total": fn.total_of(
                     parts, lambda part: part["total_value"], null_as_zero
                 ),
@@ -53,6 +52,7 @@ def cart_features(df: DataFrame, items: str = "items", null_as_zero: bool = Fals
         .withColumns(
             {
                 "item_quantity": F.col("_quantity").try_cast("int"),
+                "item_price_spread": fn.price_spread(prices, F.col("mean_item_price")),
                 "max_item_share_pct": fn.share_pct(
                     F.col("max_item_price"), F.col("recomputed_total")
                 ),

@@ -27,13 +27,14 @@ def customer_history(
     amount: str,
     tiebreak: Sequence[str],
     hot_rows: int = HOT_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Add the previous order's time, calendar days since it, and the mean of prior amounts.
 
     The current order is not part of its own mean, so a first order has NULL for all three.
     ``df`` should be a stored table: hot keys are looked up in it first.
     """
-    hot = skew.find_hot_keys(df, [key], hot_rows)
+    hot = skew.find_hot_keys(df, [key], hot_rows, chunk_rows)
     if not hot.n_keys:
         return plain_history(df, key, ts, amount, tiebreak)
     cold_rows, rest = skew.split_by_heat(df, hot)
@@ -50,12 +51,13 @@ def visit_ordinal(
     tiebreak: Sequence[str],
     out: str = "restaurant_visit_no",
     hot_rows: int = HOT_ROWS,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Add the position of each row among the rows of its ``keys``, oldest first.
 
     NULL keys form one group. ``df`` should be a stored table, as above.
     """
-    hot = skew.find_hot_keys(df, keys, hot_rows)
+    hot = skew.find_hot_keys(df, keys, hot_rows, chunk_rows)
     if not hot.n_keys:
         return plain_ordinal(df, keys, ts, tiebreak, out)
     cold_rows, rest = skew.split_by_heat(df, hot)
@@ -117,7 +119,7 @@ def chunked_history(
             F.lag("_last", 1).over(by_chunk).alias("_carry_last"),
         )
     )
-    carry = skew.if_small(carry, hot.n_keys + skew.n_chunks(hot))
+    carry = skew.if_small(carry, hot.n_keys + hot.n_chunks)
     zero = F.lit(0)
     n = F.coalesce("_n", zero) + F.coalesce("_carry_n", zero)
     total = F.coalesce("_sum", F.lit(0.0)) + F.coalesce("_carry_sum", F.lit(0.0))

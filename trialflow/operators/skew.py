@@ -25,7 +25,11 @@ class HotKeys:
     values: DataFrame
     n_keys: int
     n_rows: int
-    limit: int
+    chunk_rows: int
+
+    @property
+    def n_chunks(self) -> int:
+        return max(2, -(-self.n_rows // self.chunk_rows))
 
 
 def if_small(df: DataFrame, n_rows: int) -> DataFrame:
@@ -40,17 +44,26 @@ def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str
     )
 
 
-def find_hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> HotKeys:
+def find_hot_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    hot_rows: int = HOT_ROWS,
+    chunk_rows: int | None = None,
+) -> HotKeys:
     """Count rows per key (combined before the shuffle) and store the keys above ``hot_rows``.
 
-    There can be no more than ``rows / hot_rows`` of them.
+    There can be no more than ``rows / hot_rows`` of them. Their rows will be cut into chunks of
+    about ``chunk_rows``, by default as many as an ordinary key may have.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    hot = stage(counts.where(F.col("n_rows") > hot_rows), "hot-keys")
+    hot = counts.where(F.col("n_rows") > hot_rows)
     size = hot.agg(
         F.count(F.lit(1)).alias("n_keys"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")
     ).first()
-    return HotKeys(tuple(keys), hot.select(*keys), size["n_keys"], size["n_rows"], hot_rows)
+    values = hot.select(*keys)
+    if size["n_keys"]:
+        values = stage(values, "hot-keys")
+    return HotKeys(tuple(keys), values, size["n_keys"], size["n_rows"], chunk_rows or hot_rows)
 
 
 def split_by_heat(df: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame]:
@@ -84,12 +97,8 @@ def in_ordered_chunks(df: DataFrame, order: Sequence[str], hot: HotKeys) -> Data
     """Number the rows' chunks along ``order``: chunk 0 precedes chunk 1, and so on.
 
     The range exchange samples the full order, so even a single key is cut into chunks of about
-    ``hot.limit`` rows. The result is stored: a chunk number is a fact only once the exchange
+    ``hot.chunk_rows`` rows. The result is stored: a chunk number is a fact only once the exchange
     that gave it will never run again.
     """
-    ranged = df.repartitionByRange(n_chunks(hot), *order)
+    ranged = df.repartitionByRange(hot.n_chunks, *order)
     return stage(ranged.withColumn("_chunk", F.spark_partition_id()), "chunks")
-
-
-def n_chunks(hot: HotKeys) -> int:
-    return max(2, -(-hot.n_rows // hot.limit))

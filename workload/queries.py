@@ -32,6 +32,7 @@ from workload.feeds import table
 END, LAUNCH, EVENTS_END = "2001-11-04", "1995-03-31", "2024-01-31"
 # Low enough that ordinary test data has hot keys: customers and event users respectively.
 HOT_CUSTOMER_ROWS, HOT_EVENT_ROWS = 40, 60
+CUSTOMER_CHUNK, EVENT_CHUNK = 200, 1000
 # Off every simple fraction, so that no exact mean sits on the edge of a grid cell.
 GRID_OFFSET = 0.4142135623
 
@@ -236,7 +237,7 @@ def abt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def abt_hot_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _abt(spark, sf_dir, hot_rows=HOT_CUSTOMER_ROWS)
+    rows = _abt(spark, sf_dir, hot_rows=HOT_CUSTOMER_ROWS, chunk_rows=CUSTOMER_CHUNK)
     return gridded(abt_projection(rows), **_ABT_GRID)
 
 
@@ -244,17 +245,19 @@ def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History per event user, users above the limit being computed in ordered chunks."""
     pin_utc(spark)
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value")
-    return gridded(
-        customer_history(events, "user_id", "ts", "value", ["event_id"], HOT_EVENT_ROWS),
-        prior_mean_spend=4,
+    history = customer_history(
+        events, "user_id", "ts", "value", ["event_id"], HOT_EVENT_ROWS, EVENT_CHUNK
     )
+    return gridded(history, prior_mean_spend=4)
 
 
 def event_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     pin_utc(spark)
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
     keys = ["user_id", "event_type"]
-    return visit_ordinal(events, keys, "ts", ["event_id"], "nth", HOT_EVENT_ROWS // 4)
+    return visit_ordinal(
+        events, keys, "ts", ["event_id"], "nth", HOT_EVENT_ROWS // 4, EVENT_CHUNK
+    )
 
 
 def event_day_period(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,129 @@
+import math
+from statistics import mean, stdev
+
+import pytest
+
+from trialflow.operators import experiment as ex
+from trialflow.operators.users import KPI_COLUMNS
+
+COLUMNS = ["customer_id", "arm", *KPI_COLUMNS, "is_retained_7d", "is_retained_14d"]
+SCHEMA = (
+    "customer_id string, arm string, revenue double, order_count bigint, avg_ticket double, "
+    "avg_items double, avg_days_to_reorder double, new_restaurant_orders bigint, "
+    "new_restaurant_rate_pct double, is_retained_7d int, is_retained_14d int"
+)
+
+
+def user(i, arm, revenue, orders=1, gap=None):
+    buys = orders > 0
+    return (f"u{i}", arm, revenue, orders, revenue / 2, 1.0 * i, gap, int(buys), 50.0 + i, i % 2, int(buys))
+
+
+CONTROL = [user(i, "control", x, o, g) for i, (x, o, g) in enumerate([(10.0, 1, None), (14.0, 2, 3.0), (0.0, 0, None), (20.0, 2, 8.0)])]
+TARGET = [user(9 + i, "target", x, o, g) for i, (x, o, g) in enumerate([(30.0, 3, 1.0), (22.0, 1, None), (25.0, 2, 4.0)])]
+
+
+@pytest.fixture(scope="module")
+def spine(spark):
+    return spark.createDataFrame(CONTROL + TARGET, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def filled(spine):
+    return spine.na.fill(0)
+
+
+def results_of(df):
+    return {r["metric"]: r for r in df.collect()}
+
+
+def test_summary_has_the_measures_of_every_metric(filled):
+    summary = ex.kpi_summary(filled)
+    assert len(summary.columns) == 1 + 18
+    row = summary.where("arm = 'control'").first()
+    assert row["revenue_per_user"] == pytest.approx(mean([10, 14, 0, 20]))
+    assert row["stddev_revenue_per_user"] == pytest.approx(stdev([10, 14, 0, 20]))
+    assert row["retention_14d_pct"] == 75.0
+    assert row["days_to_reorder"] == pytest.approx(11 / 4)
+    assert (row["users"], row["converted_users"]) == (4, 3)
+
+
+def test_segment_summary(filled):
+    summary = ex.kpi_summary(filled.selectExpr("*", "'new' s"), ["s", "arm"], ex.SEGMENT_METRICS)
+    assert len(summary.columns) == 2 + 14
+    assert summary.count() == 2
+
+
+def test_conditional_summary_counts_its_population(spine):
+    row = ex.kpi_summary(spine, conditional=True).where("arm = 'control'").first()
+    assert (row["days_to_reorder"], row["n_days_to_reorder"]) == (5.5, 2)
+    assert row["n_revenue_per_user"] == row["users"] == 4
+
+
+def pooled(a, b):
+    n, m = len(a), len(b)
+    sp2 = ((n - 1) * stdev(a) ** 2 + (m - 1) * stdev(b) ** 2) / (n + m - 2)
+    return (mean(b) - mean(a)) / math.sqrt(sp2 * (1 / n + 1 / m)), n + m - 2
+
+
+def test_pooled_t(filled):
+    row = results_of(ex.ttest_from_summary(ex.kpi_summary(filled), ex.ARM_METRICS))["revenue_per_user"]
+    t, df = pooled([10, 14, 0, 20], [30, 22, 25])
+    assert row["t_stat"] == pytest.approx(t) and row["df"] == df == 5
+    assert row["lift_pct"] == pytest.approx((77 / 3 - 11) / 11 * 100)
+    assert (row["n_control"], row["n_target"], row["status"]) == (4, 3, "tested")
+    assert row["significant"] == (row["p_value"] < 0.05)
+    assert row["label"] == "Revenue per user"
+
+
+def test_welch_t(filled):
+    summary = ex.kpi_summary(filled)
+    row = results_of(ex.ttest_from_summary(summary, [ex.REVENUE], equal_var=False))["revenue_per_user"]
+    a, b = stdev([10, 14, 0, 20]) ** 2 / 4, stdev([30, 22, 25]) ** 2 / 3
+    assert row["t_stat"] == pytest.approx((77 / 3 - 11) / math.sqrt(a + b))
+    assert row["df"] == pytest.approx((a + b) ** 2 / (a * a / 3 + b * b / 2))
+
+
+def test_swapping_arms_flips_t_and_keeps_p(filled):
+    summary = ex.kpi_summary(filled)
+    one = results_of(ex.ttest_from_summary(summary, ex.ARM_METRICS))
+    two = results_of(ex.ttest_from_summary(summary, ex.ARM_METRICS, "target", "control"))
+    for name in one:
+        if one[name]["status"] == "tested":
+            assert one[name]["t_stat"] == pytest.approx(-two[name]["t_stat"])
+            assert one[name]["p_value"] == pytest.approx(two[name]["p_value"])
+
+
+def test_n_follows_the_population(spine, filled):
+    own = results_of(ex.ttest_from_summary(ex.kpi_summary(filled), ex.ARM_METRICS))
+    legacy = results_of(ex.ttest_from_summary(ex.kpi_summary(filled), ex.ARM_METRICS, legacy_n=True))
+    conditional = results_of(ex.ttest_from_summary(ex.kpi_summary(spine, conditional=True), ex.ARM_METRICS))
+    assert own["avg_ticket"]["n_control"] == 4
+    assert legacy["avg_ticket"]["n_control"] == 3 and legacy["revenue_per_user"]["n_control"] == 4
+    assert conditional["days_to_reorder"]["n_control"] == 2
+
+
+def test_segments_take_their_own_n_unless_legacy(filled):
+    summary = ex.kpi_summary(filled.selectExpr("*", "'new' s"), ["s", "arm"], ex.SEGMENT_METRICS)
+    own = results_of(ex.ttest_from_summary(summary, ex.SEGMENT_TESTS, by=["s"]))["revenue_per_user"]
+    legacy = results_of(ex.ttest_from_summary(summary, ex.SEGMENT_TESTS, by=["s"], legacy_n=True))["revenue_per_user"]
+    assert (own["n_control"], own["n_target"]) == (4, 3)
+    assert (legacy["n_control"], legacy["n_target"]) == (4, 4)
+
+
+def test_rows_that_cannot_be_tested_say_so(spark):
+    data = [(f"a{i}", "control", 0.0, 1, 1.0, 1.0, 1.0, 1, 1.0, 0, 0) for i in range(3)]
+    data += [("b", "target", 5.0, 1, 1.0, 1.0, 1.0, 1, 1.0, 0, 0)]
+    df = spark.createDataFrame(data, SCHEMA)
+    row = results_of(ex.ttest_from_summary(ex.kpi_summary(df), [ex.REVENUE]))["revenue_per_user"]
+    assert row["status"] == "no_spread_or_n" and row["lift_pct"] == math.inf
+    assert row["t_stat"] is row["p_value"] is row["significant"] is None
+    lone = ex.kpi_summary(df.where("arm = 'control'"))
+    row = results_of(ex.ttest_from_summary(lone, [ex.REVENUE]))["revenue_per_user"]
+    assert row["status"] == "missing_arm" and row["target_mean"] is None
+
+
+def test_arm_sizes_and_period(spark, filled):
+    assert {tuple(r) for r in ex.arm_sizes(filled).collect()} == {("control", 4), ("target", 3)}
+    df = spark.sql("select timestamp'2019-01-01' order_created_at union all select timestamp'2019-01-31'")
+    assert [str(v)[:10] for v in ex.order_period(df).first()] == ["2019-01-01", "2019-01-31"]

@@ -86,6 +86,7 @@ def silver(
     tz_col: str | None = None,
     enforce: bool = True,
     hot_rows: int = HOT_ROWS,
+    chunk_rows: int | None = None,
     legacy_names: bool = False,
 ) -> DataFrame:
     """Check the bronze tables, clean the orders and store the base table."""
@@ -105,7 +106,15 @@ def silver(
     if enforce:
         q.enforce(spark.table(report_name))
     abt = abt_projection(
-        build_abt(cleaned, consumers, restaurants, assignment, tz_col, hot_rows=hot_rows)
+        build_abt(
+            cleaned,
+            consumers,
+            restaurants,
+            assignment,
+            tz_col,
+            hot_rows=hot_rows,
+            chunk_rows=chunk_rows,
+        )
     )
     write_table(
         legacy_abt(abt) if legacy_names else abt, f"{layout.silver}.{layout.abt}"

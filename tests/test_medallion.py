@@ -92,7 +92,7 @@ def test_raw_feeds_to_gold(spark, stored):
 
 def test_quality_report_is_stored(spark, stored):
     report = {r["check"]: r for r in spark.table("silver_own.quality_report").collect()}
-    assert report["raw orders: (order_id) is unique"]["violations"] == 1
+    assert report["orders: (order_id) is unique"]["violations"] == 1
     assert report["cleaned orders: (order_id) is unique"]["passed"]
 
 

@@ -112,6 +112,14 @@ def test_lifecycle(spark):
     assert bounded["future"] == "other" and bounded["active"] == "active"
 
 
+def test_profile_is_kpis_and_segment_from_one_grouping(abt):
+    profile = u.user_profile(abt, REF)
+    parts = by_customer(u.user_kpis(abt)), by_customer(u.lifecycle_segment(abt, REF))
+    for customer, row in by_customer(profile).items():
+        assert tuple(row) == (*parts[0][customer], parts[1][customer]["lifecycle_segment"])
+    assert plan_of(u.user_profile(abt, REF)).count("Exchange") == 1
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("abcdef"), st.integers(-20, 200)), max_size=40))
 def test_every_buyer_is_in_one_segment(spark, pairs):

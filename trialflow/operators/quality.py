@@ -21,7 +21,7 @@ def table_checks(
     not_null: Sequence[str] = (),
     at_least: Mapping[str, float] | None = None,
     unique: Sequence[str] = (),
-    severity: str = ERROR,
+    unique_severity: str = ERROR,
 ) -> DataFrame:
     """All row-level and key checks of one table, in one pass over it.
 
@@ -42,10 +42,11 @@ def table_checks(
         result = per_key.agg(*sums, F.count(F.lit(1)).alias("keys"))
     else:
         result = df.agg(*totals)
-    found = {rule: F.col(f"v{i}") for i, rule in enumerate(rules)}
+    found = [(rule, ERROR, F.col(f"v{i}")) for i, rule in enumerate(rules)]
     if unique:
-        found[f"{name}: ({', '.join(unique)}) is unique"] = F.col("total") - F.col("keys")
-    return _unpivot(result, found, severity)
+        rule = f"{name}: ({', '.join(unique)}) is unique"
+        found.append((rule, unique_severity, F.col("total") - F.col("keys")))
+    return _unpivot(result, found)
 
 
 def check_not_null(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
@@ -73,11 +74,13 @@ def check_single_arm(
         F.count_if(F.col("n") > 1).alias("repeated"),
         F.count_if(F.col("lo") != F.col("hi")).alias("torn"),
     )
-    found = {
-        "assignment: one row per user": F.col("repeated"),
-        "assignment: one arm per user": F.col("torn"),
-    }
-    return _unpivot(result, found, ERROR)
+    return _unpivot(
+        result,
+        [
+            ("assignment: one row per user", ERROR, F.col("repeated")),
+            ("assignment: one arm per user", ERROR, F.col("torn")),
+        ],
+    )
 
 
 def orphans(fact: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None) -> DataFrame:
@@ -97,7 +100,7 @@ def check_referential(
     """A warning that counts the keys without a dimension row."""
     dim_key = dim_key or key
     result = _matches(fact, dim, key, dim_key)
-    return _unpivot(result, {name: F.col("total") - F.col("matched")}, WARNING)
+    return _unpivot(result, [(name, WARNING, F.col("total") - F.col("matched"))])
 
 
 def coverage(
@@ -192,7 +195,7 @@ def _matches(left: DataFrame, right: DataFrame, key: str, right_key: str) -> Dat
     )
 
 
-def _unpivot(result: DataFrame, found: Mapping[str, Column], severity: str) -> DataFrame:
+def _unpivot(result: DataFrame, found: Sequence[tuple[str, str, Column]]) -> DataFrame:
     rows = F.array(
         *[
             F.struct(
@@ -202,7 +205,7 @@ def _unpivot(result: DataFrame, found: Mapping[str, Column], severity: str) -> D
                 F.col("total").alias("total"),
                 (violations == 0).alias("passed"),
             )
-            for check, violations in found.items()
+            for check, severity, violations in found
         ]
     )
     return result.select(F.inline(rows))

@@ -32,22 +32,7 @@ def experiment_users(assignment: DataFrame, arms: Sequence[str] = ARMS) -> DataF
 
 def user_kpis(abt: DataFrame) -> DataFrame:
     """One row per customer with orders; every measure is combined before the shuffle."""
-    first_visit = F.col("restaurant_visit_no") == 1
-    return (
-        abt.groupBy("customer_id")
-        .agg(
-            F.sum("order_total_amount").alias("revenue"),
-            F.count("order_id").alias("order_count"),
-            F.avg("order_total_amount").alias("avg_ticket"),
-            F.avg("item_quantity").alias("avg_items"),
-            F.avg("days_since_last_order").alias("avg_days_to_reorder"),
-            F.count_if(first_visit).alias("new_restaurant_orders"),
-        )
-        .withColumn(
-            "new_restaurant_rate_pct",
-            F.try_divide("new_restaurant_orders", "order_count") * F.lit(100.0),
-        )
-    )
+    return _with_rate(abt.groupBy("customer_id").agg(*_kpis()))
 
 
 def retention_flags(abt: DataFrame, windows: Sequence[int] = (7, 14)) -> DataFrame:
@@ -91,26 +76,68 @@ def lifecycle_segment(
     as recent; ``bounded`` leaves such orders out of the count.
     """
     today = F.lit(reference_date).cast("date")
+    activity = abt.groupBy("customer_id").agg(*_activity(today, active_days, bounded))
+    segment = _segment(today, new_days, active_min, risk)
+    return activity.select("customer_id", segment.alias("lifecycle_segment"))
+
+
+def user_profile(
+    abt: DataFrame,
+    reference_date: str,
+    new_days: int = 7,
+    active_days: int = 30,
+    active_min: int = 2,
+    risk: tuple[int, int] = (31, 90),
+    bounded: bool = False,
+) -> DataFrame:
+    """``user_kpis`` and ``lifecycle_segment`` together, from a single grouping of the orders."""
+    today = F.lit(reference_date).cast("date")
+    measures = [*_kpis(), *_activity(today, active_days, bounded)]
+    segment = _segment(today, new_days, active_min, risk)
+    return _with_rate(abt.groupBy("customer_id").agg(*measures)).select(
+        "customer_id", *KPI_COLUMNS, segment.alias("lifecycle_segment")
+    )
+
+
+def _kpis() -> list[Column]:
+    return [
+        F.sum("order_total_amount").alias("revenue"),
+        F.count("order_id").alias("order_count"),
+        F.avg("order_total_amount").alias("avg_ticket"),
+        F.avg("item_quantity").alias("avg_items"),
+        F.avg("days_since_last_order").alias("avg_days_to_reorder"),
+        F.count_if(F.col("restaurant_visit_no") == 1).alias("new_restaurant_orders"),
+    ]
+
+
+def _with_rate(kpis: DataFrame) -> DataFrame:
+    rate = F.try_divide("new_restaurant_orders", "order_count") * F.lit(100.0)
+    return kpis.withColumn("new_restaurant_rate_pct", rate)
+
+
+def _activity(today: Column, active_days: int, bounded: bool) -> list[Column]:
     age = F.date_diff(today, F.col("order_created_at"))
     recent = (age <= active_days) & (age >= 0) if bounded else age <= active_days
-    activity = abt.groupBy("customer_id").agg(
+    return [
         F.min("order_created_at").alias("first_order_at"),
         F.max("order_created_at").alias("last_order_at"),
         F.count_if(recent).alias("recent_orders"),
-    )
-    segment = (
+    ]
+
+
+def _segment(today: Column, new_days: int, active_min: int, risk: tuple[int, int]) -> Column:
+    return (
         F.when(F.col("first_order_at") >= F.date_sub(today, new_days), "new")
         .when(F.col("recent_orders") >= active_min, "active")
         .when(F.date_diff(today, "last_order_at").between(*risk), "at_risk")
         .otherwise("other")
     )
-    return activity.select("customer_id", segment.alias("lifecycle_segment"))
 
 
-def with_zeros(df: DataFrame, metrics: DataFrame, flags: DataFrame) -> DataFrame:
+def with_zeros(spine: DataFrame) -> DataFrame:
     """Replace NULL measures by 0, as for users who never ordered."""
-    measures = [c for c in metrics.columns + flags.columns if c != "customer_id"]
-    return df.na.fill({name: 0 for name in measures if not name.endswith("_at")})
+    measures = [c for c in spine.columns if c in KPI_COLUMNS or c.startswith("is_retained_")]
+    return spine.na.fill({name: 0 for name in measures})
 
 
 def user_spine(
@@ -123,7 +150,7 @@ def user_spine(
     """
     flags = flags.drop("first_order_at", "second_order_at")
     spine = users.join(kpis, "customer_id", "left").join(flags, "customer_id", "left")
-    return with_zeros(spine, kpis, flags) if zero_fill else spine
+    return with_zeros(spine) if zero_fill else spine
 
 
 def segment_spine(

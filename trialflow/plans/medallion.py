@@ -69,8 +69,14 @@ def bronze(
 def bronze_checks(orders, consumers, restaurants, assignment) -> list[DataFrame]:
     """What must hold of the raw tables. Repeated orders are only a warning: they get merged."""
     return [
-        q.table_checks(orders, "orders", ["order_id"], {"order_total_amount": 0}),
-        q.table_checks(orders, "raw orders", unique=["order_id"], severity=q.WARNING),
+        q.table_checks(
+            orders,
+            "orders",
+            ["order_id"],
+            {"order_total_amount": 0},
+            ["order_id"],
+            unique_severity=q.WARNING,
+        ),
         q.table_checks(consumers, "consumers", ["customer_id"], unique=["customer_id"]),
         q.table_checks(restaurants, "restaurants", unique=["id"]),
         q.table_checks(assignment, "assignment", ["customer_id"]),
@@ -131,12 +137,13 @@ def user_metrics(
 ) -> DataFrame:
     """The one per-user table both summaries read: arm, KPIs, flags, lifecycle segment.
 
-    Users without orders have no segment.
+    KPIs and segment come from one grouping of the base table. Users without orders have no
+    segment. ``rules`` are those of ``lifecycle_segment``.
     """
-    users = u.experiment_users(assignment)
-    spine = u.user_spine(users, u.user_kpis(abt), u.retention_flags(abt), zero_fill)
-    segments = u.lifecycle_segment(abt, reference_date, **rules)
-    return spine.join(segments, "customer_id", "left")
+    profile = u.user_profile(abt, reference_date, **rules)
+    return u.user_spine(
+        u.experiment_users(assignment), profile, u.retention_flags(abt), zero_fill
+    )
 
 
 def gold(

@@ -499,7 +499,7 @@ ORACLE: dict[str, str] = {
               "count(*) FILTER (order_id IS NULL)", "count(*)", "feed"),
         check("orders: order_total_amount >= 0", "error",
               "count(*) FILTER (order_total_amount < 0)", "count(*)", "feed"),
-        check("raw orders: (order_id) is unique", "warning",
+        check("orders: (order_id) is unique", "warning",
               f"(count(*) - {_DISTINCT_ORDERS})", "count(*)", "feed"),
         check("consumers: customer_id is not null", "error",
               "count(*) FILTER (customer_id IS NULL)", "count(*)", "consumers"),
@@ -584,6 +584,9 @@ ORACLE: dict[str, str] = {
     "user_spine": with_("spine")
     + f"""SELECT customer_id, arm, {_KPI_COLUMNS}, is_retained_7d, is_retained_14d
         FROM spine""",
+    "user_metrics": with_("spine", "segments")
+    + f"""SELECT customer_id, arm, {_KPI_COLUMNS}, is_retained_7d, is_retained_14d,
+        lifecycle_segment FROM spine LEFT JOIN segments USING (customer_id)""",
     "kpi_summary_by_arm": with_("spine") + summary("spine", "arm"),
     "kpi_summary_conditional": with_("conditional")
     + summary("conditional", "arm", counts=True),

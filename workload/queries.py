@@ -20,6 +20,7 @@ from trialflow.operators.abt import abt_projection, build_abt
 from trialflow.operators.carts import CART_FEATURES, cart_features
 from trialflow.operators.dedup import dedup_latest, duplicate_sample, find_duplicates
 from trialflow.operators.history import customer_history, visit_ordinal
+from trialflow.plans import medallion
 from trialflow.plans.medallion import bronze_checks, clean_orders
 from trialflow.session import pin_utc, scratch_path, stage
 from trialflow.sources import schemas
@@ -312,6 +313,12 @@ def user_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gridded(_spine(spark, sf_dir), **_KPI_GRID)
 
 
+def user_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold stage's per-user table."""
+    rows, feed = _gold_input(spark, sf_dir), feeds.load(spark, sf_dir)
+    return gridded(medallion.user_metrics(rows, feed.assignment, END), **_KPI_GRID)
+
+
 def _grid_summary(df: DataFrame) -> DataFrame:
     digits = {"revenue_per_user": 1, "avg_ticket": 2}
     digits |= {f"stddev_{name}": n for name, n in digits.items()}
@@ -432,6 +439,7 @@ ALL = {
     "user_kpis": user_kpis,
     "retention_flags": retention_flags,
     "user_spine": user_spine,
+    "user_metrics": user_metrics,
     "kpi_summary_by_arm": kpi_summary_by_arm,
     "kpi_summary_conditional": kpi_summary_conditional,
     "lifecycle_segments": lifecycle_segments,

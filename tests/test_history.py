@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,8 +10,7 @@ from hypothesis import strategies as st
 from trialflow.operators import skew
 from trialflow.operators.abt import ABT_COLUMNS, abt_projection, build_abt
 from trialflow.operators.history import (
-    chunked_history,
-    chunked_ordinal,
+    chunked_features,
     customer_history,
     plain_history,
     plain_ordinal,
@@ -103,8 +103,12 @@ def test_one_key_with_one_time_is_still_cut(spark):
     chunked = skew.in_ordered_chunks(df, ["g", "t", "id"], hot)
     sizes = [r["count"] for r in chunked.groupBy("_chunk").count().collect()]
     assert len(sizes) > 10 and max(sizes) < 100
-    out = chunked_history(chunked, "g", "t", "x", ["id"], hot)
-    check(chunked_ordinal(out, ["g", "r"], "t", ["id"], "nth").collect(), data)
+    out = chunked_features(chunked, "t", ["id"], "g", "x", ["g", "r"], "nth")
+    check(out.collect(), data)
+    # One exchange by (key, chunk) for the rows, one for the sums per chunk, and no join.
+    plan = plan_of(out.select("*"))
+    assert "Join" not in plan
+    assert len(re.findall(r"Exchange hashpartitioning\(g#\d+, _chunk#\d+, ", plan)) == 2
 
 
 def test_hot_keys_are_counted_and_split_null_safe(spark):

@@ -59,6 +59,7 @@ def build_abt(
     legacy_null_bucket: bool = False,
     hot_rows: int = HOT_ROWS,
     chunk_rows: int | None = None,
+    all_columns: bool = True,
 ) -> DataFrame:
     """Join orders to their three dimensions and add context and history columns.
 
@@ -66,9 +67,15 @@ def build_abt(
     first: from there on everything (two dimensions, both history windows) is keyed by
     customer, so one exchange on ``customer_id`` serves all of it. Customers with more than
     ``hot_rows`` orders, NULL included, are set apart beforehand: their few dimension rows are
-    broadcast and their history is computed in ordered chunks.
+    broadcast and their history is computed in ordered chunks. ``all_columns=False`` leaves
+    out the restaurant columns that the stored table does not have.
     """
-    restaurant = Dim(restaurants, "merchant_id", "id", RESTAURANT_COLUMNS)
+    columns = {
+        column: name
+        for column, name in RESTAURANT_COLUMNS.items()
+        if all_columns or name in (*ABT_COLUMNS, "restaurant_average_ticket")
+    }
+    restaurant = Dim(restaurants, "merchant_id", "id", columns)
     hot = skew.find_hot_keys(orders, ["customer_id"], hot_rows, chunk_rows)
     if not hot.n_keys:
         rows = _with_history(_joined(orders, restaurant, consumers, assignment))
@@ -100,15 +107,16 @@ def abt_projection(enriched: DataFrame) -> DataFrame:
 
 
 _ORDER = ("order_created_at", ["order_id"])
+_VISITS = ["customer_id", "restaurant_id"]
 
 
-def _joined(orders, restaurant, consumers, assignment, small=(False, False)) -> DataFrame:
+def _joined(orders, restaurant, consumers, assignment) -> DataFrame:
     return star_join(
         orders,
         [
             restaurant,
-            Dim(consumers, "customer_id", "customer_id", CONSUMER_COLUMNS, small[0]),
-            Dim(assignment, "customer_id", "customer_id", ASSIGNMENT_COLUMNS, small[1]),
+            Dim(consumers, "customer_id", "customer_id", CONSUMER_COLUMNS),
+            Dim(assignment, "customer_id", "customer_id", ASSIGNMENT_COLUMNS),
         ],
     )
 
@@ -116,22 +124,20 @@ def _joined(orders, restaurant, consumers, assignment, small=(False, False)) ->
 def _with_history(df: DataFrame) -> DataFrame:
     ts, tiebreak = _ORDER
     df = history.plain_history(df, "customer_id", ts, "order_total_amount", tiebreak)
-    return history.plain_ordinal(
-        df, ["customer_id", "restaurant_id"], ts, tiebreak, "restaurant_visit_no"
-    )
+    return history.plain_ordinal(df, _VISITS, ts, tiebreak, "restaurant_visit_no")
 
 
 def _hot_history(orders, restaurant, consumers, assignment, hot) -> DataFrame:
+    """History first, on the narrow rows; then the two dimensions, of hot customers only."""
     ts, tiebreak = _ORDER
-    some_consumers, few_consumers = skew.only_hot(consumers, "customer_id", hot)
-    some_arms, few_arms = skew.only_hot(assignment, "customer_id", hot)
-    joined = _joined(
-        orders, restaurant, some_consumers, some_arms, (few_consumers, few_arms)
+    chunked = skew.in_ordered_chunks(
+        star_join(orders, [restaurant]), ["customer_id", ts, *tiebreak], hot
     )
-    chunked = skew.in_ordered_chunks(joined, ["customer_id", ts, *tiebreak], hot)
-    df = history.chunked_history(
-        chunked, "customer_id", ts, "order_total_amount", tiebreak, hot
+    df = history.chunked_features(
+        chunked, ts, tiebreak, "customer_id", "order_total_amount", _VISITS
     )
-    return history.chunked_ordinal(
-        df, ["customer_id", "restaurant_id"], ts, tiebreak, "restaurant_visit_no"
-    ).drop("_chunk")
+    dims = [(consumers, CONSUMER_COLUMNS), (assignment, ASSIGNMENT_COLUMNS)]
+    for dim, wanted in dims:
+        some, few = skew.only_hot(dim, "customer_id", hot)
+        df = star_join(df, [Dim(some, "customer_id", "customer_id", wanted, few)])
+    return df

@@ -1,23 +1,25 @@
 """What came before an order: previous time, mean spend so far, nth visit to the restaurant.
 
 Each feature is an ordered window per key. A key whose rows would not fit one task is cut into
-ordered chunks instead: windows run inside (key, chunk), and what earlier chunks add up to is
-carried in by a join with one row per (key, chunk). Both ways give the same values.
+ordered chunks instead. Every chunk but a key's first starts with an opening row that holds what
+the earlier chunks add up to, so a window inside (key, chunk) sees all that came before. Both
+ways give the same values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialflow.functions.context import days_between
 from trialflow.operators import skew
-from trialflow.operators.skew import HOT_ROWS, HotKeys
+from trialflow.operators.skew import HOT_ROWS
 
-HISTORY = ["previous_order_at", "days_since_last_order", "prior_mean_spend"]
-_START, _PREVIOUS = Window.unboundedPreceding, -1
+_START, _PREVIOUS, _CURRENT = Window.unboundedPreceding, -1, Window.currentRow
+# Order of the rows of a chunk: openings of visit groups, the opening of the key, orders.
+_VISIT_OPENING, _KEY_OPENING, _ORDER = 0, 1, 2
 
 
 def customer_history(
@@ -37,10 +39,10 @@ def customer_history(
     hot = skew.find_hot_keys(df, [key], hot_rows, chunk_rows)
     if not hot.n_keys:
         return plain_history(df, key, ts, amount, tiebreak)
-    cold_rows, rest = skew.split_by_heat(df, hot)
+    ordinary, rest = skew.split_by_heat(df, hot)
     chunked = skew.in_ordered_chunks(rest, [key, ts, *tiebreak], hot)
-    return plain_history(cold_rows, key, ts, amount, tiebreak).unionByName(
-        chunked_history(chunked, key, ts, amount, tiebreak, hot).drop("_chunk")
+    return plain_history(ordinary, key, ts, amount, tiebreak).unionByName(
+        chunked_features(chunked, ts, tiebreak, key=key, amount=amount)
     )
 
 
@@ -60,10 +62,10 @@ def visit_ordinal(
     hot = skew.find_hot_keys(df, keys, hot_rows, chunk_rows)
     if not hot.n_keys:
         return plain_ordinal(df, keys, ts, tiebreak, out)
-    cold_rows, rest = skew.split_by_heat(df, hot)
+    ordinary, rest = skew.split_by_heat(df, hot)
     chunked = skew.in_ordered_chunks(rest, [*keys, ts, *tiebreak], hot)
-    return plain_ordinal(cold_rows, keys, ts, tiebreak, out).unionByName(
-        chunked_ordinal(chunked, keys, ts, tiebreak, out).drop("_chunk")
+    return plain_ordinal(ordinary, keys, ts, tiebreak, out).unionByName(
+        chunked_features(chunked, ts, tiebreak, visit_keys=keys, visit_no=out)
     )
 
 
@@ -89,66 +91,94 @@ def plain_ordinal(
     return df.withColumn(out, F.row_number().over(by_time))
 
 
-def chunked_history(
-    df: DataFrame, key: str, ts: str, amount: str, tiebreak: Sequence[str], hot: HotKeys
+def chunked_features(
+    df: DataFrame,
+    ts: str,
+    tiebreak: Sequence[str],
+    key: str | None = None,
+    amount: str | None = None,
+    visit_keys: Sequence[str] = (),
+    visit_no: str = "restaurant_visit_no",
 ) -> DataFrame:
-    by_time = Window.partitionBy(key, "_chunk").orderBy(ts, *tiebreak)
-    before = by_time.rowsBetween(_START, _PREVIOUS)
-    local = df.withColumns(
+    """History by ``key`` and ordinals by ``visit_keys`` of a stored table cut by ``_chunk``.
+
+    If ``key`` leads ``visit_keys``, all windows run on the one exchange by (key, chunk).
+    """
+    rows = df.withColumns(
         {
-            "_lag": F.lag(ts, 1).over(by_time),
-            "_position": F.row_number().over(by_time),
-            "_sum": F.sum(amount).over(before),
-            "_n": F.count(amount).over(before),
+            "_kind": F.lit(_ORDER),
+            "_ts": F.col(ts),
+            "_amount": F.col(amount) if amount else F.lit(None).cast("double"),
+            "_amounts": F.col(amount).isNotNull().cast("bigint") if amount else F.lit(0),
+            "_visits": F.lit(1).cast("bigint"),
         }
     )
+    if key:
+        rows = rows.unionByName(_key_openings(df, key, ts, amount), allowMissingColumns=True)
+    if visit_keys:
+        rows = rows.unionByName(_visit_openings(df, visit_keys), allowMissingColumns=True)
+    order = ["_kind", "_ts", *tiebreak]
+    added: dict[str, Column] = {}
+    if key:
+        by_time = Window.partitionBy(key, "_chunk").orderBy(*order)
+        before = by_time.rowsBetween(_START, _PREVIOUS)
+        rows = rows.withColumns(
+            {
+                "_previous": F.lag("_ts", 1).over(by_time),
+                "_total": F.sum("_amount").over(before),
+                "_count": F.sum("_amounts").over(before),
+            }
+        )
+        previous = F.col("_previous")
+        added["previous_order_at"] = previous
+        added["prior_mean_spend"] = F.when(
+            F.col("_count") > 0, F.col("_total") / F.col("_count")
+        )
+        added["days_since_last_order"] = days_between(previous, F.col(ts))
+    if visit_keys:
+        by_visit = Window.partitionBy(*visit_keys, "_chunk").orderBy(*order)
+        so_far = F.sum("_visits").over(by_visit.rowsBetween(_START, _CURRENT))
+        rows = rows.withColumn("_so_far", so_far)
+        added[visit_no] = F.col("_so_far").cast("int")
+    kept = [name for name in df.columns if name != "_chunk"]
+    return rows.where(F.col("_kind") == _ORDER).select(
+        *kept, *[column.alias(name) for name, column in added.items()]
+    )
+
+
+def _key_openings(df: DataFrame, key: str, ts: str, amount: str) -> DataFrame:
+    """Per (key, chunk): last time, sum and count of the amounts of all earlier chunks.
+
+    Amounts and times are combined per chunk first, so a key has one row per chunk here.
+    """
     by_chunk = Window.partitionBy(key).orderBy("_chunk")
     earlier = by_chunk.rowsBetween(_START, _PREVIOUS)
-    carry = (
+    return (
         df.groupBy(key, "_chunk")
         .agg(
-            F.sum(amount).alias("_total"),
-            F.count(amount).alias("_count"),
             F.max(ts).alias("_last"),
+            F.sum(amount).alias("_sum"),
+            F.count(amount).alias("_n"),
         )
         .select(
-            F.col(key).alias(f"_carry_{key}"),
-            F.col("_chunk").alias("_carry__chunk"),
-            F.sum("_total").over(earlier).alias("_carry_sum"),
-            F.sum("_count").over(earlier).alias("_carry_n"),
-            F.lag("_last", 1).over(by_chunk).alias("_carry_last"),
+            key,
+            "_chunk",
+            F.lag("_last", 1).over(by_chunk).alias("_ts"),
+            F.sum("_sum").over(earlier).alias("_amount"),
+            F.sum("_n").over(earlier).alias("_amounts"),
         )
-    )
-    carry = skew.if_small(carry, hot.n_keys + hot.n_chunks)
-    zero = F.lit(0)
-    n = F.coalesce("_n", zero) + F.coalesce("_carry_n", zero)
-    total = F.coalesce("_sum", F.lit(0.0)) + F.coalesce("_carry_sum", F.lit(0.0))
-    previous = F.when(F.col("_position") == 1, F.col("_carry_last")).otherwise(F.col("_lag"))
-    joined = local.join(carry, skew.same_key(local, carry, [key, "_chunk"], "_carry_"), "left")
-    return joined.select(
-        *df.columns,
-        previous.alias("previous_order_at"),
-        F.when(n > 0, total / n).alias("prior_mean_spend"),
-        days_between(previous, F.col(ts)).alias("days_since_last_order"),
+        .where(F.col("_amounts").isNotNull())
+        .withColumns({"_kind": F.lit(_KEY_OPENING), "_visits": F.lit(0).cast("bigint")})
     )
 
 
-def chunked_ordinal(
-    df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str], out: str
-) -> DataFrame:
-    by_time = Window.partitionBy(*keys, "_chunk").orderBy(ts, *tiebreak)
-    local = df.withColumn("_position", F.row_number().over(by_time))
+def _visit_openings(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per (keys, chunk): number of visits in all earlier chunks, if any."""
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(_START, _PREVIOUS)
-    carry = (
+    return (
         df.groupBy(*keys, "_chunk")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(
-            *[F.col(name).alias(f"_carry_{name}") for name in [*keys, "_chunk"]],
-            F.sum("_rows").over(earlier).alias("_carry_rows"),
-        )
-    )
-    joined = local.join(
-        carry, skew.same_key(local, carry, [*keys, "_chunk"], "_carry_"), "left"
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(*keys, "_chunk", F.sum("_n").over(earlier).alias("_visits"))
+        .where(F.col("_visits").isNotNull())
+        .withColumns({"_kind": F.lit(_VISIT_OPENING), "_amounts": F.lit(0).cast("bigint")})
     )
-    position = F.col("_position") + F.coalesce("_carry_rows", F.lit(0))
-    return joined.select(*df.columns, position.cast("int").alias(out))

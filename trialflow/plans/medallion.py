@@ -120,6 +120,7 @@ def silver(
             tz_col,
             hot_rows=hot_rows,
             chunk_rows=chunk_rows,
+            all_columns=False,
         )
     )
     write_table(

@@ -33,7 +33,7 @@ from workload.feeds import table
 END, LAUNCH, EVENTS_END = "2001-11-04", "1995-03-31", "2024-01-31"
 # Low enough that ordinary test data has hot keys: customers and event users respectively.
 HOT_CUSTOMER_ROWS, HOT_EVENT_ROWS = 40, 60
-CUSTOMER_CHUNK, EVENT_CHUNK = 200, 1000
+CUSTOMER_CHUNK, EVENT_CHUNK = 1000, 1000
 # Off every simple fraction, so that no exact mean sits on the edge of a grid cell.
 GRID_OFFSET = 0.4142135623
 
@@ -229,7 +229,12 @@ def _abt(spark: SparkSession, sf_dir: str, wanted: list[str] | None = None, **op
     if wanted:
         cleaned = cleaned.select(*[c for c in cleaned.columns if c in wanted])
     return build_abt(
-        stage(cleaned, "orders"), feed.consumers, feed.restaurants, feed.assignment, **options
+        stage(cleaned, "orders"),
+        feed.consumers,
+        feed.restaurants,
+        feed.assignment,
+        all_columns=False,
+        **options,
     )
 
 

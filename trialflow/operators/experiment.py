@@ -181,7 +181,7 @@ def ttest_from_summary(
             }
         )
         .drop("_t", "_df")
-        .withColumn("p_value", student_t_two_sided_p(F.col("t_stat"), F.col("df")))
+        .withColumn("p_value", student_t_two_sided_p("t_stat", "df"))
         .withColumn("significant", F.col("p_value") < alpha)
     )
 

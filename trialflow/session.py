@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+WAREHOUSE_CONF = "spark.sql.warehouse.dir"
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:
@@ -20,20 +20,13 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder.
 
-    It is the one named by ``spark.checkpoint.dir``. Only a local-mode session may go without:
-    there one process owns the disk, so a temporary folder is as shared as it gets.
+    It is the one named by ``spark.checkpoint.dir``; where that is unset, a folder in the
+    session's own table storage, which every executor must reach anyway.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
-    if not context.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="trialflow-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+    return spark.conf.get(WAREHOUSE_CONF).rstrip("/") + "/_staging"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -7,13 +7,44 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialflow.llm import mixing, sharding
+from trialflow.llm import mixing, sharding, urlfilter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the dated list entries that were active when it was fetched."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urlfilter.temporal_list_join(urlfilter.captures_of(pages), urlfilter.entries_of(pages))
+    return judged.withColumnRenamed("capture_id", "page_id")
+
+
+def op2_sql() -> str:
+    """The same, each capture compared with every interval of its patterns."""
+    host = rf"regexp_replace(lower(regexp_extract(url, '{urlfilter._HOST}', 1)), '\.+$', '')"
+    return rf"""WITH p AS (SELECT page_id, url, nullif({host}, '') AS host, string_split({host}, '.') AS labels,
+            list_filter(string_split(regexp_extract(url, '{urlfilter._PATH}', 1), '/'), lambda s: s <> '') AS steps FROM pages),
+        c AS (SELECT DISTINCT page_id, url, host,
+            TIMESTAMP '2024-01-01' + to_minutes(((page_id * 7919) % (366 * 1440))::INT) AS fetched_at,
+            CASE WHEN host IS NULL THEN NULL ELSE
+                list_transform(range(1, len(labels) + 1), lambda i: array_to_string(labels[i:], '.'))
+                || list_transform(range(1, len(steps) + 1), lambda i: host || '/' || array_to_string(steps[1:i], '/')) END AS patterns FROM p),
+        e AS (
+            SELECT DISTINCT 'hosts' AS list, host AS pattern, 'block' AS action, DATE '2024-01-01' + to_months((page_id * 3 % 12)::INT) AS at FROM c WHERE page_id % 5 = 0
+            UNION SELECT 'hosts', host, 'remove', DATE '2024-01-01' + to_months((page_id * 5 % 12)::INT) FROM c WHERE page_id % 7 = 0
+            UNION SELECT 'paths', patterns[-1], 'allow', DATE '2024-01-01' + to_months((page_id * 7 % 12)::INT) FROM c WHERE page_id % 11 = 0),
+        o AS (SELECT list, pattern, at, max(action) AS action FROM e WHERE pattern IS NOT NULL GROUP BY ALL),
+        v AS (SELECT *, lead(at) OVER (PARTITION BY list, pattern ORDER BY at) AS until FROM o),
+        a AS (SELECT c.page_id, c.url, c.fetched_at, v.list, v.pattern, v.action FROM (SELECT *, unnest(patterns) AS pattern FROM c) c
+            JOIN v ON v.pattern = c.pattern AND v.action <> 'remove' AND v.at <= c.fetched_at AND (v.until IS NULL OR c.fetched_at < v.until)),
+        r AS (SELECT *, count(*) OVER w AS n_active, row_number() OVER (PARTITION BY page_id, url, fetched_at
+            ORDER BY -length(pattern), action <> 'allow', list, pattern, action) AS k FROM a WINDOW w AS (PARTITION BY page_id, url, fetched_at))
+        SELECT c.page_id, c.url, c.fetched_at, coalesce(r.action, 'none') AS verdict, r.pattern, r.list, coalesce(r.n_active, 0) AS n_active
+        FROM c LEFT JOIN r ON c.page_id = r.page_id AND c.url = r.url AND c.fetched_at = r.fetched_at AND r.k = 1"""
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt into 40 shards whose row counts are at most one apart."""
     crc = F.coalesce(F.crc32("text"), F.lit(0)).cast("long")
@@ -62,8 +93,12 @@ def op8_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_sharding": op7_sharding, "op8_mixing": op8_mixing}
+    return {
+        "op2_url_filters": op2_url_filters,
+        "op7_sharding": op7_sharding,
+        "op8_mixing": op8_mixing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": op8_sql()}
+    return {"op2_url_filters": op2_sql(), "op8_mixing": op8_sql()}

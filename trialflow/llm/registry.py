@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialflow.llm import mixing, sharding, urlfilter
+from trialflow.llm import mixing, sharding, urlfilter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,19 +32,33 @@ def op2_sql() -> str:
                 list_transform(range(1, len(labels) + 1), lambda i: array_to_string(labels[i:], '.'))
                 || list_transform(range(1, len(steps) + 1), lambda i: host || '/' || array_to_string(steps[1:i], '/')) END AS patterns FROM p),
         e AS (
-            SELECT DISTINCT 'hosts' AS list, host AS pattern, 'block' AS action, DATE '2024-01-01' + to_months((page_id * 3 % 12)::INT) AS at FROM c WHERE page_id % 5 = 0
+            SELECT DISTINCT 'hosts' AS list, host AS pattern, 'block' AS action, DATE '2024-01-01' + to_months((page_id * 3 % 12)::INT) AS day FROM c WHERE page_id % 5 = 0
             UNION SELECT 'hosts', host, 'remove', DATE '2024-01-01' + to_months((page_id * 5 % 12)::INT) FROM c WHERE page_id % 7 = 0
             UNION SELECT 'paths', patterns[-1], 'allow', DATE '2024-01-01' + to_months((page_id * 7 % 12)::INT) FROM c WHERE page_id % 11 = 0),
-        o AS (SELECT list, pattern, at, max(action) AS action FROM e WHERE pattern IS NOT NULL GROUP BY ALL),
-        v AS (SELECT *, lead(at) OVER (PARTITION BY list, pattern ORDER BY at) AS until FROM o),
+        o AS (SELECT list, pattern, day, max(action) AS action FROM e WHERE pattern IS NOT NULL GROUP BY ALL),
+        v AS (SELECT *, lead(day) OVER (PARTITION BY list, pattern ORDER BY day) AS until FROM o),
         a AS (SELECT c.page_id, c.url, c.fetched_at, v.list, v.pattern, v.action FROM (SELECT *, unnest(patterns) AS pattern FROM c) c
-            JOIN v ON v.pattern = c.pattern AND v.action <> 'remove' AND v.at <= c.fetched_at AND (v.until IS NULL OR c.fetched_at < v.until)),
+            JOIN v ON v.pattern = c.pattern AND v.action <> 'remove' AND v.day <= c.fetched_at AND (v.until IS NULL OR c.fetched_at < v.until)),
         r AS (SELECT *, count(*) OVER w AS n_active, row_number() OVER (PARTITION BY page_id, url, fetched_at
             ORDER BY -length(pattern), action <> 'allow', list, pattern, action) AS k FROM a WINDOW w AS (PARTITION BY page_id, url, fetched_at))
         SELECT c.page_id, c.url, c.fetched_at, coalesce(r.action, 'none') AS verdict, r.pattern, r.list, coalesce(r.n_active, 0) AS n_active
         FROM c LEFT JOIN r ON c.page_id = r.page_id AND c.url = r.url AND c.fetched_at = r.fetched_at AND r.k = 1"""
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through a monolithic archive, its normalised form and back."""
+    return warc.read_archives(warc.archive_pages(read(spark, sf_dir, "pages")), payloads=False).drop("payload", "url")
+
+
+def op5_sql() -> str:
+    return f"""WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        k AS (SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= {warc.REVISIT_BYTES} GROUP BY ALL)
+        SELECT p.page_id, p.payload_bytes, p.payload_digest,
+            CASE WHEN k.kept > p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN k.kept > p.page_id THEN k.kept END AS refers_to
+        FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest AND p.payload_bytes >= {warc.REVISIT_BYTES}"""
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt into 40 shards whose row counts are at most one apart."""
     crc = F.coalesce(F.crc32("text"), F.lit(0)).cast("long")
@@ -95,10 +109,11 @@ def op8_sql() -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filters": op2_url_filters,
+        "op5_warc": op5_warc,
         "op7_sharding": op7_sharding,
         "op8_mixing": op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": op2_sql(), "op8_mixing": op8_sql()}
+    return {"op2_url_filters": op2_sql(), "op5_warc": op5_sql(), "op8_mixing": op8_sql()}

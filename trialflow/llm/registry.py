@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialflow.llm import mixing, sharding, urlfilter, warc
+from trialflow.llm import decontaminate, mixing, sharding, simhash, urlfilter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,6 +45,12 @@ def op2_sql() -> str:
         FROM c LEFT JOIN r ON c.page_id = r.page_id AND c.url = r.url AND c.fetched_at = r.fetched_at AND r.k = 1"""
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with fingerprint and near-duplicate component."""
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through a monolithic archive, its normalised form and back."""
     return warc.read_archives(warc.archive_pages(read(spark, sf_dir, "pages")), payloads=False).drop("payload", "url")
@@ -59,6 +65,11 @@ def op5_sql() -> str:
         FROM p LEFT JOIN k ON p.payload_digest = k.payload_digest AND p.payload_bytes >= {warc.REVISIT_BYTES}"""
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the benchmark items that they overlap."""
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt into 40 shards whose row counts are at most one apart."""
     crc = F.coalesce(F.crc32("text"), F.lit(0)).cast("long")
@@ -109,7 +120,9 @@ def op8_sql() -> str:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filters": op2_url_filters,
+        "op3_simhash": op3_simhash,
         "op5_warc": op5_warc,
+        "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
         "op8_mixing": op8_mixing,
     }

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialflow.llm import decontaminate, mixing, sharding, simhash, urlfilter, warc
+import corpus_pipeline
+from trialflow.llm import decontaminate, mixing, sharding, simhash, toxicity, urlfilter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,6 +52,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their toxicity score; one fold of the labels is never learned from."""
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page through a monolithic archive, its normalised form and back."""
     return warc.read_archives(warc.archive_pages(read(spark, sf_dir, "pages")), payloads=False).drop("payload", "url")
@@ -121,10 +130,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filters": op2_url_filters,
         "op3_simhash": op3_simhash,
+        "op4_toxicity": op4_toxicity,
         "op5_warc": op5_warc,
         "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
         "op8_mixing": op8_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -8,13 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trialflow.llm import decontaminate, mixing, sharding, simhash, toxicity, urlfilter, warc
+from trialflow.llm import decontaminate, mixing, sharding, simhash, topk, toxicity, urlfilter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 100."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return topk.search(topk.build_index(docs), docs.filter("doc_id % 100 = 0"))
+
+
+def op1_sql() -> str:
+    """BM25 of every document that shares a term with a query, without an index."""
+    k1, b = topk.K1, topk.B
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '{mixing.WORD}')) AS word FROM documents),
+        p AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY ALL),
+        s AS (SELECT d.doc_id, coalesce(x.size, 0) AS size FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS size FROM w GROUP BY ALL) x USING (doc_id)),
+        g AS (SELECT count(*) AS n, avg(size) AS average FROM s),
+        f AS (SELECT word, count(*) AS df FROM p GROUP BY word HAVING count(*) >= 2),
+        i AS (SELECT word, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM f, g),
+        q AS (SELECT p.doc_id AS query_id, word, idf FROM p JOIN i USING (word) WHERE p.doc_id % 100 = 0
+            QUALIFY row_number() OVER (PARTITION BY p.doc_id ORDER BY round(tf * idf, 9) DESC, word) <= {topk.QUERY_TERMS}),
+        r AS (SELECT query_id, p.doc_id, round(sum(idf * tf * {k1 + 1} / (tf + {k1} * ({1 - b} + {b} * size / average))), {topk.DIGITS}) AS score
+            FROM q JOIN p USING (word) JOIN s ON p.doc_id = s.doc_id, g GROUP BY ALL)
+        SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank
+        FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10"""
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page against the dated list entries that were active when it was fetched."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
@@ -128,6 +152,7 @@ def op8_sql() -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_topk": op1_topk,
         "op2_url_filters": op2_url_filters,
         "op3_simhash": op3_simhash,
         "op4_toxicity": op4_toxicity,
@@ -140,4 +165,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": op2_sql(), "op5_warc": op5_sql(), "op8_mixing": op8_sql()}
+    return {"op1_topk": op1_sql(), "op2_url_filters": op2_sql(), "op5_warc": op5_sql(), "op8_mixing": op8_sql()}

@@ -17,10 +17,10 @@ from trialflow.session import stage
 #: Labelled documents that the lexicon and the weights are fitted on at most, those with the smallest hash.
 MAX_TRAINING_ROWS = 20_000
 #: Terms that the lexicon has at most, the most telling ones.
-MAX_TERMS = 1000
+MAX_TERMS = 200
 #: A term is in so many toxic training documents at least, and in this share of them ...
 MIN_TOXIC = 5
-MIN_TOXIC_SHARE = 0.005
+MIN_TOXIC_SHARE = 0.02
 #: ... and its odds among toxic documents are so many times those among the others.
 MIN_ODDS = 8.0
 #: Letters of a term from which one and two spelling errors are allowed.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trialflow.llm import decontaminate, mixing, sharding, simhash, topk, toxicity, urlfilter, warc
+from trialflow.llm import decontaminate, mixing, phrases, sharding, simhash, substrings, topk, toxicity, urlfilter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -150,6 +150,16 @@ def op8_sql() -> str:
             AND r.lang IS NOT DISTINCT FROM p.lang AND r.topic IS NOT DISTINCT FROM p.topic"""
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 50-byte strings that a smaller document has."""
+    return substrings.remove_repeats(read(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
+def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 50-word passages that a smaller document has."""
+    return phrases.remove_passages(read(spark, sf_dir, "documents"), texts=False).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
@@ -160,6 +170,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
         "op8_mixing": op8_mixing,
+        "op9_suffix_dedup": op9_suffix_dedup,
+        "op10_repeated_phrases": op10_repeated_phrases,
         "pipeline": corpus_pipeline.run,
     }
 

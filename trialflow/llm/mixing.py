@@ -49,21 +49,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     fitted = cells.withColumn("weight", F.col("tokens").cast("double"))
-    shares = {dim: stage(frame.select("value", "share"), "mix-target") for dim, frame in targets.items()}
+    for dim, frame in targets.items():
+        wanted = frame.select(F.col("value").alias("__value"), (F.col("share") * total).alias(f"__{dim}"))
+        fitted = fitted.join(wanted, F.col(dim).eqNullSafe(F.col("__value")), "left").drop("__value")
+    fitted = stage(fitted, "mix-targets")
     for _ in range(rounds):
-        for dim, share in shares.items():
-            factor = (
-                fitted.groupBy(F.col(dim).alias("__value")).agg(F.sum("weight").alias("__sum"))
-                .join(share, F.col("__value").eqNullSafe(F.col("value")), "left")
-                .select("__value", F.when(F.col("__sum") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("__sum")).otherwise(0.0).alias("__factor"))
-            )
+        for dim in targets:
+            sums = fitted.groupBy(F.col(dim).alias("__value")).agg(F.sum("weight").alias("__sum"))
+            factor = F.when(F.col("__sum") > 0, F.coalesce(f"__{dim}", F.lit(0.0)) / F.col("__sum")).otherwise(0.0)
             fitted = (
-                fitted.join(factor, F.col(dim).eqNullSafe(F.col("__value")))
-                .withColumn("weight", F.col("weight") * F.col("__factor"))
-                .select(*cells.columns, "weight")
+                fitted.join(sums, F.col(dim).eqNullSafe(F.col("__value")))
+                .withColumn("weight", F.col("weight") * factor)
+                .drop("__value", "__sum")
             )
         fitted = stage(fitted, "mix-round")
-    return fitted
+    return fitted.select(*cells.columns, "weight")
 
 
 def calibrated(fitted: DataFrame) -> DataFrame:
@@ -73,6 +73,25 @@ def calibrated(fitted: DataFrame) -> DataFrame:
     return fitted.withColumn("probability", F.round(ratio / most, 9) if most else F.lit(0.0))
 
 
+DIMS = ["source", "lang", "topic"]
+
+
+def _celled(docs: DataFrame, text_col: str, source_col: str, lang_col: str, topic: Column | None) -> DataFrame:
+    """``docs`` with __source, __lang, __topic and __tokens."""
+    counted = docs.withColumn("__tokens", n_tokens(text_col))
+    return counted.withColumns({
+        "__source": F.col(source_col), "__lang": F.col(lang_col), "__topic": topic if topic is not None else genre(F.col("__tokens")),
+    })
+
+
+def cell_chances(rows: DataFrame, targets: dict[str, DataFrame] | None, rounds: int, smoothing: float) -> DataFrame:
+    """(c_source, c_lang, c_topic, probability) of all cells of rows (source, lang, topic, tokens)."""
+    cells = stage(rows.groupBy(*DIMS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
+    wanted = {d: (targets or {}).get(d, smoothed_shares(cells, d, smoothing)) for d in DIMS}
+    fitted = calibrated(rake(cells, wanted, rounds))
+    return stage(fitted.select(*[F.col(d).alias(f"c_{d}") for d in DIMS], "probability"), "mix-chances")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -95,45 +114,37 @@ def mix(
     sampled; repeated rows get the same draw; an empty table gives an empty result; columns other
     than the named are not read, so their names cannot clash.
     """
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"),
-        n_tokens(text_col).alias("tokens"), draw(seed, id_col, text_col).alias("draw"),
-        *([topic.alias("topic")] if topic is not None else []),
-    )
-    if topic is None:
-        rows = rows.withColumn("topic", genre(F.col("tokens")))
-    dims = ["source", "lang", "topic"]
-    rows = stage(rows, "mix-rows")
-    cells = stage(rows.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "mix-cells")
-    wanted = {d: (targets or {}).get(d, smoothed_shares(cells, d, smoothing)) for d in dims}
-    chances = stage(calibrated(rake(cells, wanted, rounds)).select(*[F.col(d).alias(f"c_{d}") for d in dims], "probability"), "mix-chances")
-    same = [F.col(d).eqNullSafe(F.col(f"c_{d}")) for d in dims]
+    celled = _celled(docs, text_col, source_col, lang_col, topic)
+    rows = stage(celled.select(
+        F.col(id_col).alias("id"), *[F.col(f"__{d}").alias(d) for d in DIMS], F.col("__tokens").alias("tokens"), draw(seed, id_col, text_col).alias("draw")
+    ), "mix-rows")
+    chances = cell_chances(rows, targets, rounds, smoothing)
     chance = F.when(F.col("tokens") > 0, F.col("probability")).otherwise(0.0)
-    return rows.join(chances, same).select(
-        "id", *dims, "tokens", chance.alias("probability"), (F.col("draw") < chance).alias("sampled")
+    return rows.join(chances, [F.col(d).eqNullSafe(F.col(f"c_{d}")) for d in DIMS]).select(
+        "id", *DIMS, "tokens", chance.alias("probability"), (F.col("draw") < chance).alias("sampled")
     )
 
 
-def sample_to_mix(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``mix`` samples, all columns kept.
+def sample_to_mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    lang_col: str = "lang",
+    topic: Column | None = None,
+    targets: dict[str, DataFrame] | None = None,
+    rounds: int = ROUNDS,
+    smoothing: float = SMOOTHING,
+    seed: int = 11,
+) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` samples, all columns kept; edge cases as in ``mix``.
 
-    The decision depends on id and text only through the cell and the draw, so it is joined back on
-    the document's cell, and whole texts are not shuffled to find it. Edge cases as in ``mix``.
+    Only the cells' probabilities are joined to the documents, which are read once for the cells'
+    tokens and once for the result.
     """
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    source, lang = options.get("source_col", "source"), options.get("lang_col", "lang")
-    topic = options.get("topic")
-    seed = options.get("seed", 11)
-    chances = (
-        mix(docs, **options).groupBy("source", "lang", "topic").agg(F.max("probability").alias("__probability"))
-        .select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"), "__probability")
-    )
-    chances = stage(chances, "mix-cell-chances")
-    marked = docs.withColumn("__tokens", n_tokens(text_col))
-    marked = marked.withColumn("__own_topic", topic if topic is not None else genre(F.col("__tokens")))
-    same = (
-        F.col(source).eqNullSafe(F.col("__source")) & F.col(lang).eqNullSafe(F.col("__lang"))
-        & F.col("__own_topic").eqNullSafe(F.col("__topic"))
-    )
-    kept = (F.col("__tokens") > 0) & (draw(seed, id_col, text_col) < F.col("__probability"))
-    return marked.join(chances, same).filter(kept).select(*docs.columns)
+    celled = _celled(docs, text_col, source_col, lang_col, topic)
+    rows = celled.select(*[F.col(f"__{d}").alias(d) for d in DIMS], F.col("__tokens").alias("tokens"))
+    chances = cell_chances(rows, targets, rounds, smoothing)
+    kept = (F.col("__tokens") > 0) & (draw(seed, id_col, text_col) < F.col("probability"))
+    same = [F.col(f"__{d}").eqNullSafe(F.col(f"c_{d}")) for d in DIMS]
+    return celled.join(chances, same).filter(kept).select(*docs.columns)

@@ -141,3 +141,22 @@ def test_a_failed_check_stops_the_run(spark, tmp_path):
     assert not spark.catalog.tableExists("silver_broken.orders_abt_final")
     medallion.silver(spark, layout("broken"), enforce=False)
     assert spark.table("silver_broken.orders_abt_final").count() == 400
+
+
+def test_names_may_change_between_runs_on_one_layout(spark, stored):
+    results, registry = stored
+    for legacy in (False, True, False):
+        again = medallion.run(spark, registry, REF, layout("both"), legacy_names=legacy)
+        assert sorted(map(str, again["summary_by_arm"].select(*results["summary_by_arm"].columns).collect())) == sorted(
+            map(str, results["summary_by_arm"].collect())
+        )
+        periods = {r[0] for r in medallion.stored_abt(spark, layout("both")).select("day_period").distinct().collect()}
+        assert periods <= {"morning", "afternoon", "evening", "night"}
+
+
+def test_a_failed_raw_check_leaves_no_cleaned_orders(spark, tmp_path):
+    registry = write_feeds(tmp_path, negative=True)
+    medallion.bronze(spark, registry, layout("bad"))
+    with pytest.raises(Exception):
+        medallion.silver(spark, layout("bad"))
+    assert not spark.catalog.tableExists("silver_bad.orders_cleaned")

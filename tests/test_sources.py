@@ -129,3 +129,20 @@ def test_staged_frames_are_read_from_storage(spark):
     staged = stage(spark.range(5).withColumn("x", F.rand(3)))
     assert staged.collect() == staged.collect()
     assert "FileScan parquet" in staged._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("sensitive, kept", [("false", 2), ("true", None)])
+def test_merging_tells_names_apart_as_the_session_does(spark, sensitive, kept):
+    name = f"default.case_{sensitive}"
+    write_table(spark.createDataFrame([(1, 5)], "id long, A long"), name)
+    before = spark.conf.get("spark.sql.caseSensitive")
+    spark.conf.set("spark.sql.caseSensitive", sensitive)
+    try:
+        write_table(spark.createDataFrame([(1, 2)], "id long, a long"), name, merge_schema=True)
+        row = spark.table(name).first().asDict()
+        assert row["a"] == 2
+        assert row.get("A") is None
+        assert ("A" in row) == (kept is None)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        spark.conf.set("spark.sql.caseSensitive", before)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialflow.operators.skew import if_small
+
 
 def find_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their number of rows."""
@@ -23,14 +25,14 @@ def duplicate_sample(
     """The first ``n`` rows of duplicated keys: keys ascending, newest first within a key.
 
     Each duplicated key brings at least two of the rows, so the n smallest such keys hold the
-    whole answer. Only they are joined back, and at most n rows are broadcast for it.
+    whole answer. Only they are joined back, and broadcast if n is small.
     """
     first_keys = find_duplicates(df, keys).select(*keys).orderBy(*keys).limit(n)
     same_key = F.lit(True)
     for key in keys:
         same_key = same_key & df[key].eqNullSafe(first_keys[key])
     order = [*keys, F.col(ts).desc(), *_tiebreak(df, [*keys, ts], tiebreak)]
-    return df.join(F.broadcast(first_keys), same_key, "left_semi").orderBy(*order).limit(n)
+    return df.join(if_small(first_keys, n), same_key, "left_semi").orderBy(*order).limit(n)
 
 
 def dedup_latest(

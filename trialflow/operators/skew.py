@@ -56,14 +56,11 @@ def find_hot_keys(
     about ``chunk_rows``, by default as many as an ordinary key may have.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    hot = counts.where(F.col("n_rows") > hot_rows)
+    hot = stage(counts.where(F.col("n_rows") > hot_rows), "hot-keys")
     size = hot.agg(
         F.count(F.lit(1)).alias("n_keys"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")
     ).first()
-    values = hot.select(*keys)
-    if size["n_keys"]:
-        values = stage(values, "hot-keys")
-    return HotKeys(tuple(keys), values, size["n_keys"], size["n_rows"], chunk_rows or hot_rows)
+    return HotKeys(tuple(keys), hot.select(*keys), size["n_keys"], size["n_rows"], chunk_rows or hot_rows)
 
 
 def split_by_heat(df: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame]:

@@ -19,7 +19,7 @@ from trialflow.operators.abt import abt_projection, build_abt
 from trialflow.operators.carts import cart_features
 from trialflow.operators.dedup import dedup_latest
 from trialflow.operators.skew import HOT_ROWS
-from trialflow.plans.naming import legacy_abt, legacy_summary, own_names
+from trialflow.plans.naming import legacy_abt, legacy_summary, own_abt, own_names, same_naming
 from trialflow.session import pin_utc
 from trialflow.sources.files import SourceSpec, ingest_all
 from trialflow.sources.tables import ensure_schema, write_table
@@ -103,14 +103,17 @@ def silver(
         for name in ("orders", "consumers", "restaurants", "ab_test_users")
     )
     cleaned_name = f"{layout.silver}.orders_cleaned"
-    write_table(clean_orders(orders, [tz_col] if tz_col else []), cleaned_name)
-    cleaned = spark.table(cleaned_name)
-    checks = bronze_checks(orders, consumers, restaurants, assignment)
-    checks.append(q.table_checks(cleaned, "cleaned orders", unique=["order_id"]))
     report_name = f"{layout.silver}.quality_report"
+    checks = bronze_checks(orders, consumers, restaurants, assignment)
     write_table(q.quality_report(*checks), report_name)
     if enforce:
         q.enforce(spark.table(report_name))
+    write_table(clean_orders(orders, [tz_col] if tz_col else []), cleaned_name)
+    cleaned = spark.table(cleaned_name)
+    checked = q.quality_report(q.table_checks(cleaned, "cleaned orders", unique=["order_id"]))
+    checked.write.mode("append").saveAsTable(report_name)
+    if enforce:
+        q.enforce(checked)
     abt = abt_projection(
         build_abt(
             cleaned,
@@ -130,7 +133,7 @@ def silver(
 
 
 def stored_abt(spark: SparkSession, layout: Layout = Layout()) -> DataFrame:
-    return own_names(spark.table(f"{layout.silver}.{layout.abt}"))
+    return own_abt(spark.table(f"{layout.silver}.{layout.abt}"))
 
 
 def user_metrics(
@@ -163,8 +166,14 @@ def gold(
 
     def store(df: DataFrame, name: str, summary: bool = False) -> DataFrame:
         df = legacy_summary(df) if summary and legacy_names else df
-        write_table(df, f"{layout.gold}.{name}", merge_schema=summary)
-        return own_names(spark.table(f"{layout.gold}.{name}"))
+        table = f"{layout.gold}.{name}"
+        merge = (
+            summary
+            and spark.catalog.tableExists(table)
+            and same_naming(spark.table(table).columns, legacy_names)
+        )
+        write_table(df, table, merge_schema=merge)
+        return own_names(spark.table(table))
 
     per_user = store(user_metrics(abt, assignment, reference_date), "user_metrics")
     by_arm = store(ex.kpi_summary(per_user), layout.by_arm, summary=True)

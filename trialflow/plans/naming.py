@@ -70,5 +70,22 @@ def legacy_summary(summary: DataFrame) -> DataFrame:
 def own_names(df: DataFrame) -> DataFrame:
     """A stored table under this package's column names, whichever names it was stored under."""
     return df.withColumnsRenamed(
-        {stored: own for own, stored in {**ABT_NAMES, **SUMMARY_NAMES}.items()}
+        {
+            stored: own
+            for own, stored in {**ABT_NAMES, **SUMMARY_NAMES}.items()
+            if own not in df.columns
+        }
     )
+
+
+def own_abt(abt: DataFrame) -> DataFrame:
+    """A stored ABT under this package's names and labels."""
+    own = {stored: label for label, stored in DAY_PERIOD_LABELS.items()}
+    labels = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])
+    period = F.col("day_period")
+    return own_names(abt).withColumn("day_period", F.coalesce(labels[period], period))
+
+
+def same_naming(columns: list[str], legacy: bool) -> bool:
+    """Whether a stored summary has the contract names (``legacy``) or this package's."""
+    return (SUMMARY_NAMES["arm"] in columns) == legacy

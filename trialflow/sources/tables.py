@@ -16,17 +16,18 @@ def write_table(df: DataFrame, name: str, merge_schema: bool = False) -> None:
     """Overwrite managed table ``name``.
 
     The new schema replaces the old one. With ``merge_schema`` the columns only the old table
-    has are kept, as NULLs. The format is the session's default source, and the two schema
+    has are kept, as NULLs; names are told apart as the session does. The format is the session's default source, and the two schema
     options are what table formats with schema enforcement ask for; others ignore them.
     """
     spark = df.sparkSession
     if merge_schema and spark.catalog.tableExists(name):
-        known = set(df.columns)
+        same = str if spark.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+        known = {same(column) for column in df.columns}
         df = df.withColumns(
             {
                 f.name: F.lit(None).cast(f.dataType)
                 for f in spark.table(name).schema
-                if f.name not in known
+                if same(f.name) not in known
             }
         )
     option = "mergeSchema" if merge_schema else "overwriteSchema"

@@ -1,0 +1,188 @@
+"""NULLs, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+
+import pytest
+
+from trialflow.llm import decontaminate, mixing, phrases, sharding, simhash, substrings, topk, toxicity, urlfilter, warc
+
+WORDS = "the of and in to anor theren onble hatre ingion edly".split()
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, shard int, key long, word string"
+
+
+def prose(n, seed):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) + rng.choice(["", "", "x", "yz", "q"]) for _ in range(n))
+
+
+PASSAGE = prose(80, 1)
+TEXTS = [
+    (1, PASSAGE + " " + prose(30, 2)), (2, prose(20, 3) + " " + PASSAGE), (3, None), (4, ""), (5, "  \n\t "), (6, "one"),
+    (7, prose(6000, 4)), (8, prose(6000, 4)), (None, PASSAGE), (9, PASSAGE), (9, PASSAGE), (10, "ab" * 90), (11, "Êtes-vous là? " * 30),
+    (12, prose(20, 5) + " " + PASSAGE.replace("the ", "die ", 2)),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "en" if t else None, "s", 1, 0, 0, "w") for i, t in TEXTS], COLUMNS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], COLUMNS)
+
+
+def covered(tokens_of):
+    """Brute force: doc -> (tokens, removed flags), windows compared as they are."""
+    seen, out = {}, []
+    for i, t in TEXTS:
+        tk = tokens_of((t or "").encode())
+        for s in range(len(tk) - 49):
+            if i is not None:
+                seen.setdefault(tuple(tk[s : s + 50]), set()).add(i)
+        out.append((i, tk))
+    for i, tk in out:
+        gone = [False] * len(tk)
+        for s in range(len(tk) - 49):
+            if i is not None and min(seen[tuple(tk[s : s + 50])]) < i:
+                gone[s : s + 50] = [True] * 50
+        yield i, tk, gone
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_suffix_dedup_equals_brute_force(docs, none):
+    want = []
+    for i, tk, gone in covered(lambda b: b):
+        kept = bytes(x for x, g in zip(tk, gone) if not g)
+        spans = sum(g and not before for g, before in zip(gone, [False, *gone]))
+        want.append((i, len(tk), sum(gone), spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace")))
+    assert rows(substrings.remove_repeats(docs)) == sorted(want, key=str)
+    assert any(w[2] for w in want)
+    assert substrings.remove_repeats(none).count() == 0
+
+
+def test_phrase_dedup_equals_brute_force(docs, none):
+    want = []
+    for i, tk, gone in covered(lambda b: b.split()):
+        kept = b" ".join(w for w, g in zip(tk, gone) if not g)
+        want.append((i, len(tk), sum(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
+    assert rows(phrases.remove_passages(docs)) == sorted(want, key=str)
+    assert phrases.remove_passages(none).count() == 0
+
+
+def test_simhash_groups(docs, none):
+    found = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
+    assert found[8]["component_id"] == 7 and found[5]["component_id"] == found[4]["component_id"] == 3
+    assert found[3]["fp"] == 0 and found[6]["component_id"] == 6
+    kept = [r["doc_id"] for r in simhash.one_of_each(docs).collect()]
+    assert sorted(x for x in kept if x is not None) == sorted({r["component_id"] for r in found.values()}) and kept.count(None) == 1
+    assert simhash.one_of_each(docs).columns == docs.columns
+    assert simhash.near_duplicates(none).count() == 0
+
+
+def test_bk_tree_finds_what_a_scan_finds():
+    rng = random.Random(3)
+    values = [rng.getrandbits(12) for _ in range(300)]
+    tree = simhash.BKTree()
+    for v in values:
+        tree.add(v)
+    for q in values[:50]:
+        assert sorted(tree.within(q, 2)) == [k for k, v in enumerate(values) if (v ^ q).bit_count() <= 2]
+
+
+def test_decontamination_tolerates_two_substitutions(spark, docs, none):
+    bench = spark.createDataFrame([(1, PASSAGE), (2, None), (3, ""), (4, "alpha beta gamma")], "item_id long, text string")
+    words = PASSAGE.split()
+    words[3] = words[40] = "zzz"
+    own = spark.createDataFrame([(1, " ".join(words)), (2, "x alpha Beta gamma y"), (3, prose(40, 9)), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.contamination(own, bench).collect()}
+    assert got == {1: [1], 2: [4], 3: [], 4: []}
+    assert [r["doc_id"] for r in decontaminate.without_overlaps(own, bench).orderBy("doc_id").collect()] == [3, 4]
+    assert decontaminate.contamination(docs, bench).count() == len({i for i, _ in TEXTS})
+    assert decontaminate.without_overlaps(none, bench).count() == 0
+    assert decontaminate.contamination(own, bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_sharding_deals_every_row_once(docs, none):
+    got = sharding.shuffle_into_shards(docs, 4).collect()
+    assert len(got) == len(TEXTS)
+    by_shard = {}
+    for r in got:
+        by_shard.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+    sizes = [len(by_shard.get(k, [])) for k in range(4)]
+    assert max(sizes) - min(sizes) <= 1
+    assert sharding.shuffle_into_shards(none, 4).count() == 0
+
+
+def test_mixing_meets_its_targets(spark, none):
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.choice([50, 200, 1500]), rng.choice(["en", "de", None]), rng.choice("abc")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    share = {"a": 0.5, "b": 0.3, "c": 0.2}
+    targets = {"source": spark.createDataFrame(list(share.items()), "value string, share double")}
+    mixed = mixing.mix(docs, targets=targets, rounds=20).collect()
+    mass = {s: sum(r["tokens"] * r["probability"] for r in mixed if r["source"] == s) for s in share}
+    assert all(abs(mass[s] / sum(mass.values()) - share[s]) < 0.01 for s in share)
+    sampled = {r["id"] for r in mixed if r["sampled"]}
+    assert {r["doc_id"] for r in mixing.sample_to_mix(docs, targets=targets, rounds=20).collect()} == sampled
+    assert mixing.mix(none).count() == 0 and mixing.sample_to_mix(none).count() == 0
+
+
+def test_toxicity_catches_misspelling_and_spares_clean_texts(spark, docs, none):
+    automaton = toxicity.TermAutomaton(["idiot", "scum", "worthless"])
+    assert automaton.match("idiot") == (0, "idiot") and automaton.match("id1ot") == (1, "idiot")
+    assert automaton.match("wrthles") == (2, "worthless") and automaton.match("scam") is None and automaton.match("") is None
+    rng = random.Random(2)
+    bad = [(i, prose(30, i) + " you idiot " + prose(10, i + 500) + " scum") for i in range(60)]
+    good = [(i, prose(40, i)) for i in range(60, 300)]
+    own = spark.createDataFrame(bad + good, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(own, labels)
+    assert {"idiot", "scum"} <= set(model.terms)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(own, model).collect()}
+    assert all((scores[i] >= 0.5) == (i < 60) for i in scores)
+    assert toxicity.score(docs, model).count() == len(TEXTS)
+    assert toxicity.not_toxic(none, model).count() == 0
+    assert toxicity.score(docs, toxicity.fit(none, labels.limit(0))).count() == len(TEXTS)
+
+
+def test_warc_round_trip(spark):
+    long_one = "é<p>" * 600
+    pages = spark.createDataFrame(
+        [(1, "http://a.b/c d", long_one), (2, None, long_one), (3, "http://a.b/", None), (4, "x", "short"), (5, "x", "short"), (None, "u", long_one)],
+        "page_id long, url string, html string",
+    )
+    got = {r["page_id"]: r for r in warc.read_archives(warc.archive_pages(pages)).collect()}
+    assert got[1]["record_type"] == "revisit" and got[1]["refers_to"] == 2 and got[1]["payload_bytes"] == len(long_one.encode())
+    assert bytes(got[2]["payload"]).decode() == long_one and got[3]["payload_bytes"] == 0
+    assert got[4]["record_type"] == got[5]["record_type"] == "response" and len(got) == 6
+    assert warc.read_archives(warc.archive_pages(pages.limit(0))).count() == 0
+
+
+def test_url_entries_hold_until_lifted(spark):
+    at = lambda day: f"2024-01-{day:02d} 00:00:00"
+    entries = spark.createDataFrame(
+        [("l", "a.b", "block", at(2)), ("l", "a.b", "remove", at(5)), ("l", "w.a.b/ok", "allow", at(1)), ("l", None, "block", at(1))],
+        "list string, pattern string, action string, at string",
+    ).selectExpr("list", "pattern", "action", "timestamp(at) AS listed_at")
+    captures = spark.createDataFrame(
+        [(1, "http://w.a.b/x", at(1)), (2, "http://w.a.b/x", at(2)), (3, "http://w.a.b/x", at(5)), (4, "http://W.A.B/ok/1", at(3)), (5, None, at(3)), (6, "http://a.b", None)],
+        "capture_id long, url string, at string",
+    ).selectExpr("capture_id", "url", "timestamp(at) AS fetched_at")
+    got = {r["capture_id"]: r["verdict"] for r in urlfilter.temporal_list_join(captures, entries).collect()}
+    assert got == {1: "none", 2: "block", 3: "none", 4: "allow", 5: "none", 6: "none"}
+    assert urlfilter.temporal_list_join(captures.limit(0), entries).count() == 0
+
+
+def test_search_answers_and_edges(docs, none):
+    index = topk.build_index(docs)
+    got = topk.search(index, docs.filter("doc_id IN (1, 3, 7)"), k=3).collect()
+    first = {r["query_id"]: r["doc_id"] for r in got if r["rank"] == 1}
+    assert first[7] == 7 and 3 not in first and all(r["doc_id"] is not None for r in got)
+    assert topk.search(topk.build_index(none), none).count() == 0

@@ -630,3 +630,9 @@ ORACLE: dict[str, str] = {
         control_n_only=True,
     ),
 }
+
+# The whole job, read back from its gold tables, must say what its parts say.
+ORACLE["pipeline_summary_by_arm"] = ORACLE["kpi_summary_by_arm"]
+ORACLE["pipeline_ttest_by_arm"] = ORACLE["ttest_by_arm"]
+ORACLE["pipeline_ttest_by_segment"] = ORACLE["ttest_by_segment"]
+ORACLE["pipeline_integrity"] = ORACLE["experiment_integrity"]

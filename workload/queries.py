@@ -420,7 +420,55 @@ def ttest_by_segment_control_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- the whole job
+
+
+def _run_job(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Feeds written as gzip JSON, gzip CSV and plain CSV, and all stages run from these files."""
+    feed, root = feeds.load(spark, sf_dir), scratch_path(spark, "feeds")
+    unknown = F.lit(None).cast("string")
+    consumers = feed.consumers.withColumns(
+        {"customer_phone_area": unknown, "customer_phone_number": unknown}
+    )
+    feed.orders.write.options(compression="gzip", **JSON_OPTIONS).json(f"{root}/orders")
+    consumers.write.options(compression="gzip", **CSV_OPTIONS).csv(f"{root}/consumers")
+    feed.restaurants.write.options(compression="gzip", **CSV_OPTIONS).csv(f"{root}/restaurants")
+    feed.assignment.write.options(**CSV_OPTIONS).csv(f"{root}/assignment")
+    registry = {
+        "orders": SourceSpec("json", f"{root}/orders", schemas.ORDERS, JSON_OPTIONS, True),
+        "consumers": SourceSpec("csv", f"{root}/consumers", schemas.CONSUMERS, CSV_OPTIONS, True),
+        "restaurants": SourceSpec(
+            "csv", f"{root}/restaurants", schemas.RESTAURANTS, CSV_OPTIONS, True
+        ),
+        "ab_test_users": SourceSpec(
+            "csv", f"{root}/assignment", schemas.AB_TEST_USERS, CSV_OPTIONS
+        ),
+    }
+    layout = medallion.Layout(_new_schema(spark), _new_schema(spark), _new_schema(spark))
+    return medallion.run(spark, registry, END, layout)
+
+
+def job_summary_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid_summary(_run_job(spark, sf_dir)["summary_by_arm"])
+
+
+def job_ttest_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridded(_run_job(spark, sf_dir)["ttest_by_arm"], **_TEST_GRID)
+
+
+def job_ttest_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridded(_run_job(spark, sf_dir)["ttest_by_segment"], **_TEST_GRID)
+
+
+def job_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridded(_run_job(spark, sf_dir)["integrity"], users_with_orders_pct=6)
+
+
 ALL = {
+    "pipeline_summary_by_arm": job_summary_by_arm,
+    "pipeline_ttest_by_arm": job_ttest_by_arm,
+    "pipeline_ttest_by_segment": job_ttest_by_segment,
+    "pipeline_integrity": job_integrity,
     "ingest_json_roundtrip": ingest_json_roundtrip,
     "ingest_csv_roundtrip": ingest_csv_roundtrip,
     "table_write_read": table_write_read,

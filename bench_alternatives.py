@@ -10,11 +10,9 @@ import json
 import os
 import time
 
-import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from trialflow.functions import carts as fn
 from trialflow.operators import experiment as ex
 from trialflow.operators import quality as q
 from trialflow.operators import users as u
@@ -59,17 +57,6 @@ def main() -> None:
     )
     steps = {}
 
-    # Spread of a price array: expression against a row-at-a-time Python function.
-    prices = feed.orders.select(
-        "order_id", fn.unit_prices(fn.price_components(fn.parse_cart(F.col("items")))).alias("p")
-    )
-    prices = stage(prices)
-    spread = F.udf(lambda p: float(np.std(p)) if p and len(p) > 1 else 0.0, "double")
-    steps["price_spread"] = {
-        "ours": best(lambda: drain(prices.select(fn.price_spread(F.col("p"))))),
-        "other": best(lambda: drain(prices.select(spread("p")))),
-    }
-
     # Checks: one pass per table, as one report, against one job per check.
     report = bronze_checks(feed.orders, feed.consumers, feed.restaurants, feed.assignment)
     singles = [
@@ -78,7 +65,11 @@ def main() -> None:
         q.check_unique(feed.orders, "orders", ["order_id"]),
         q.check_not_null(feed.consumers, "consumers", ["customer_id"]),
         q.check_unique(feed.consumers, "consumers", ["customer_id"]),
-        *report[2:],
+        q.check_not_null(feed.assignment, "assignment", ["customer_id"]),
+        q.check_unique(feed.restaurants, "restaurants", ["id"]),
+        q.check_single_arm(feed.assignment),
+        q.check_referential(feed.orders, feed.consumers, "buyers are consumers", "customer_id"),
+        q.check_referential(feed.orders, feed.assignment, "buyers are assigned", "customer_id"),
     ]
     steps["quality_report"] = {
         "ours": best(lambda: q.quality_report(*report).collect()),

@@ -73,6 +73,24 @@ def test_orphans_include_null(orders, people):
     assert report.first()["severity"] == q.WARNING
 
 
+def test_participant_checks_equal_the_single_checks_in_one_grouping(spark, orders, people, arms):
+    nobody = spark.createDataFrame([(None, "target")], "customer_id string, is_target string")
+    more, known = arms.union(nobody), people.union(people.limit(1)).union(nobody.select("customer_id"))
+    for three in ((orders, known, more), (orders.limit(0), people.limit(0), arms.limit(0))):
+        feed, consumers, assignment = three
+        single = q.quality_report(
+            q.table_checks(consumers, "consumers", ["customer_id"], unique=["customer_id"]),
+            q.table_checks(assignment, "assignment", ["customer_id"]),
+            q.check_single_arm(assignment),
+            q.check_referential(feed, consumers, "buyers are consumers", "customer_id"),
+            q.check_referential(feed, assignment, "buyers are assigned", "customer_id"),
+        )
+        together = q.participant_checks(*three)
+        assert rows_of(together) == rows_of(single)
+    plan = plan_of(q.participant_checks(orders, people, arms))
+    assert plan.count("hashpartitioning") == 1
+
+
 def test_coverage(spark, orders, people):
     row = q.coverage(orders, people, "customer_id").first()
     assert tuple(row) == (4, 2, 2, 50.0)

@@ -77,8 +77,34 @@ def test_retention_windows_are_a_parameter(abt):
     assert by_customer(u.retention_flags(abt, (15,)))["late"]["is_retained_15d"] == 1
 
 
-def test_retention_sends_two_rows_per_customer(abt):
-    assert plan_of(u.retention_flags(abt)).count("WindowGroupLimit") == 2
+def test_retention_is_one_grouping_combined_before_the_shuffle(abt):
+    plan = plan_of(u.retention_flags(abt))
+    assert plan.count("Exchange") == 1 and "Window" not in plan and plan.count("HashAggregate") == 2
+
+
+def test_an_order_without_time_comes_first_and_is_never_retained(spark):
+    timeless = [("once", "a", None, 1.0, 1, None, 1), ("twice", "a", None, 1.0, 1, None, 1), ("twice", "b", None, 1.0, 1, None, 1)]
+    dated = [order("once", 20), order("once", 18, gap=2), order("twice", 20)]
+    rows = by_customer(u.retention_flags(spark.createDataFrame(timeless + dated, SCHEMA)))
+    assert rows["once"]["first_order_at"] is None and rows["once"]["second_order_at"] == dated[0][2]
+    assert rows["twice"]["second_order_at"] is None
+    assert not any(r["is_retained_14d"] for r in rows.values())
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(0, 30)), max_size=20))
+def test_retention_equals_ranking_the_orders(spark, pairs):
+    days = {}
+    for c, d in sorted(pairs, key=lambda p: -p[1]):
+        days.setdefault(c, []).append(d)
+    rows = [
+        order(c, d, gap=ds[i - 1] - d if i else None)
+        for c, ds in days.items() for i, d in enumerate(ds)
+    ]
+    got = by_customer(u.retention_flags(spark.createDataFrame(rows, SCHEMA)))
+    assert {c: (r["is_retained_7d"], r["is_retained_14d"]) for c, r in got.items()} == {
+        c: tuple(int(len(ds) > 1 and ds[0] - ds[1] <= n) for n in (7, 14)) for c, ds in days.items()
+    }
 
 
 def test_spine_has_every_user_with_zeros(abt, people):
@@ -112,14 +138,25 @@ def test_lifecycle(spark):
     assert bounded["future"] == "other" and bounded["active"] == "active"
 
 
-def test_profile_is_kpis_and_segment_from_one_grouping(abt):
+def test_profile_is_kpis_segment_and_flags_from_one_grouping(abt):
     profile = u.user_profile(abt, REF)
-    parts = by_customer(u.user_kpis(abt)), by_customer(u.lifecycle_segment(abt, REF))
+    kpis, segments, flags = (
+        by_customer(df) for df in (u.user_kpis(abt), u.lifecycle_segment(abt, REF), u.retention_flags(abt))
+    )
     for customer, row in by_customer(profile).items():
-        assert tuple(row) == (*parts[0][customer], parts[1][customer]["lifecycle_segment"])
+        assert tuple(row) == (
+            *kpis[customer], segments[customer]["lifecycle_segment"], *flags[customer][3:]
+        )
     assert plan_of(u.user_profile(abt, REF)).count("Exchange") == 1
 
 
+def test_users_and_profile_meet_on_one_exchange_each(spark, abt):
+    assignment = spark.createDataFrame([("two", "target")] * 3, "customer_id string, is_target string")
+    spine = u.user_spine(u.experiment_users(assignment), u.user_profile(abt, REF).hint("merge"))
+    assert plan_of(spine).count("Exchange") == 2
+    assert spine.count() == 1
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from("abcdef"), st.integers(-20, 200)), max_size=40))
 def test_every_buyer_is_in_one_segment(spark, pairs):

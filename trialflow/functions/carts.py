@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trialflow.functions.stats import array_mean, population_stddev
-
 # The cart document's layout. Amounts are cents held as text.
 CART_SCHEMA = (
     "array<struct<"
@@ -31,28 +29,30 @@ def money(amount: Column) -> Column:
     return amount["value"].try_cast("double") / F.lit(100.0)
 
 
-def price_components(items: Column) -> Column:
-    """Items and their garnishes as one flat array of (unit_price, total_value)."""
+def unit_prices(items: Column) -> Column:
+    """The unit prices above zero of items and their garnishes, in cart order."""
+
+    def price(part: Column) -> Column:
+        return money(part["unitPrice"])
+
+    def prices(item: Column) -> Column:
+        garnishes = F.coalesce(item["garnishItems"], F.array())
+        return F.concat(F.array(price(item)), F.transform(garnishes, price))
 
-    def component(part: Column) -> Column:
-        return F.struct(
-            money(part["unitPrice"]).alias("unit_price"),
-            money(part["totalValue"]).alias("total_value"),
-        )
+    return F.filter(F.flatten(F.transform(items, prices)), lambda price: price > 0)
 
-    def with_garnishes(item: Column) -> Column:
-        garnishes = F.transform(item["garnishItems"], component)
-        return F.when(
-            item["garnishItems"].isNull(), F.array(component(item))
-        ).otherwise(F.concat(F.array(component(item)), garnishes))
 
-    return F.flatten(F.transform(items, with_garnishes))
+def value_total(items: Column, null_as_zero: bool = False) -> Column:
+    """Sum of the total values of items and their garnishes; NULLs as in ``total_of``."""
+
+    def add(acc: Column, part: Column) -> Column:
+        value = money(part["totalValue"])
+        return acc + (F.coalesce(value, F.lit(0.0)) if null_as_zero else value)
 
+    def add_item(acc: Column, item: Column) -> Column:
+        return F.aggregate(F.coalesce(item["garnishItems"], F.array()), add(acc, item), add)
 
-def unit_prices(components: Column) -> Column:
-    """The unit prices above zero."""
-    prices = F.transform(components, lambda part: part["unit_price"])
-    return F.filter(prices, lambda price: price > 0)
+    return F.aggregate(items, F.lit(0.0), add_item)
 
 
 def total_of(parts: Column, amount, null_as_zero: bool = False) -> Column:
@@ -66,14 +66,6 @@ def total_of(parts: Column, amount, null_as_zero: bool = False) -> Column:
     return F.aggregate(parts, zero, add)
 
 
-def mean_price(prices: Column) -> Column:
-    return array_mean(prices)
-
-
-def price_spread(prices: Column, mean: Column | None = None) -> Column:
-    return population_stddev(prices, mean)
-
-
 def has_discount(items: Column) -> Column:
     return F.exists(items, lambda item: money(item["totalDiscount"]) > 0)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialflow.functions import carts as fn
+from trialflow.functions.stats import array_mean, population_stddev
 
 CART_FEATURES = [
     "item_quantity",
@@ -27,37 +28,27 @@ def parse_carts(df: DataFrame, items: str = "items", out: str = "cart") -> DataF
 def cart_features(df: DataFrame, items: str = "items", null_as_zero: bool = False) -> DataFrame:
     """Replace the JSON column ``items`` by the eight cart features.
 
-    A plain projection: no shuffle, no generated rows, no Python worker. Each layer feeds the
-    next by name, so the JSON is parsed once per row.
+    A plain projection: no shuffle, no generated rows, no Python worker. The cart is parsed once
+    per row, and what it holds is read in a second layer that leaves it behind.
     """
-    cart, parts, prices = F.col("_cart"), F.col("_parts"), F.col("_prices")
-    layered = (
-        df.withColumn("_cart", fn.parse_cart(F.col(items)))
-        .withColumn("_parts", fn.price_components(cart))
-        .withColumn("_prices", fn.unit_prices(parts))
-        .withColumns(
-            {
-                "_quantity": fn.total_of(cart, lambda item: item["quantity"], null_as_zero),
-                "mean_item_price": fn.mean_price(prices),
-                "max_item_price": F.array_max(prices),
-                "recomputed_total": fn.total_of(
-                    parts, lambda part: part["total_value"], null_as_zero
-                ),
-                "additions_total": fn.total_of(
-                    cart, lambda item: fn.money(item["totalAddition"]), null_as_zero
-                ),
-                "had_restaurant_discount": fn.has_discount(cart),
-            }
-        )
-        .withColumns(
-            {
-                "item_quantity": F.col("_quantity").try_cast("int"),
-                "item_price_spread": fn.price_spread(prices, F.col("mean_item_price")),
-                "max_item_share_pct": fn.share_pct(
-                    F.col("max_item_price"), F.col("recomputed_total")
-                ),
-            }
-        )
-    )
+    cart, prices = F.col("_cart"), F.col("_prices")
     kept = [name for name in df.columns if name != items]
-    return layered.select(*kept, *CART_FEATURES)
+    read = parse_carts(df, items, "_cart").select(
+        *kept,
+        fn.total_of(cart, lambda item: item["quantity"], null_as_zero)
+        .try_cast("int")
+        .alias("item_quantity"),
+        fn.unit_prices(cart).alias("_prices"),
+        fn.value_total(cart, null_as_zero).alias("recomputed_total"),
+        fn.total_of(cart, lambda item: fn.money(item["totalAddition"]), null_as_zero).alias(
+            "additions_total"
+        ),
+        fn.has_discount(cart).alias("had_restaurant_discount"),
+    )
+    features = {
+        "mean_item_price": array_mean(prices),
+        "max_item_price": F.array_max(prices),
+        "item_price_spread": population_stddev(prices),
+        "max_item_share_pct": fn.share_pct(F.array_max(prices), F.col("recomputed_total")),
+    }
+    return read.withColumns(features).select(*kept, *CART_FEATURES)

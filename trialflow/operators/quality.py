@@ -103,6 +103,74 @@ def check_referential(
     return _unpivot(result, [(name, WARNING, F.col("total") - F.col("matched"))])
 
 
+def participant_checks(
+    orders: DataFrame,
+    consumers: DataFrame,
+    assignment: DataFrame,
+    key: str = "customer_id",
+    arm: str = "is_target",
+) -> DataFrame:
+    """All checks that concern one customer across the three tables, from a single grouping.
+
+    The same rows as ``table_checks`` of consumers and assignment, ``check_single_arm`` and two
+    ``check_referential`` of the orders. Keys are stacked with counters, which combine before
+    the shuffle, so a hot customer arrives as one row per map task. NULL is a key of its own
+    and matches nothing.
+    """
+
+    def keys(df: DataFrame, name: str, value: Column) -> DataFrame:
+        marks = [F.lit(int(n == name)).alias(f"n_{n}") for n in ("orders", "consumers", "arms")]
+        return df.select(F.col(key).alias("_key"), *marks, value.alias("_arm"))
+
+    no_arm = F.lit(None).cast(assignment.schema[arm].dataType)
+    per_key = (
+        keys(orders, "orders", no_arm)
+        .unionByName(keys(consumers, "consumers", no_arm))
+        .unionByName(keys(assignment, "arms", F.col(arm)))
+        .groupBy("_key")
+        .agg(
+            F.sum("n_orders").alias("n_orders"),
+            F.sum("n_consumers").alias("n_consumers"),
+            F.sum("n_arms").alias("n_arms"),
+            F.min("_arm").alias("lo"),
+            F.max("_arm").alias("hi"),
+        )
+    )
+    known = F.col("_key").isNotNull()
+    buyer, consumer, assigned = (F.col(f"n_{n}") > 0 for n in ("orders", "consumers", "arms"))
+
+    def rows(n: str, where: Column | None = None) -> Column:
+        counted = F.col(n) if where is None else F.when(where, F.col(n)).otherwise(0)
+        return F.coalesce(F.sum(counted), F.lit(0).cast("bigint"))
+
+    figures = per_key.agg(
+        rows("n_consumers").alias("consumers"),
+        rows("n_consumers", ~known).alias("consumers_null"),
+        F.count_if(consumer).alias("consumer_keys"),
+        rows("n_arms").alias("assignments"),
+        rows("n_arms", ~known).alias("assignments_null"),
+        F.count_if(assigned).alias("users"),
+        F.count_if(F.col("n_arms") > 1).alias("repeated"),
+        F.count_if(F.col("lo") != F.col("hi")).alias("torn"),
+        F.count_if(buyer).alias("buyers"),
+        F.count_if(buyer & ~(consumer & known)).alias("unknown"),
+        F.count_if(buyer & ~(assigned & known)).alias("unassigned"),
+    )
+    c = F.col
+    return _unpivot(
+        figures,
+        [
+            (f"consumers: {key} is not null", ERROR, c("consumers_null"), "consumers"),
+            (f"consumers: ({key}) is unique", ERROR, c("consumers") - c("consumer_keys"), "consumers"),
+            (f"assignment: {key} is not null", ERROR, c("assignments_null"), "assignments"),
+            ("assignment: one row per user", ERROR, c("repeated"), "users"),
+            ("assignment: one arm per user", ERROR, c("torn"), "users"),
+            ("buyers are consumers", WARNING, c("unknown"), "buyers"),
+            ("buyers are assigned", WARNING, c("unassigned"), "buyers"),
+        ],
+    )
+
+
 def coverage(
     left: DataFrame, right: DataFrame, key: str, right_key: str | None = None
 ) -> DataFrame:
@@ -195,17 +263,18 @@ def _matches(left: DataFrame, right: DataFrame, key: str, right_key: str) -> Dat
     )
 
 
-def _unpivot(result: DataFrame, found: Sequence[tuple[str, str, Column]]) -> DataFrame:
+def _unpivot(result: DataFrame, found: Sequence[tuple]) -> DataFrame:
+    """A row per (check, severity, violations) of the one row ``result``, a fourth item naming its total."""
     rows = F.array(
         *[
             F.struct(
                 F.lit(check).alias("check"),
                 F.lit(severity).alias("severity"),
                 violations.alias("violations"),
-                F.col("total").alias("total"),
+                F.col(*(total or ["total"])).alias("total"),
                 (violations == 0).alias("passed"),
             )
-            for check, severity, violations in found
+            for check, severity, violations, *total in found
         ]
     )
     return result.select(F.inline(rows))

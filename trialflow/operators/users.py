@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The two arms under comparison.
 ARMS = ("target", "control")
 
+# Calendar days within which a second order counts as retention.
+WINDOWS = (7, 14)
+
 KPI_COLUMNS = [
     "revenue",
     "order_count",
@@ -22,11 +25,16 @@ KPI_COLUMNS = [
 
 
 def experiment_users(assignment: DataFrame, arms: Sequence[str] = ARMS) -> DataFrame:
-    """Distinct (customer_id, arm) of the arms under comparison."""
+    """Distinct (customer_id, arm) of the arms under comparison.
+
+    Arms are gathered per customer, at most as many as ``arms`` has, so the rows come out
+    partitioned by customer and a join on it needs no second exchange.
+    """
     return (
         assignment.where(F.col("is_target").isin(*arms))
-        .select("customer_id", F.col("is_target").alias("arm"))
-        .distinct()
+        .groupBy("customer_id")
+        .agg(F.collect_set("is_target").alias("_arms"))
+        .select("customer_id", F.explode("_arms").alias("arm"))
     )
 
 
@@ -35,29 +43,16 @@ def user_kpis(abt: DataFrame) -> DataFrame:
     return _with_rate(abt.groupBy("customer_id").agg(*_kpis()))
 
 
-def retention_flags(abt: DataFrame, windows: Sequence[int] = (7, 14)) -> DataFrame:
+def retention_flags(abt: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
     """First and second order per customer, and whether they lie within N calendar days.
 
-    Only ranks 1 and 2 are needed, and saying so lets each map task drop the rest: no customer
-    sends more than two rows per task. Tied times rank arbitrarily but have equal values.
+    The first order is the earliest, the second the earliest that has an order before it, which
+    the base table's ``days_since_last_order`` tells; both are minima, combined before the
+    shuffle. Orders without a time come first, so a customer who has one is never retained.
     """
-    rank = F.row_number().over(Window.partitionBy("customer_id").orderBy("order_created_at"))
-    first_two = (
-        abt.select("customer_id", "order_created_at")
-        .withColumn("order_rank", rank)
-        .where("order_rank <= 2")
-    )
-
-    def ranked(k: int) -> Column:
-        return F.max(F.when(F.col("order_rank") == k, F.col("order_created_at")))
-
-    gap = F.date_diff("second_order_at", "first_order_at")
-    return (
-        first_two.groupBy("customer_id")
-        .agg(ranked(1).alias("first_order_at"), ranked(2).alias("second_order_at"))
-        .withColumns(
-            {f"is_retained_{n}d": F.when(gap <= n, 1).otherwise(0) for n in windows}
-        )
+    return abt.groupBy("customer_id").agg(*_first_two()).select(
+        "customer_id", _first().alias("first_order_at"), _second().alias("second_order_at"),
+        *_retained(windows),
     )
 
 
@@ -89,13 +84,14 @@ def user_profile(
     active_min: int = 2,
     risk: tuple[int, int] = (31, 90),
     bounded: bool = False,
+    windows: Sequence[int] = WINDOWS,
 ) -> DataFrame:
-    """``user_kpis`` and ``lifecycle_segment`` together, from a single grouping of the orders."""
+    """KPIs, lifecycle segment and retention flags together, from a single grouping of the orders."""
     today = F.lit(reference_date).cast("date")
-    measures = [*_kpis(), *_activity(today, active_days, bounded)]
+    measures = [*_kpis(), *_activity(today, active_days, bounded), *_first_two()]
     segment = _segment(today, new_days, active_min, risk)
     return _with_rate(abt.groupBy("customer_id").agg(*measures)).select(
-        "customer_id", *KPI_COLUMNS, segment.alias("lifecycle_segment")
+        "customer_id", *KPI_COLUMNS, segment.alias("lifecycle_segment"), *_retained(windows)
     )
 
 
@@ -115,6 +111,30 @@ def _with_rate(kpis: DataFrame) -> DataFrame:
     return kpis.withColumn("new_restaurant_rate_pct", rate)
 
 
+def _first_two() -> list[Column]:
+    time = F.col("order_created_at")
+    return [
+        F.min(time).alias("_earliest"),
+        F.min(F.when(F.col("days_since_last_order").isNotNull(), time)).alias("_next"),
+        F.count_if(time.isNull()).alias("_untimed"),
+    ]
+
+
+def _first() -> Column:
+    return F.when(F.col("_untimed") == 0, F.col("_earliest"))
+
+
+def _second() -> Column:
+    return F.when(F.col("_untimed") == 0, F.col("_next")).when(
+        F.col("_untimed") == 1, F.col("_earliest")
+    )
+
+
+def _retained(windows: Sequence[int]) -> list[Column]:
+    gap = F.date_diff(_second(), _first())
+    return [F.when(gap <= n, 1).otherwise(0).alias(f"is_retained_{n}d") for n in windows]
+
+
 def _activity(today: Column, active_days: int, bounded: bool) -> list[Column]:
     age = F.date_diff(today, F.col("order_created_at"))
     recent = (age <= active_days) & (age >= 0) if bounded else age <= active_days
@@ -141,15 +161,17 @@ def with_zeros(spine: DataFrame) -> DataFrame:
 
 
 def user_spine(
-    users: DataFrame, kpis: DataFrame, flags: DataFrame, zero_fill: bool = True
+    users: DataFrame, kpis: DataFrame, flags: DataFrame | None = None, zero_fill: bool = True
 ) -> DataFrame:
-    """Every user of ``users`` with KPIs and flags.
+    """Every user of ``users`` with KPIs and flags; a ``user_profile`` brings both at once.
 
-    All three inputs have one row per customer, so no join key is hot. ``zero_fill`` gives
+    All inputs have one row per customer, so no join key is hot. ``zero_fill`` gives
     users without a measure 0; otherwise it stays NULL and is left out of means.
     """
-    flags = flags.drop("first_order_at", "second_order_at")
-    spine = users.join(kpis, "customer_id", "left").join(flags, "customer_id", "left")
+    spine = users.join(kpis, "customer_id", "left")
+    if flags is not None:
+        flags = flags.drop("first_order_at", "second_order_at")
+        spine = spine.join(flags, "customer_id", "left")
     return with_zeros(spine) if zero_fill else spine
 
 

@@ -77,12 +77,8 @@ def bronze_checks(orders, consumers, restaurants, assignment) -> list[DataFrame]
             ["order_id"],
             unique_severity=q.WARNING,
         ),
-        q.table_checks(consumers, "consumers", ["customer_id"], unique=["customer_id"]),
         q.table_checks(restaurants, "restaurants", unique=["id"]),
-        q.table_checks(assignment, "assignment", ["customer_id"]),
-        q.check_single_arm(assignment),
-        q.check_referential(orders, consumers, "buyers are consumers", "customer_id"),
-        q.check_referential(orders, assignment, "buyers are assigned", "customer_id"),
+        q.participant_checks(orders, consumers, assignment),
     ]
 
 
@@ -141,13 +137,11 @@ def user_metrics(
 ) -> DataFrame:
     """The one per-user table both summaries read: arm, KPIs, flags, lifecycle segment.
 
-    KPIs and segment come from one grouping of the base table. Users without orders have no
-    segment. ``rules`` are those of ``lifecycle_segment``.
+    All of it comes from one grouping of the base table. Users without orders have no segment.
+    ``rules`` are those of ``user_profile``.
     """
     profile = u.user_profile(abt, reference_date, **rules)
-    return u.user_spine(
-        u.experiment_users(assignment), profile, u.retention_flags(abt), zero_fill
-    )
+    return u.user_spine(u.experiment_users(assignment), profile, zero_fill=zero_fill)
 
 
 def gold(

@@ -308,10 +308,14 @@ def retention_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.retention_flags(_gold_input(spark, sf_dir))
 
 
+def _users(spark: SparkSession, sf_dir: str, zero_fill: bool = True) -> DataFrame:
+    """The gold stage's per-user table, not cut to a grid."""
+    rows, feed = _gold_input(spark, sf_dir), feeds.load(spark, sf_dir)
+    return medallion.user_metrics(rows, feed.assignment, END, zero_fill)
+
+
 def _spine(spark: SparkSession, sf_dir: str, zero_fill: bool = True) -> DataFrame:
-    users = u.experiment_users(feeds.load(spark, sf_dir).assignment)
-    rows = _gold_input(spark, sf_dir)
-    return u.user_spine(users, u.user_kpis(rows), u.retention_flags(rows), zero_fill)
+    return _users(spark, sf_dir, zero_fill).drop("lifecycle_segment")
 
 
 def user_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,8 +324,7 @@ def user_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gold stage's per-user table."""
-    rows, feed = _gold_input(spark, sf_dir), feeds.load(spark, sf_dir)
-    return gridded(medallion.user_metrics(rows, feed.assignment, END), **_KPI_GRID)
+    return gridded(_users(spark, sf_dir), **_KPI_GRID)
 
 
 def _grid_summary(df: DataFrame) -> DataFrame:
@@ -366,12 +369,8 @@ def lifecycle_segments_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = u.experiment_users(feeds.load(spark, sf_dir).assignment)
-    rows = _gold_input(spark, sf_dir)
-    spine = u.segment_spine(
-        u.lifecycle_segment(rows, END), users, u.user_kpis(rows), u.retention_flags(rows)
-    )
-    return ex.kpi_summary(spine, ["lifecycle_segment", "arm"], ex.SEGMENT_METRICS)
+    buyers = _users(spark, sf_dir).where(F.col("lifecycle_segment").isNotNull())
+    return ex.kpi_summary(buyers, ["lifecycle_segment", "arm"], ex.SEGMENT_METRICS)
 
 
 def kpi_summary_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,18 +115,20 @@ def participant_checks(
     The same rows as ``table_checks`` of consumers and assignment, ``check_single_arm`` and two
     ``check_referential`` of the orders. Keys are stacked with counters, which combine before
     the shuffle, so a hot customer arrives as one row per map task. NULL is a key of its own
-    and matches nothing.
+    and matches nothing. Arms are told apart by their 64-bit hashes: least and greatest of
+    texts would have every row sorted before it is combined.
     """
 
     def keys(df: DataFrame, name: str, value: Column) -> DataFrame:
         marks = [F.lit(int(n == name)).alias(f"n_{n}") for n in ("orders", "consumers", "arms")]
         return df.select(F.col(key).alias("_key"), *marks, value.alias("_arm"))
 
-    no_arm = F.lit(None).cast(assignment.schema[arm].dataType)
+    no_arm = F.lit(None).cast("bigint")
+    arm_hash = F.when(F.col(arm).isNotNull(), F.xxhash64(arm))
     per_key = (
         keys(orders, "orders", no_arm)
         .unionByName(keys(consumers, "consumers", no_arm))
-        .unionByName(keys(assignment, "arms", F.col(arm)))
+        .unionByName(keys(assignment, "arms", arm_hash))
         .groupBy("_key")
         .agg(
             F.sum("n_orders").alias("n_orders"),

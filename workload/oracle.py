@@ -307,6 +307,8 @@ def ttest(source, metrics, by="", n=None, equal_var=True, control_n_only=False)
         vc, vt = "(sc * sc / nc)", "(st * st / nt)"
         error = f"sqrt({vc} + {vt})"
         df = f"({vc} + {vt}) ** 2 / ({vc} ** 2 / (nc - 1) + {vt} ** 2 / (nt - 1))"
+    digits = [f"WHEN '{name}' THEN 1e{METRICS[name][2]}" for name in metrics]
+    cut = f"CASE metric {' '.join(digits)} END"
     steps = 20000
     density = (
         "exp(lgamma((df + 1) / 2) - lgamma(df / 2) - ln(df * pi()) / 2"
@@ -316,8 +318,8 @@ def ttest(source, metrics, by="", n=None, equal_var=True, control_n_only=False)
         f"{by}" if by else "",
         "metric",
         "label",
-        grid("mc", 1, "control_mean"),
-        grid("mt", 1, "target_mean"),
+        f"floor(mc * {cut} + {GRID_OFFSET}) / {cut} AS control_mean",
+        f"floor(mt * {cut} + {GRID_OFFSET}) / {cut} AS target_mean",
         grid("(mt - mc) / mc * 100", 4, "lift_pct"),
         "CAST(nc AS BIGINT) AS n_control",
         "CAST(nt AS BIGINT) AS n_target",
@@ -480,10 +482,10 @@ _EDGE_CARTS = f"""
 _EVENT_WINDOW = "PARTITION BY user_id ORDER BY ts, event_id"
 
 ORACLE: dict[str, str] = {
-    "ingest_json_roundtrip": with_("feed")
-    + """SELECT order_id, customer_id, merchant_id, order_created_at, order_scheduled,
+    "ingest_json_roundtrip": with_("feed_carts")
+    + f"""SELECT order_id, customer_id, merchant_id, order_created_at, order_scheduled,
         order_total_amount, origin_platform, CAST(NULL AS VARCHAR) AS cpf,
-        l_orderkey IS NULL AS no_cart FROM feed""",
+        l_orderkey IS NULL AS no_cart, {features()} FROM feed_carts""",
     "ingest_csv_roundtrip": with_("restaurants") + "SELECT * FROM restaurants",
     "table_write_read": with_("restaurants")
     + """SELECT id, average_ticket, CAST(NULL AS BOOLEAN) AS enabled,

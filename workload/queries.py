@@ -63,7 +63,7 @@ def ingest_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw.write.options(compression="gzip", **JSON_OPTIONS).json(path)
     spec = SourceSpec("json", path, schemas.ORDERS, JSON_OPTIONS, rebalance=True)
     stored = ingest(spark, spec, f"{_new_schema(spark)}.orders")
-    return stored.select(
+    rows = stored.select(
         "order_id",
         "customer_id",
         "merchant_id",
@@ -73,7 +73,9 @@ def ingest_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "origin_platform",
         "cpf",
         F.col("items").isNull().alias("no_cart"),
+        "items",
     )
+    return _grid_features(cart_features(rows))
 
 
 def ingest_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -378,8 +380,6 @@ def kpi_summary_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TEST_GRID = {
-    "control_mean": 1,
-    "target_mean": 1,
     "lift_pct": 4,
     "t_stat": 6,
     "df": 4,
@@ -387,8 +387,21 @@ _TEST_GRID = {
 }
 
 
+def _grid_tests(tests: DataFrame) -> DataFrame:
+    """Means keep the digits that their metric has in the summaries."""
+    digits = F.when(F.col("metric") == "revenue_per_user", 1).when(
+        F.col("metric") == "avg_ticket", 2
+    )
+    scale = F.pow(F.lit(10.0), F.coalesce(digits, F.lit(6)))
+    means = {
+        name: F.floor(F.col(name) * scale + F.lit(GRID_OFFSET)) / scale
+        for name in ("control_mean", "target_mean")
+    }
+    return gridded(tests.withColumns(means), **_TEST_GRID)
+
+
 def _tested(summary: DataFrame, metrics, **options) -> DataFrame:
-    return gridded(ex.ttest_from_summary(summary, metrics, **options), **_TEST_GRID)
+    return _grid_tests(ex.ttest_from_summary(summary, metrics, **options))
 
 
 def ttest_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,11 +465,11 @@ def job_summary_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_ttest_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gridded(_run_job(spark, sf_dir)["ttest_by_arm"], **_TEST_GRID)
+    return _grid_tests(_run_job(spark, sf_dir)["ttest_by_arm"])
 
 
 def job_ttest_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gridded(_run_job(spark, sf_dir)["ttest_by_segment"], **_TEST_GRID)
+    return _grid_tests(_run_job(spark, sf_dir)["ttest_by_segment"])
 
 
 def job_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,14 +32,3 @@ def values(spark):
     return lambda **columns: spark.range(1).select(
         *[column.alias(name) for name, column in columns.items()]
     ).first()
-
-
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
-
-
-def rows_of(df, *columns):
-    return sorted(
-        (tuple(r) for r in df.select(*(columns or df.columns)).collect()),
-        key=lambda row: tuple((v is not None, str(v)) for v in row),
-    )

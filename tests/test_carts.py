@@ -1,5 +1,5 @@
 import pytest
-from conftest import plan_of
+from frames import plan_of
 from pyspark.sql import functions as F
 
 from trialflow.operators.carts import CART_FEATURES, cart_features, parse_carts

@@ -1,4 +1,4 @@
-from conftest import plan_of, rows_of
+from frames import plan_of, rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

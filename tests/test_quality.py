@@ -1,5 +1,5 @@
 import pytest
-from conftest import plan_of, rows_of
+from frames import plan_of, rows_of
 
 from trialflow.operators import quality as q
 from trialflow.operators.users import experiment_users

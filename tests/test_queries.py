@@ -1,5 +1,5 @@
 import pytest
-from conftest import plan_of
+from frames import plan_of
 
 from __spark_entry__ import entry, oracle_sql, queries
 from workload.compare import connect, difference

@@ -2,7 +2,7 @@ import gzip
 from datetime import datetime
 
 import pytest
-from conftest import rows_of
+from frames import rows_of
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 

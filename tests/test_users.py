@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import plan_of
+from frames import plan_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trialflow.llm import decontaminate, mixing, phrases, sharding, simhash, substrings, topk, toxicity, urlfilter, warc
+from trialflow.llm import decontaminate, embeddings, mixing, phrases, sharding, simhash, substrings, topk, toxicity, urlfilter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -160,6 +160,23 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_passages(read(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
+def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their number of links and their component."""
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op13_sql() -> str:
+    """All pairs of a label compared, components by following links until nothing new is reached."""
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
+        g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            AND list_cosine_similarity(a.e, b.e) >= {embeddings.COSINE}),
+        r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+        n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_topk": op1_topk,
@@ -172,9 +189,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_repeated_phrases": op10_repeated_phrases,
+        "op13_embeddings": op13_embeddings,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": op1_sql(), "op2_url_filters": op2_sql(), "op5_warc": op5_sql(), "op8_mixing": op8_sql()}
+    return {"op1_topk": op1_sql(), "op2_url_filters": op2_sql(), "op5_warc": op5_sql(), "op8_mixing": op8_sql(), "op13_embeddings": op13_sql()}

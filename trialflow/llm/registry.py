@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trialflow.llm import decontaminate, embeddings, mixing, phrases, sharding, simhash, substrings, topk, toxicity, urlfilter, warc
+from trialflow.llm import decontaminate, embeddings, mixing, phrases, sharding, simhash, spelling, substrings, topk, toxicity, urlfilter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -160,6 +160,47 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.remove_passages(read(spark, sf_dir, "documents"), texts=False).drop("kept")
 
 
+def crc_sql(source: str, column: str) -> str:
+    """CTEs ending in crc_of (value, h): the unsigned CRC-32 of the UTF-8 bytes of ``source``'s distinct ``column``.
+
+    The table of 256 entries is worked out from the polynomial, and a recursion takes one byte of all values at a time.
+    """
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"""crc_bits AS (SELECT i, 0 AS k, i AS c FROM range(256) t(i) UNION ALL SELECT i, k + 1, {step} FROM crc_bits WHERE k < 8),
+        crc_table AS MATERIALIZED (SELECT i, c FROM crc_bits WHERE k = 8),
+        crc_run AS (SELECT value, hex(value) AS bytes, 0::BIGINT AS k, 4294967295 AS c FROM (SELECT DISTINCT {column} AS value FROM {source}) WHERE value IS NOT NULL
+            UNION ALL SELECT value, bytes, k + 1, xor(r.c >> 8, t.c) FROM crc_run r JOIN crc_table t
+            ON t.i = xor(r.c, ('0x' || substr(bytes, 2 * k + 1, 2))::BIGINT) & 255 WHERE k < length(bytes) // 2),
+        crc_of AS MATERIALIZED (SELECT value, xor(c, 4294967295) AS h FROM crc_run WHERE k = length(bytes) // 2)"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of the documents with the form and root that they are a spelling of."""
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"), slip=spelling.SLIP)
+
+
+def op12_sql() -> str:
+    """The same by edit distance of all pairs of words; letters beyond ASCII stand as one byte each, as distances are of bytes."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    latin = "".join(map(chr, range(0xC0, 0x100)))
+    ascii_ = "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c not in "'{}")
+    ascii_ = (ascii_ + "".join(map(chr, range(1, 32))))[: len(latin)]
+    return f"""WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{lower}'), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+        r AS (SELECT doc_id, run, doc_id::VARCHAR || ':' || run AS name, count(*) AS n FROM runs WHERE length(run) >= {spelling.MIN_LENGTH} GROUP BY ALL),
+        {crc_sql("r", "name")},
+        s AS (SELECT CASE WHEN h % {spelling.SLIP} = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n
+            FROM r LEFT JOIN crc_of ON name = value),
+        w AS MATERIALIZED (SELECT word, translate(word, '{latin}', '{ascii_}') AS flat, sum(n)::BIGINT AS n FROM s
+            WHERE length(word) >= {spelling.MIN_LENGTH} GROUP BY ALL HAVING sum(n) >= {spelling.MIN_COUNT}),
+        p AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM w a JOIN w b ON length(b.flat) BETWEEN length(a.flat) - 1 AND length(a.flat) + 1
+            AND levenshtein(a.flat, b.flat) = 1),
+        f AS MATERIALIZED (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS best, max(other_n) AS best_n FROM p GROUP BY word),
+        g AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {spelling.RATIO} * n THEN best END AS form,
+            CASE WHEN best_n >= {spelling.RATIO} * n THEN best_n END AS form_n FROM w LEFT JOIN f USING (word)),
+        c AS (SELECT word, word AS root FROM g UNION ALL SELECT c.word, g.form FROM c JOIN g ON g.word = c.root WHERE g.form IS NOT NULL)
+        SELECT g.word, g.form, c.root, g.n, g.n_near, g.form_n FROM g JOIN c ON c.word = g.word JOIN g e ON e.word = c.root AND e.form IS NULL"""
+
+
 def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors with their number of links and their component."""
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
@@ -167,8 +208,8 @@ def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_sql() -> str:
     """All pairs of a label compared, components by following links until nothing new is reached."""
-    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
-        g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+    return f"""WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+        g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
         l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
             AND list_cosine_similarity(a.e, b.e) >= {embeddings.COSINE}),
         r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
@@ -189,10 +230,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_repeated_phrases": op10_repeated_phrases,
+        "op12_spelling": op12_spelling,
         "op13_embeddings": op13_embeddings,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": op1_sql(), "op2_url_filters": op2_sql(), "op5_warc": op5_sql(), "op8_mixing": op8_sql(), "op13_embeddings": op13_sql()}
+    return {"op1_topk": op1_sql(), "op2_url_filters": op2_sql(), "op5_warc": op5_sql(), "op8_mixing": op8_sql(), "op12_spelling": op12_sql(), "op13_embeddings": op13_sql()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from trialflow.llm import decontaminate, embeddings, mixing, phrases, sharding, simhash, spelling, substrings, topk, toxicity, urlfilter, warc
+from trialflow.llm import decontaminate, embeddings, mixing, phrases, resample, sharding, simhash, spelling, substrings, topk, toxicity, urlfilter, warc
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -174,6 +174,34 @@ def crc_sql(source: str, column: str) -> str:
         crc_of AS MATERIALIZED (SELECT value, xor(c, 4294967295) AS h FROM crc_run WHERE k = length(bytes) // 2)"""
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed by their likeness to the benchmark texts, a quarter of them drawn and ranked."""
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op11_sql() -> str:
+    """The same over all words and pairs of words, the scores sorted as a whole."""
+    upper, lower, n = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", resample.BUCKETS
+    words = f"regexp_extract_all(translate(text, '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    gumbel = f"('0x' || substr(sha256('{resample.SEED}:' || doc_id::VARCHAR), 1, 8))::BIGINT"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce({words}, []) AS w FROM documents),
+        b AS (SELECT coalesce({words}, []) AS w FROM benchmark),
+        fd AS MATERIALIZED (SELECT doc_id, len(w) AS n_words, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM w),
+        fb AS MATERIALIZED (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b),
+        every AS (SELECT f FROM fd UNION SELECT f FROM fb),
+        {crc_sql("every", "f")},
+        s AS (SELECT h % {n} AS k, count(*) AS n FROM fd JOIN crc_of ON f = value GROUP BY ALL),
+        t AS (SELECT h % {n} AS k, count(*) AS n FROM fb JOIN crc_of ON f = value GROUP BY ALL),
+        g AS (SELECT k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM fd) + {n}) / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM fb) + {n}))))::BIGINT AS gain
+            FROM s LEFT JOIN t USING (k)),
+        d AS (SELECT doc_id, count(*) AS n_features, floor(sum(gain) / count(*))::BIGINT AS weight FROM fd JOIN crc_of ON f = value JOIN g ON g.k = h % {n} GROUP BY doc_id),
+        e AS (SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + floor(-1000 * ln(-ln(({gumbel} + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM w LEFT JOIN d USING (doc_id)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY n_words >= {resample.MIN_WORDS} ORDER BY score DESC, doc_id) AS nth,
+            count(*) OVER (PARTITION BY n_words >= {resample.MIN_WORDS}) AS n FROM e)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= {resample.MIN_WORDS} AND nth <= {resample.PERCENT} * n // 100 THEN nth END AS rank FROM r"""
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of the documents with the form and root that they are a spelling of."""
     return spelling.spelling_variants(read(spark, sf_dir, "documents"), slip=spelling.SLIP)
@@ -230,6 +258,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_repeated_phrases": op10_repeated_phrases,
+        "op11_resampling": op11_resampling,
         "op12_spelling": op12_spelling,
         "op13_embeddings": op13_embeddings,
         "pipeline": corpus_pipeline.run,
@@ -237,4 +266,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": op1_sql(), "op2_url_filters": op2_sql(), "op5_warc": op5_sql(), "op8_mixing": op8_sql(), "op12_spelling": op12_sql(), "op13_embeddings": op13_sql()}
+    return {"op1_topk": op1_sql(), "op2_url_filters": op2_sql(), "op5_warc": op5_sql(), "op8_mixing": op8_sql(), "op11_resampling": op11_sql(), "op12_spelling": op12_sql(), "op13_embeddings": op13_sql()}

@@ -6,6 +6,7 @@ import pytest
 from frames import plan_of, rows_of
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from trialflow.operators import skew
 from trialflow.operators.abt import ABT_COLUMNS, abt_projection, build_abt
@@ -164,6 +165,27 @@ def star(spark):
     return skew.stage(orders), consumers, restaurants, arms
 
 
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.floats(-1e7, 1e7) | st.sampled_from([0.1, 0.7, 1e-9]) | st.none(), min_size=40, max_size=120), st.integers(2, 30))
+def test_cut_keys_have_the_same_means_to_the_last_bit(spark, amounts, chunk_rows):
+    data = [(i, "hot" if i % 3 else "b", None, DAY0 + timedelta(hours=i * 7 % 41), x) for i, x in enumerate(amounts)]
+    df = skew.stage(spark.createDataFrame(data, SCHEMA))
+    whole = customer_history(df, "g", "t", "x", ["id"])
+    cut = customer_history(df, "g", "t", "x", ["id"], 5, chunk_rows)
+    assert rows_of(whole, "id", "prior_mean_spend") == rows_of(cut, "id", "prior_mean_spend")
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.integers(0, 10**6), st.integers(5, 40))
+def test_abt_is_the_same_to_the_last_bit_however_keys_are_cut(spark, seed, chunk_rows):
+    orders, *dims = star(spark)
+    amount = F.xxhash64(F.lit(seed), "order_id") % 10**9 / F.lit(7.0)
+    orders = skew.stage(orders.withColumn("order_total_amount", amount))
+    plain = abt_projection(build_abt(orders, *dims))
+    split = abt_projection(build_abt(orders, *dims, hot_rows=10, chunk_rows=chunk_rows))
+    assert rows_of(plain) == rows_of(split)
+
+
 def test_abt_is_the_same_with_and_without_hot_customers(spark):
     parts = star(spark)
     plain = abt_projection(build_abt(*parts))

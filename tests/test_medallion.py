@@ -1,5 +1,6 @@
 import gzip
 import json
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -9,6 +10,7 @@ from trialflow.operators.quality import QualityError
 from trialflow.plans import medallion
 from trialflow.plans.medallion import Layout
 from trialflow.plans.naming import ABT_NAMES, SUMMARY_NAMES
+from trialflow.session import shared_dir
 from trialflow.sources.files import default_registry
 
 REF = "2019-01-31"
@@ -28,7 +30,7 @@ def cart(rng):
     return json.dumps([item] * rng.randrange(1, 4))
 
 
-def write_feeds(folder, negative=False):
+def write_feeds(folder, negative=False, spoilt=0):
     rng = random.Random(11)
     customers = [f"c{i:03d}" for i in range(60)]
     orders = []
@@ -40,7 +42,7 @@ def write_feeds(folder, negative=False):
                 "customer_id": rng.choice(customers[:50]) if i % 3 else "c000",
                 "merchant_id": f"r{rng.randrange(6)}",
                 "order_created_at": ts.strftime("%Y-%m-%dT%H:%M:%S.000Z"),
-                "order_total_amount": -5.0 if negative and i == 7 else float(rng.randrange(10, 90)),
+                "order_total_amount": "n/a" if i < spoilt else -5.0 if negative and i == 7 else float(rng.randrange(10, 90)),
                 "origin_platform": "IOS",
                 "merchant_timezone": "America/Sao_Paulo",
                 "items": cart(rng),
@@ -96,6 +98,26 @@ def test_quality_report_is_stored(spark, stored):
     assert report["cleaned orders: (order_id) is unique"]["passed"]
 
 
+def test_values_that_do_not_load_are_reported(spark, tmp_path):
+    registry = write_feeds(tmp_path, spoilt=3)
+    medallion.run(spark, registry, REF, layout("spoilt"))
+    report = {r["check"]: r for r in spark.table("silver_spoilt.quality_report").collect()}
+    loads = report["orders: order_total_amount loads"]
+    assert (loads["violations"], loads["total"], loads["passed"], loads["severity"]) == (3, 401, False, "warning")
+    assert report["orders: records are well-formed"]["passed"] and report["restaurants: average_ticket loads"]["passed"]
+    assert report["orders: at most 1% of order_total_amount is null"]["passed"]
+    kept = spark.table("bronze_spoilt.orders_quarantine").collect()
+    assert {json.loads(r["record"])["order_id"] for r in kept} == {"o0000", "o0001", "o0002"}
+    with pytest.raises(QualityError, match="order_total_amount loads: 3"):
+        medallion.silver(spark, layout("spoilt"), load_severity="error")
+
+
+def test_a_run_leaves_nothing_staged(spark, stored):
+    before = set(os.listdir(shared_dir(spark)))
+    medallion.run(spark, stored[1], REF, layout("tidy"), hot_rows=60, chunk_rows=10)
+    assert set(os.listdir(shared_dir(spark))) == before
+
+
 def test_gold_may_be_repeated(spark, stored):
     results, registry = stored
     medallion.run(spark, registry, REF, layout("again"))

@@ -1,12 +1,15 @@
 import gzip
 from datetime import datetime
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from frames import rows_of
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from trialflow.session import scratch_path, shared_dir, stage
+from trialflow.operators import quality as q
+from trialflow.session import at_end_of_run, run_scope, scratch_path, shared_dir, stage
 from trialflow.sources import schemas
 from trialflow.sources.files import (
     CSV_OPTIONS,
@@ -15,6 +18,7 @@ from trialflow.sources.files import (
     default_registry,
     ingest,
     ingest_all,
+    is_uneven,
     read_source,
 )
 from trialflow.sources.tables import ensure_schema, read_table, write_table
@@ -84,11 +88,97 @@ def test_a_failed_load_is_raised(spark, feeds_folder):
     assert not spark.catalog.tableExists("bronze_missing.orders")
 
 
-def test_compressed_files_are_spread_before_storing(feeds_folder):
+def test_compressed_files_are_spread_before_storing(spark, feeds_folder, tmp_path):
     registry = default_registry(feeds_folder)
-    assert registry["orders"].uneven and not registry["ab_test_users"].uneven
-    assert SourceSpec("json", "folder", "a int", rebalance=True).uneven
+    uneven = lambda spec: is_uneven(read_source(spark, spec), spec)
+    assert uneven(registry["orders"]) and not uneven(registry["ab_test_users"])
+    assert uneven(SourceSpec("csv", f"{feeds_folder}/ab_test_ref.csv", "a int", rebalance=True))
     assert default_registry(feeds_folder, ["orders"]).keys() == {"orders"}
+    spark.range(9).selectExpr("id AS a").write.option("compression", "gzip").json(str(tmp_path / "packed"))
+    spark.range(9).selectExpr("id AS a").write.json(str(tmp_path / "plain"))
+    packed, plain = (SourceSpec("json", str(tmp_path / name), "a long") for name in ("packed", "plain"))
+    assert uneven(packed) and not uneven(plain)
+    assert uneven(SourceSpec("json", [plain.path, packed.path], "a long"))
+
+
+def reports(df):
+    return {r["check"]: (r["violations"], r["total"], r["passed"]) for r in df.collect()}
+
+
+def test_records_that_do_not_load_are_kept(spark, tmp_path):
+    gz(
+        tmp_path / "order.json.gz",
+        '{"order_id":"o1","order_created_at":"2019-01-05T22:50:06.000Z","order_total_amount":46.0}\n'
+        '{"order_id":"o2","order_created_at":"2019-01-05T22:50:06Z","order_total_amount":"n/a"}\n'
+        "{broken\n"
+        '{"order_id":"o3","order_total_amount":"12"}\n'
+        '{"order_id":"o4","order_total_amount":null}\n',
+    )
+    (tmp_path / "p.csv").write_text(
+        "id,n,at\na,1,2019-01-05T22:50:06.000Z\nb,x,2019-01-05T22:50:06.000Z\nc\nd,1,2019-01-05T22:50:06.000Z,9\ne,,\nf,y,never\n"
+    )
+    ensure_schema(spark, "bronze_kept")
+    orders = SourceSpec("json", f"{tmp_path}/order.json.gz", schemas.ORDERS, JSON_OPTIONS)
+    people = SourceSpec("csv", f"{tmp_path}/p.csv", "id string, n int, at timestamp", CSV_OPTIONS)
+    tables = ingest_all(spark, {"orders": orders, "people": people}, "bronze_kept", quarantine=True)
+    assert tables["orders"].columns == [f.name for f in orders.fields] and tables["orders"].count() == 5
+    kept = {r["record"]: (r["malformed"], r["lost"]) for r in spark.table("bronze_kept.orders_quarantine").collect()}
+    assert sorted(kept.values(), key=str) == [(False, ["order_created_at", "order_total_amount"]), (False, ["order_total_amount"]), (True, [])]
+    assert kept["{broken"] == (True, [])
+    got = {r["record"]: (r["malformed"], r["lost"]) for r in spark.table("bronze_kept.people_quarantine").collect()}
+    assert got == {
+        "b,x,2019-01-05T22:50:06.000Z": (False, ["n"]), "c": (True, []),
+        "d,1,2019-01-05T22:50:06.000Z,9": (True, []), "f,y,never": (False, ["n", "at"]),
+    }
+    report = q.load_checks(tables["people"], spark.table("bronze_kept.people_quarantine"), "people", ["n", "at", "id"])
+    assert reports(report) == {
+        "people: records are well-formed": (2, 6, False), "people: n loads": (2, 6, False),
+        "people: at loads": (1, 6, False), "people: id loads": (0, 6, True),
+    }
+    whole = q.table_checks(tables["people"], "people", null_share={"n": 0.7, "at": 0.3})
+    assert reports(whole) == {"people: at most 70% of n is null": (4, 6, True), "people: at most 30% of at is null": (3, 6, False)}
+    (tmp_path / "p.csv").write_text("id,n,at\na,1,2019-01-05T22:50:06.000Z\n")
+    ingest(spark, people, "bronze_kept.people", "bronze_kept.people_quarantine")
+    assert spark.table("bronze_kept.people_quarantine").count() == 0
+    assert reports(q.load_checks(tables["people"].limit(0), spark.table("bronze_kept.people_quarantine"), "p", [])) == {
+        "p: records are well-formed": (0, 0, True)
+    }
+
+
+def test_formats_with_types_of_their_own_have_an_empty_quarantine(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "ids"))
+    ensure_schema(spark, "bronze_typed")
+    ingest(spark, SourceSpec("parquet", str(tmp_path / "ids"), "id long"), "bronze_typed.ids", "bronze_typed.ids_quarantine")
+    assert spark.table("bronze_typed.ids").count() == 3 and spark.table("bronze_typed.ids_quarantine").count() == 0
+
+
+def test_a_run_removes_what_it_staged(spark):
+    with run_scope(spark) as outer:
+        first = stage(spark.range(3))
+        with run_scope(spark) as inner:
+            stage(spark.range(4))
+            ensure_schema(spark, "t_scoped")
+            at_end_of_run(spark.sql, "DROP SCHEMA t_scoped")
+            assert Path(inner.folder.removeprefix("file:")).exists()
+        assert not Path(inner.folder.removeprefix("file:")).exists() and not spark.catalog.databaseExists("t_scoped")
+        assert first.count() == 3
+    assert not Path(outer.folder.removeprefix("file:")).exists()
+    with pytest.raises(RuntimeError), run_scope(spark) as failed:
+        stage(spark.range(3))
+        raise RuntimeError
+    assert not Path(failed.folder.removeprefix("file:")).exists()
+    at_end_of_run(print, "never called")
+
+
+def test_a_cluster_may_not_stage_on_one_machine(spark):
+    def session(master, **named):
+        conf = SimpleNamespace(get=lambda name, *default: named.get(name) or (default[0] if default else "spark-warehouse"))
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master), _jvm=spark._jvm, _jsc=spark._jsc)
+
+    assert shared_dir(session("local[4]")) == "spark-warehouse/_staging"
+    assert shared_dir(session("yarn", **{"spark.checkpoint.dir": "file:/mnt/all/"})) == "file:/mnt/all"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077"))
 
 
 def test_csv_and_json_written_with_the_options_read_back(spark, tmp_path):

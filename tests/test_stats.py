@@ -7,8 +7,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trialflow.functions.stats import (
-    erfc,
+    exact_parts,
     lift_pct,
+    mean_of_parts,
     population_stddev,
     student_t_two_sided_p,
 )
@@ -87,11 +88,69 @@ def test_p_is_a_probability_symmetric_and_falling(spark, ts, df):
     assert all(a >= b - 1e-9 for a, b in zip(up, up[1:]))
 
 
-def test_erfc(spark):
-    xs = [0.0, 0.3, 1.0, 2.49, 2.51, 5.0, 20.0]
-    df = spark.createDataFrame([(x,) for x in xs], "x double")
-    for x, got in zip(xs, [r[0] for r in df.select(erfc("x")).collect()]):
-        assert got == pytest.approx(math.erfc(x), rel=1e-9, abs=1e-300)
+def log_p(t, df, n=200_000):
+    """ln P(|T| >= t) by Simpson's rule on the tail itself, its peak taken out of the integrand.
+
+    With u = t + r / (1 - r) the tail is an integral over r from 0 to 1.
+    """
+    r = np.linspace(0.0, 1.0, n + 1)[:-1]
+    scale = min(1.0, 1 / t)
+    u = t + scale * r / (1 - r)
+    log_f = -(df + 1) / 2 * (np.log1p(u * u / df) - math.log1p(t * t / df))
+    values = np.append(np.exp(log_f) * scale / (1 - r) ** 2, 0.0)
+    weights = np.ones(n + 1)
+    weights[1:-1:2], weights[2:-1:2] = 4, 2
+    log_c = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi)
+    return math.log(2 * float((values * weights).sum()) / n / 3) + log_c - (df + 1) / 2 * math.log1p(t * t / df)
+
+
+def test_far_tails_have_the_same_relative_error_on_both_sides_of_50_000(spark):
+    pairs = [(t, df) for df in (3, 12, 400, 49_999, 50_000, 50_001, 80_000) for t in (0.5, 2.0, 5.0, 12.0, 25.0, 35.0)]
+    for (t, df), p in zip(pairs, p_values(spark, pairs)):
+        # The reference's lgamma is off by some 1e-11 at 50,000.
+        assert math.log(p) == pytest.approx(log_p(t, df), abs=1e-9), (t, df)
+
+
+def test_close_degrees_of_freedom_give_close_tails(spark):
+    pairs = [(t, df) for t in (2.0, 20.0, 35.0) for df in (49_999.0, 50_000.0, 50_001.0)]
+    p = p_values(spark, pairs)
+    for k in range(0, 9, 3):
+        below, at, above = p[k : k + 3]
+        assert (above - at) / (at - below) == pytest.approx(1, abs=1e-3)
+
+
+amounts = st.floats(-1e9, 1e9) | st.floats(-1, 1) | st.none() | st.sampled_from([0.1, 0.7, 12.34, 1e12, -3e40])
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(amounts, min_size=1, max_size=60), st.integers(0, 1000))
+def test_means_of_parts_do_not_depend_on_the_order(spark, values, seed):
+    small = [v for v in values if v is not None and abs(v) < 1e10]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    parts = exact_parts(F.col("x"))
+    sums = [F.sum(c).alias(name) for name, c in parts.items()]
+    once = df.agg(*sums)
+    cut = df.groupBy((F.xxhash64(F.lit(seed), "i") % 4).alias("g")).agg(*sums).agg(*[F.sum(name).alias(name) for name in parts])
+    mean = mean_of_parts(*[F.col(name) for name in parts]).alias("m")
+    one, other = once.select(mean).first()["m"], cut.select(mean).first()["m"]
+    if len(small) == len([v for v in values if v is not None]):
+        assert one == other
+        if small:
+            assert one == pytest.approx(math.fsum(small) / len(small), rel=1e-12, abs=1e-12)
+        else:
+            assert one is None
+
+
+def test_means_of_parts_of_odd_amounts(spark):
+    for values, want in (([math.inf, 1.0], math.inf), ([1e300, 2.0], 5e299), ([-0.5, -0.25], -0.375), ([None], None)):
+        df = spark.createDataFrame([(v,) for v in values], "x double")
+        parts = exact_parts(F.col("x"))
+        sums = df.agg(*[F.sum(c).alias(name) for name, c in parts.items()])
+        assert sums.select(mean_of_parts(*[F.col(name) for name in parts])).first()[0] == want
+    nan = spark.createDataFrame([(math.nan,), (1.0,)], "x double")
+    parts = exact_parts(F.col("x"))
+    sums = nan.agg(*[F.sum(c).alias(name) for name, c in parts.items()])
+    assert math.isnan(sums.select(mean_of_parts(*[F.col(name) for name in parts])).first()[0])
 
 
 @settings(max_examples=15, deadline=None)

@@ -3,7 +3,8 @@
 Each feature is an ordered window per key. A key whose rows would not fit one task is cut into
 ordered chunks instead. Every chunk but a key's first starts with an opening row that holds what
 the earlier chunks add up to, so a window inside (key, chunk) sees all that came before. Both
-ways give the same values.
+ways add up the same parts of amounts, whose sums do not depend on the order, and so give the same
+values to the last bit.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialflow.functions.context import days_between
+from trialflow.functions.stats import exact_parts, mean_of_parts
 from trialflow.operators import skew
 from trialflow.operators.skew import HOT_ROWS
 
@@ -74,10 +76,12 @@ def plain_history(
 ) -> DataFrame:
     by_time = Window.partitionBy(key).orderBy(ts, *tiebreak)
     before = by_time.rowsBetween(_START, _PREVIOUS)
+    parts = exact_parts(F.col(amount))
+    sums = [F.sum(part).over(before) for part in parts.values()]
     return df.withColumns(
         {
             "previous_order_at": F.lag(ts, 1).over(by_time),
-            "prior_mean_spend": F.avg(amount).over(before),
+            "prior_mean_spend": mean_of_parts(*sums),
         }
     ).withColumn(
         "days_since_last_order", days_between(F.col("previous_order_at"), F.col(ts))
@@ -104,12 +108,12 @@ def chunked_features(
 
     If ``key`` leads ``visit_keys``, all windows run on the one exchange by (key, chunk).
     """
+    parts = exact_parts(F.col(amount) if amount else F.lit(None).cast("double"))
     rows = df.withColumns(
         {
             "_kind": F.lit(_ORDER),
             "_ts": F.col(ts),
-            "_amount": F.col(amount) if amount else F.lit(None).cast("double"),
-            "_amounts": F.col(amount).isNotNull().cast("bigint") if amount else F.lit(0),
+            **{f"_{name}": part for name, part in parts.items()},
             "_visits": F.lit(1).cast("bigint"),
         }
     )
@@ -125,15 +129,12 @@ def chunked_features(
         rows = rows.withColumns(
             {
                 "_previous": F.lag("_ts", 1).over(by_time),
-                "_total": F.sum("_amount").over(before),
-                "_count": F.sum("_amounts").over(before),
+                **{f"_{name}_before": F.sum(f"_{name}").over(before) for name in parts},
             }
         )
         previous = F.col("_previous")
         added["previous_order_at"] = previous
-        added["prior_mean_spend"] = F.when(
-            F.col("_count") > 0, F.col("_total") / F.col("_count")
-        )
+        added["prior_mean_spend"] = mean_of_parts(*[F.col(f"_{name}_before") for name in parts])
         added["days_since_last_order"] = days_between(previous, F.col(ts))
     if visit_keys:
         by_visit = Window.partitionBy(*visit_keys, "_chunk").orderBy(*order)
@@ -147,25 +148,21 @@ def chunked_features(
 
 
 def _key_openings(df: DataFrame, key: str, ts: str, amount: str) -> DataFrame:
-    """Per (key, chunk): last time, sum and count of the amounts of all earlier chunks.
+    """Per (key, chunk): last time and the sums of the amounts' parts of all earlier chunks.
 
-    Amounts and times are combined per chunk first, so a key has one row per chunk here.
+    Parts and times are combined per chunk first, so a key has one row per chunk here.
     """
     by_chunk = Window.partitionBy(key).orderBy("_chunk")
     earlier = by_chunk.rowsBetween(_START, _PREVIOUS)
+    parts = exact_parts(F.col(amount))
     return (
         df.groupBy(key, "_chunk")
-        .agg(
-            F.max(ts).alias("_last"),
-            F.sum(amount).alias("_sum"),
-            F.count(amount).alias("_n"),
-        )
+        .agg(F.max(ts).alias("_last"), *[F.sum(part).alias(f"_sum_{name}") for name, part in parts.items()])
         .select(
             key,
             "_chunk",
             F.lag("_last", 1).over(by_chunk).alias("_ts"),
-            F.sum("_sum").over(earlier).alias("_amount"),
-            F.sum("_n").over(earlier).alias("_amounts"),
+            *[F.sum(f"_sum_{name}").over(earlier).alias(f"_{name}") for name in parts],
         )
         .where(F.col("_amounts").isNotNull())
         .withColumns({"_kind": F.lit(_KEY_OPENING), "_visits": F.lit(0).cast("bigint")})

@@ -22,16 +22,19 @@ def table_checks(
     at_least: Mapping[str, float] | None = None,
     unique: Sequence[str] = (),
     unique_severity: str = ERROR,
+    null_share: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """All row-level and key checks of one table, in one pass over it.
 
-    With a ``unique`` key the rows are counted per key first. Counts combine before the
+    ``null_share`` warns of columns of which more than a share is NULL. With a ``unique`` key the rows are counted per key first. Counts combine before the
     shuffle, so a key that holds a large part of the table arrives as one row per map task.
     """
     rules = {f"{name}: {c} is not null": F.col(c).isNull() for c in not_null}
     for column, low in (at_least or {}).items():
         rules[f"{name}: {column} >= {low:g}"] = F.col(column) < low
-    counted = [F.count_if(rule).alias(f"v{i}") for i, rule in enumerate(rules.values())]
+    shares = list((null_share or {}).items())
+    conditions = [*rules.values(), *[F.col(c).isNull() for c, _ in shares]]
+    counted = [F.count_if(rule).alias(f"v{i}") for i, rule in enumerate(conditions)]
     totals = [F.count(F.lit(1)).alias("total"), *counted]
     if unique:
         per_key = df.groupBy(*unique).agg(*totals)
@@ -42,13 +45,36 @@ def table_checks(
         result = per_key.agg(*sums, F.count(F.lit(1)).alias("keys"))
     else:
         result = df.agg(*totals)
-    found = [(rule, ERROR, F.col(f"v{i}")) for i, rule in enumerate(rules)]
+    found: list[tuple] = [(rule, ERROR, F.col(f"v{i}")) for i, rule in enumerate(rules)]
+    for i, (column, share) in enumerate(shares, len(rules)):
+        rule, few = f"{name}: at most {share:.0%} of {column} is null", F.col(f"v{i}") <= share * F.col("total")
+        found.append((rule, WARNING, F.col(f"v{i}"), "total", few))
     if unique:
         rule = f"{name}: ({', '.join(unique)}) is unique"
         found.append((rule, unique_severity, F.col("total") - F.col("keys")))
     return _unpivot(result, found)
 
 
+def load_checks(
+    df: DataFrame, quarantine: DataFrame, name: str, columns: Sequence[str], severity: str = WARNING
+) -> DataFrame:
+    """What a feed lost when it was stored as ``df``: malformed records, and values per column.
+
+    ``quarantine`` has the records that did not load whole (``sources.files.quarantined``).
+    """
+    nothing = F.lit(None).cast("array<string>")
+    rows = df.select(F.lit(1).alias("_row"), F.lit(False).alias("malformed"), nothing.alias("lost"))
+    kept = quarantine.select(F.lit(0).alias("_row"), "malformed", "lost")
+    counts = rows.unionByName(kept).agg(
+        F.coalesce(F.sum("_row"), F.lit(0)).cast("bigint").alias("total"),
+        F.count_if("malformed").alias("malformed"),
+        *[F.count_if(F.array_contains("lost", c)).alias(f"v{i}") for i, c in enumerate(columns)],
+    )
+    found = [(f"{name}: records are well-formed", severity, F.col("malformed"))]
+    found += [(f"{name}: {c} loads", severity, F.col(f"v{i}")) for i, c in enumerate(columns)]
+    return _unpivot(counts, found)
+
+
 def check_not_null(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
     return table_checks(df, name, not_null=columns)
 
@@ -266,17 +292,18 @@ def _matches(left: DataFrame, right: DataFrame, key: str, right_key: str) -> Dat
 
 
 def _unpivot(result: DataFrame, found: Sequence[tuple]) -> DataFrame:
-    """A row per (check, severity, violations) of the one row ``result``, a fourth item naming its total."""
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(check).alias("check"),
-                F.lit(severity).alias("severity"),
-                violations.alias("violations"),
-                F.col(*(total or ["total"])).alias("total"),
-                (violations == 0).alias("passed"),
-            )
-            for check, severity, violations, *total in found
-        ]
-    )
-    return result.select(F.inline(rows))
+    """A row per (check, severity, violations) of the one row ``result``.
+
+    A fourth item names its total, a fifth says what passes other than no violation.
+    """
+
+    def row(check: str, severity: str, violations: Column, total: str = "total", passed: Column | None = None):
+        return F.struct(
+            F.lit(check).alias("check"),
+            F.lit(severity).alias("severity"),
+            violations.alias("violations"),
+            F.col(total).alias("total"),
+            (violations == 0 if passed is None else passed).alias("passed"),
+        )
+
+    return result.select(F.inline(F.array(*[row(*one) for one in found])))

@@ -20,8 +20,8 @@ from trialflow.operators.carts import cart_features
 from trialflow.operators.dedup import dedup_latest
 from trialflow.operators.skew import HOT_ROWS
 from trialflow.plans.naming import legacy_abt, legacy_summary, own_abt, own_names, same_naming
-from trialflow.session import pin_utc
-from trialflow.sources.files import SourceSpec, ingest_all
+from trialflow.session import pin_utc, run_scope
+from trialflow.sources.files import QUARANTINE_SUFFIX, SourceSpec, ingest_all
 from trialflow.sources.tables import ensure_schema, write_table
 
 ORDER_COLUMNS = [
@@ -35,6 +35,16 @@ ORDER_COLUMNS = [
 ]
 
 
+# Columns of each feed that a text may fail to load into, and share of NULLs that is worth a warning.
+LOADED = {
+    "orders": ["order_created_at", "order_scheduled", "order_total_amount", "order_scheduled_date"],
+    "consumers": ["created_at", "active"],
+    "restaurants": ["created_at", "enabled", "price_range", "average_ticket", "delivery_time", "minimum_order_value"],
+    "ab_test_users": [],
+}
+NULL_SHARE = 0.01
+
+
 @dataclass(frozen=True)
 class Layout:
     """Where tables go. The names readers of the stored tables know."""
@@ -62,12 +72,13 @@ def clean_orders(
 def bronze(
     spark: SparkSession, registry: Mapping[str, SourceSpec], layout: Layout = Layout()
 ) -> dict[str, DataFrame]:
-    """Raw feeds as tables, unchanged."""
-    return ingest_all(spark, registry, layout.bronze)
+    """Raw feeds as tables, unchanged, and beside each the records that did not load whole."""
+    return ingest_all(spark, registry, layout.bronze, quarantine=True)
 
 
 def bronze_checks(orders, consumers, restaurants, assignment) -> list[DataFrame]:
     """What must hold of the raw tables. Repeated orders are only a warning: they get merged."""
+    shares = dict.fromkeys(["order_created_at", "order_total_amount"], NULL_SHARE)
     return [
         q.table_checks(
             orders,
@@ -76,23 +87,42 @@ def bronze_checks(orders, consumers, restaurants, assignment) -> list[DataFrame]
             {"order_total_amount": 0},
             ["order_id"],
             unique_severity=q.WARNING,
+            null_share=shares,
         ),
-        q.table_checks(restaurants, "restaurants", unique=["id"]),
+        q.table_checks(restaurants, "restaurants", unique=["id"], null_share={"average_ticket": NULL_SHARE}),
         q.participant_checks(orders, consumers, assignment),
     ]
 
 
+def bronze_load_checks(spark: SparkSession, layout: Layout = Layout(), severity: str = q.WARNING) -> list[DataFrame]:
+    """What the feeds lost on their way into the raw tables, for those that have a quarantine."""
+    return [
+        q.load_checks(spark.table(f"{layout.bronze}.{name}"), spark.table(kept), name, columns, severity)
+        for name, columns in LOADED.items()
+        if spark.catalog.tableExists(kept := f"{layout.bronze}.{name}{QUARANTINE_SUFFIX}")
+    ]
+
+
 def silver(
     spark: SparkSession,
     layout: Layout = Layout(),
     tz_col: str | None = None,
     enforce: bool = True,
+    load_severity: str = q.WARNING,
     hot_rows: int = HOT_ROWS,
     chunk_rows: int | None = None,
     legacy_names: bool = False,
 ) -> DataFrame:
-    """Check the bronze tables, clean the orders and store the base table."""
+    """Check the bronze tables, clean the orders and store the base table.
+
+    With ``load_severity`` "error" a feed that lost values stops the run.
+    """
     pin_utc(spark)
+    with run_scope(spark):
+        return _silver(spark, layout, tz_col, enforce, load_severity, hot_rows, chunk_rows, legacy_names)
+
+
+def _silver(spark, layout, tz_col, enforce, load_severity, hot_rows, chunk_rows, legacy_names) -> DataFrame:
     ensure_schema(spark, layout.silver)
     orders, consumers, restaurants, assignment = (
         spark.table(f"{layout.bronze}.{name}")
@@ -101,6 +131,7 @@ def silver(
     cleaned_name = f"{layout.silver}.orders_cleaned"
     report_name = f"{layout.silver}.quality_report"
     checks = bronze_checks(orders, consumers, restaurants, assignment)
+    checks += bronze_load_checks(spark, layout, load_severity)
     write_table(q.quality_report(*checks), report_name)
     if enforce:
         q.enforce(spark.table(report_name))
@@ -204,8 +235,9 @@ def run(
     legacy_n: bool = False,
     **silver_options,
 ) -> dict[str, DataFrame]:
-    """All three stages."""
+    """All three stages. What they stage on the way is removed; the results are stored tables."""
     pin_utc(spark)
-    bronze(spark, registry, layout)
-    silver(spark, layout, legacy_names=legacy_names, **silver_options)
-    return gold(spark, reference_date, layout, legacy_n, legacy_names)
+    with run_scope(spark):
+        bronze(spark, registry, layout)
+        silver(spark, layout, legacy_names=legacy_names, **silver_options)
+        return gold(spark, reference_date, layout, legacy_n, legacy_names)

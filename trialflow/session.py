@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
+from contextvars import ContextVar
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,17 +26,69 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder.
 
     It is the one named by ``spark.checkpoint.dir``; where that is unset, a folder in the
-    session's own table storage, which every executor must reach anyway.
+    session's own table storage. On a cluster that one may not be a folder of the driver's
+    machine, which other machines would neither see nor fill.
     """
     named = spark.conf.get(CHECKPOINT_CONF, None)
     if named:
         return named.rstrip("/")
-    return spark.conf.get(WAREHOUSE_CONF).rstrip("/") + "/_staging"
+    storage = spark.conf.get(WAREHOUSE_CONF).rstrip("/")
+    one_machine = re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master)
+    if not one_machine and _qualified(spark, storage).startswith("file:"):
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share; {storage} is local")
+    return storage + "/_staging"
+
+
+@dataclass
+class Run:
+    """What one run owns: its scratch folder, and what else is to be undone when it ends."""
+
+    folder: str
+    undo: ExitStack
+
+
+_RUN: ContextVar[Run | None] = ContextVar("trialflow_run", default=None)
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[Run]:
+    """Everything staged inside goes to one folder, which is removed at the end.
+
+    Results that read staged data must be stored inside the scope. Scopes may be nested: the
+    inner one removes what was staged within it, the outer one the rest.
+    """
+    run = Run(f"{shared_dir(spark)}/run-{uuid.uuid4().hex}", ExitStack())
+    token = _RUN.set(run)
+    try:
+        yield run
+    finally:
+        _RUN.reset(token)
+        run.undo.callback(remove, spark, run.folder)
+        run.undo.close()
+
+
+def at_end_of_run(undo, *args) -> None:
+    """Call ``undo(*args)`` when the current run ends; without a run, never."""
+    run = _RUN.get()
+    if run:
+        run.undo.callback(undo, *args)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path under the shared folder, or the current run's, that nothing else uses."""
+    run = _RUN.get()
+    return f"{run.folder if run else shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:

@@ -89,6 +89,50 @@ def edge_carts(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def spoilt_orders(orders: DataFrame) -> DataFrame:
+    """Orders as JSON lines; the last digit of the order key says what is wrong with a line.
+
+    1: the amount is a word; 2: the time has no milliseconds; 3: the line is cut off; 4: amount
+    and flag are words; the others are as they should be.
+    """
+    digit = F.substring_index("order_id", "-", 1).cast("bigint") % 10
+    time = F.date_format("order_created_at", "yyyy-MM-dd'T'HH:mm:ss")
+    word = lambda *digits: digit.isin(*digits)
+
+    def field(name: str, value: Column, text: Column) -> Column:
+        return F.concat(F.lit(f'"{name}":'), value, text)
+
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    amount = F.when(word(1, 4), F.lit('"n/a"')).otherwise(F.col("order_total_amount").cast("string"))
+    flag = F.when(word(4), F.lit('"maybe"')).otherwise(F.col("order_scheduled").cast("string"))
+    stamp = F.concat(time, F.when(word(2), F.lit("Z")).otherwise(F.lit(".000Z")))
+    line = F.concat(
+        F.lit("{"),
+        field("order_id", quoted(F.col("order_id")), F.lit(",")),
+        field("customer_id", quoted(F.col("customer_id")), F.lit(",")),
+        field("order_created_at", quoted(stamp), F.lit(",")),
+        field("order_scheduled", flag, F.lit(",")),
+        field("order_total_amount", amount, F.lit("}")),
+    )
+    cut = F.substring(line, F.lit(1), F.floor(F.length(line) / 2).cast("int"))
+    return orders.select(F.when(word(3), cut).otherwise(line).alias("value"))
+
+
+def spoilt_restaurants(restaurants: DataFrame) -> DataFrame:
+    """Restaurants as CSV lines; the last digit of the id says what is wrong with a line.
+
+    1: the price range is a word; 2: the line has two fields only; 3: it has one too many.
+    """
+    digit = F.col("id").cast("bigint") % 10
+    head = [F.col("id"), F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")]
+    price = F.when(digit == 1, "cheap").otherwise(F.col("price_range").cast("string"))
+    rest = ["average_ticket", "delivery_time", "minimum_order_value"]
+    place = [F.lit("14025"), F.col("merchant_city"), F.col("merchant_state"), F.col("merchant_country")]
+    whole = [*head, F.col("enabled").cast("string"), price, *[F.col(c).cast("string") for c in rest], *place]
+    line = F.when(digit == 2, F.concat_ws(",", *head)).when(digit == 3, F.concat_ws(",", *whole, F.lit("x")))
+    return restaurants.select(line.otherwise(F.concat_ws(",", *whole)).alias("value"))
+
+
 def consumers(customer: DataFrame) -> DataFrame:
     signup = F.date_sub(F.lit("1994-12-31").cast("date"), F.col("c_nationkey") * 17)
     return customer.select(

@@ -363,14 +363,27 @@ def ttest(source, metrics, by="", n=None, equal_var=True, control_n_only=False)
     SELECT {', '.join(c for c in output if c)} FROM tests"""
 
 
-def check(name: str, severity: str, violations: str, total: str, source: str) -> str:
+def check(name: str, severity: str, violations: str, total: str, source: str, share: float = 0) -> str:
     return (
         f"SELECT '{name}' AS \"check\", '{severity}' AS severity, "
         f"CAST({violations} AS BIGINT) AS violations, CAST({total} AS BIGINT) AS total, "
-        f"{violations} = 0 AS passed FROM {source}"
+        f"{violations} <= {share} * {total} AS passed FROM {source}"
     )
 
 
+def nulls(table: str, column: str, share: float, condition: str, source: str) -> str:
+    return check(f"{table}: at most {share:.0%} of {column} is null", "warning",
+                 f"count(*) FILTER ({condition})", "count(*)", source, share)
+
+
+def spoilt(table: str, key: str, losses: dict[str, str], malformed: str, source: str) -> str:
+    """What the load checks say of records whose key's last digit spoils them."""
+    digit = lambda digits: f"count(*) FILTER ({key} % 10 IN ({digits or 'NULL'}))"
+    rows = [check(f"{table}: records are well-formed", "warning", digit(malformed), "count(*)", source)]
+    rows += [check(f"{table}: {c} loads", "warning", digit(d), "count(*)", source) for c, d in losses.items()]
+    return union_all(*rows)
+
+
 def pair(name: str, left: str, left_key: str, right: str, right_key: str) -> str:
     hit = f"count(*) FILTER (k IN (SELECT {right_key} FROM {right}))"
     return (
@@ -487,6 +500,21 @@ ORACLE: dict[str, str] = {
         order_total_amount, origin_platform, CAST(NULL AS VARCHAR) AS cpf,
         l_orderkey IS NULL AS no_cart, {features()} FROM feed_carts""",
     "ingest_csv_roundtrip": with_("restaurants") + "SELECT * FROM restaurants",
+    "ingest_quarantine": with_("feed", "restaurants")
+    + union_all(
+        spoilt("orders", "o_orderkey", {"order_created_at": "2", "order_scheduled": "4",
+               "order_total_amount": "1, 4", "order_scheduled_date": ""}, "3", "feed"),
+        spoilt("restaurants", "CAST(id AS BIGINT)", dict.fromkeys(
+            ["created_at", "enabled", "average_ticket", "delivery_time", "minimum_order_value"], "")
+            | {"price_range": "1"}, "2, 3", "restaurants"),
+        check("orders: order_id is not null", "error",
+              "count(*) FILTER (o_orderkey % 10 = 3)", "count(*)", "feed"),
+        nulls("orders", "order_created_at", 0.01, "o_orderkey % 10 IN (2, 3)", "feed"),
+        nulls("orders", "order_total_amount", 0.01, "o_orderkey % 10 IN (1, 3, 4)", "feed"),
+        check("restaurants: id is not null", "error", "0", "count(*)", "restaurants"),
+        nulls("restaurants", "price_range", 0.5,
+              "CAST(id AS BIGINT) % 10 IN (1, 2)", "restaurants"),
+    ),
     "table_write_read": with_("restaurants")
     + """SELECT id, average_ticket, CAST(NULL AS BOOLEAN) AS enabled,
         CAST(NULL AS INTEGER) AS price_range FROM restaurants""",
@@ -503,6 +531,9 @@ ORACLE: dict[str, str] = {
               "count(*) FILTER (order_total_amount < 0)", "count(*)", "feed"),
         check("orders: (order_id) is unique", "warning",
               f"(count(*) - {_DISTINCT_ORDERS})", "count(*)", "feed"),
+        nulls("orders", "order_created_at", 0.01, "order_created_at IS NULL", "feed"),
+        nulls("orders", "order_total_amount", 0.01, "order_total_amount IS NULL", "feed"),
+        nulls("restaurants", "average_ticket", 0.01, "average_ticket IS NULL", "restaurants"),
         check("consumers: customer_id is not null", "error",
               "count(*) FILTER (customer_id IS NULL)", "count(*)", "consumers"),
         check("consumers: (customer_id) is unique", "error",
@@ -579,6 +610,15 @@ ORACLE: dict[str, str] = {
     "event_day_period": """SELECT event_id,
         CASE hour(ts) // 6 WHEN 1 THEN 'morning' WHEN 2 THEN 'afternoon' WHEN 3 THEN 'evening'
             WHEN 0 THEN 'night' END AS day_period FROM events""",
+    "event_day_period_zoned": """
+        SELECT event_id, zone, CASE WHEN moment IS NOT NULL THEN period END AS day_period,
+            period AS legacy_day_period
+        FROM (SELECT *, CASE hour(moment) // 6 WHEN 1 THEN 'morning' WHEN 2 THEN 'afternoon'
+                WHEN 3 THEN 'evening' ELSE 'night' END AS period
+            FROM (SELECT event_id, zones[user_id % 3 + 1] AS zone,
+                CASE WHEN event_id % 10 <> 0 THEN ts + to_minutes(shifts[user_id % 3 + 1]) END AS moment
+                FROM events, (SELECT ['UTC', 'America/Sao_Paulo', 'Asia/Kolkata'] AS zones,
+                    [0, -180, 330] AS shifts)))""",
     "user_kpis": with_("kpis") + f"SELECT customer_id, {_KPI_COLUMNS} FROM kpis",
     "retention_flags": with_("flags")
     + """SELECT customer_id, first_order_at, second_order_at, is_retained_7d, is_retained_14d
@@ -586,6 +626,9 @@ ORACLE: dict[str, str] = {
     "user_spine": with_("spine")
     + f"""SELECT customer_id, arm, {_KPI_COLUMNS}, is_retained_7d, is_retained_14d
         FROM spine""",
+    "segment_spine": with_("segmented")
+    + f"""SELECT customer_id, lifecycle_segment, arm, {_KPI_COLUMNS}, is_retained_7d,
+        is_retained_14d FROM segmented""",
     "user_metrics": with_("spine", "segments")
     + f"""SELECT customer_id, arm, {_KPI_COLUMNS}, is_retained_7d, is_retained_14d,
         lifecycle_segment FROM spine LEFT JOIN segments USING (customer_id)""",

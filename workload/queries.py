@@ -22,9 +22,9 @@ from trialflow.operators.dedup import dedup_latest, duplicate_sample, find_dupli
 from trialflow.operators.history import customer_history, visit_ordinal
 from trialflow.plans import medallion
 from trialflow.plans.medallion import bronze_checks, clean_orders
-from trialflow.session import pin_utc, scratch_path, stage
+from trialflow.session import at_end_of_run, pin_utc, scratch_path, stage
 from trialflow.sources import schemas
-from trialflow.sources.files import CSV_OPTIONS, JSON_OPTIONS, SourceSpec, ingest
+from trialflow.sources.files import CSV_OPTIONS, JSON_OPTIONS, SourceSpec, ingest, ingest_all
 from trialflow.sources.tables import ensure_schema, read_table, write_table
 from workload import feeds
 from workload.feeds import table
@@ -54,6 +54,7 @@ def _new_schema(spark: SparkSession) -> str:
     path = scratch_path(spark, "schema")
     name = "trialflow_" + path.rsplit("-", 1)[1]
     ensure_schema(spark, name, path)
+    at_end_of_run(spark.sql, f"DROP SCHEMA IF EXISTS {name} CASCADE")
     return name
 
 
@@ -61,7 +62,7 @@ def ingest_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "orders-json")
     raw = feeds.load(spark, sf_dir).orders
     raw.write.options(compression="gzip", **JSON_OPTIONS).json(path)
-    spec = SourceSpec("json", path, schemas.ORDERS, JSON_OPTIONS, rebalance=True)
+    spec = SourceSpec("json", path, schemas.ORDERS, JSON_OPTIONS)
     stored = ingest(spark, spec, f"{_new_schema(spark)}.orders")
     rows = stored.select(
         "order_id",
@@ -82,10 +83,34 @@ def ingest_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "restaurants-csv")
     raw = feeds.load(spark, sf_dir).restaurants
     raw.write.options(compression="gzip", **CSV_OPTIONS).csv(path)
-    spec = SourceSpec("csv", path, schemas.RESTAURANTS, CSV_OPTIONS, rebalance=True)
+    spec = SourceSpec("csv", path, schemas.RESTAURANTS, CSV_OPTIONS)
     return ingest(spark, spec, f"{_new_schema(spark)}.restaurants")
 
 
+def ingest_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds with spoilt records, stored with their quarantine, and what the report says of them.
+
+    The order's or restaurant's key decides how its record is spoilt, if at all.
+    """
+    feed, root, schema = feeds.load(spark, sf_dir), scratch_path(spark, "spoilt"), _new_schema(spark)
+    feeds.spoilt_orders(feed.orders).write.option("compression", "gzip").text(f"{root}/orders")
+    feeds.spoilt_restaurants(feed.restaurants).write.text(f"{root}/restaurants")
+    specs = {
+        "orders": SourceSpec("json", f"{root}/orders", schemas.ORDERS, JSON_OPTIONS),
+        "restaurants": SourceSpec(
+            "csv", f"{root}/restaurants", schemas.RESTAURANTS, {**CSV_OPTIONS, "header": "false"}
+        ),
+    }
+    stored = ingest_all(spark, specs, schema, quarantine=True)
+    layout = medallion.Layout(bronze=schema)
+    shares = dict.fromkeys(["order_created_at", "order_total_amount"], medallion.NULL_SHARE)
+    return q.quality_report(
+        *medallion.bronze_load_checks(spark, layout),
+        q.table_checks(stored["orders"], "orders", ["order_id"], null_share=shares),
+        q.table_checks(stored["restaurants"], "restaurants", ["id"], null_share={"price_range": 0.5}),
+    )
+
+
 def table_write_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write, replace with another schema, then replace while keeping the old columns."""
     name = f"{_new_schema(spark)}.restaurants"
@@ -274,6 +299,25 @@ def event_day_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", day_period(F.col("ts")).alias("day_period"))
 
 
+ZONES = {"America/Sao_Paulo": 1, "Asia/Kolkata": 2, "UTC": 0}
+
+
+def event_day_period_zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Day periods in the zone of each user, and unknown times once without, once with a period."""
+    pin_utc(spark)
+    user, zone = F.col("user_id") % len(ZONES), F.lit("UTC")
+    for name, rest in ZONES.items():
+        zone = F.when(user == rest, name).otherwise(zone)
+    time = F.when(F.col("event_id") % 10 != 0, F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events").select("event_id", time.alias("at"), zone.alias("zone"))
+    return events.select(
+        "event_id",
+        "zone",
+        day_period(F.col("at"), tz=F.col("zone")).alias("day_period"),
+        day_period(F.col("at"), tz=F.col("zone"), legacy_null_bucket=True).alias("legacy_day_period"),
+    )
+
+
 # ---------------------------------------------------------------- users and experiment
 
 _GOLD_INPUT = [
@@ -324,6 +368,15 @@ def user_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gridded(_spine(spark, sf_dir), **_KPI_GRID)
 
 
+def segment_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with a segment, from the separate tables of segments, users, KPIs and flags."""
+    rows, feed = _gold_input(spark, sf_dir), feeds.load(spark, sf_dir)
+    spine = u.segment_spine(
+        u.lifecycle_segment(rows, END), u.experiment_users(feed.assignment), u.user_kpis(rows), u.retention_flags(rows)
+    )
+    return gridded(spine, **_KPI_GRID)
+
+
 def user_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gold stage's per-user table."""
     return gridded(_users(spark, sf_dir), **_KPI_GRID)
@@ -435,7 +488,7 @@ def ttest_by_segment_control_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- the whole job
 
 
-def _run_job(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def run_job(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Feeds written as gzip JSON, gzip CSV and plain CSV, and all stages run from these files."""
     feed, root = feeds.load(spark, sf_dir), scratch_path(spark, "feeds")
     unknown = F.lit(None).cast("string")
@@ -447,11 +500,9 @@ def _run_job(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     feed.restaurants.write.options(compression="gzip", **CSV_OPTIONS).csv(f"{root}/restaurants")
     feed.assignment.write.options(**CSV_OPTIONS).csv(f"{root}/assignment")
     registry = {
-        "orders": SourceSpec("json", f"{root}/orders", schemas.ORDERS, JSON_OPTIONS, True),
-        "consumers": SourceSpec("csv", f"{root}/consumers", schemas.CONSUMERS, CSV_OPTIONS, True),
-        "restaurants": SourceSpec(
-            "csv", f"{root}/restaurants", schemas.RESTAURANTS, CSV_OPTIONS, True
-        ),
+        "orders": SourceSpec("json", f"{root}/orders", schemas.ORDERS, JSON_OPTIONS),
+        "consumers": SourceSpec("csv", f"{root}/consumers", schemas.CONSUMERS, CSV_OPTIONS),
+        "restaurants": SourceSpec("csv", f"{root}/restaurants", schemas.RESTAURANTS, CSV_OPTIONS),
         "ab_test_users": SourceSpec(
             "csv", f"{root}/assignment", schemas.AB_TEST_USERS, CSV_OPTIONS
         ),
@@ -460,29 +511,31 @@ def _run_job(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return medallion.run(spark, registry, END, layout)
 
 
-def job_summary_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid_summary(_run_job(spark, sf_dir)["summary_by_arm"])
-
-
-def job_ttest_by_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid_tests(_run_job(spark, sf_dir)["ttest_by_arm"])
+# Query -> stored result of the whole job, and how it is cut to a grid.
+JOB = {
+    "pipeline_summary_by_arm": ("summary_by_arm", _grid_summary),
+    "pipeline_ttest_by_arm": ("ttest_by_arm", _grid_tests),
+    "pipeline_ttest_by_segment": ("ttest_by_segment", _grid_tests),
+    "pipeline_integrity": ("integrity", lambda df: gridded(df, users_with_orders_pct=6)),
+}
 
 
-def job_ttest_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid_tests(_run_job(spark, sf_dir)["ttest_by_segment"])
+def of_job(results: dict[str, DataFrame], name: str) -> DataFrame:
+    """The rows of one pipeline query, from a run of the job."""
+    result, cut = JOB[name]
+    return cut(results[result])
 
 
-def job_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gridded(_run_job(spark, sf_dir)["integrity"], users_with_orders_pct=6)
+def job_query(name: str):
+    """The whole job, and one of its results."""
+    return lambda spark, sf_dir: of_job(run_job(spark, sf_dir), name)
 
 
 ALL = {
-    "pipeline_summary_by_arm": job_summary_by_arm,
-    "pipeline_ttest_by_arm": job_ttest_by_arm,
-    "pipeline_ttest_by_segment": job_ttest_by_segment,
-    "pipeline_integrity": job_integrity,
+    **{name: job_query(name) for name in JOB},
     "ingest_json_roundtrip": ingest_json_roundtrip,
     "ingest_csv_roundtrip": ingest_csv_roundtrip,
+    "ingest_quarantine": ingest_quarantine,
     "table_write_read": table_write_read,
     "sql_view_projection": sql_view_projection,
     "quality_report": quality_report,
@@ -501,9 +554,11 @@ ALL = {
     "event_history": event_history,
     "event_ordinal": event_ordinal,
     "event_day_period": event_day_period,
+    "event_day_period_zoned": event_day_period_zoned,
     "user_kpis": user_kpis,
     "retention_flags": retention_flags,
     "user_spine": user_spine,
+    "segment_spine": segment_spine,
     "user_metrics": user_metrics,
     "kpi_summary_by_arm": kpi_summary_by_arm,
     "kpi_summary_conditional": kpi_summary_conditional,

@@ -31,8 +31,7 @@ def op1_sql() -> str:
         g AS (SELECT count(*) AS n, avg(size) AS average FROM s),
         f AS (SELECT word, count(*) AS df FROM p GROUP BY word HAVING count(*) >= 2),
         i AS (SELECT word, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM f, g),
-        q AS (SELECT p.doc_id AS query_id, word, idf FROM p JOIN i USING (word) WHERE p.doc_id % 100 = 0
-            QUALIFY row_number() OVER (PARTITION BY p.doc_id ORDER BY round(tf * idf, 9) DESC, word) <= {topk.QUERY_TERMS}),
+        q AS (SELECT p.doc_id AS query_id, word, idf FROM p JOIN i USING (word) WHERE p.doc_id % 100 = 0),
         r AS (SELECT query_id, p.doc_id, round(sum(idf * tf * {k1 + 1} / (tf + {k1} * ({1 - b} + {b} * size / average))), {topk.DIGITS}) AS score
             FROM q JOIN p USING (word) JOIN s ON p.doc_id = s.doc_id, g GROUP BY ALL)
         SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank

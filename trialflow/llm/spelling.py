@@ -25,6 +25,8 @@ MIN_LENGTH, MIN_COUNT = 6, 5
 RATIO = 5
 #: Of runs whose hash this number divides, one letter is dropped (see ``slipped``).
 SLIP = 199
+#: Words whose tiles one task compares, about.
+TASK_WORDS = 10_000
 #: Words of a block at most on average, and numbers in its matrix.
 BLOCK, BLOCK_NUMBERS = 512, 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -128,10 +130,10 @@ def near_in_tile(first: list[str], second: list[str] | None, m: int, half: int)
     return np.nonzero(near)
 
 
-def near_words(dealt: DataFrame) -> DataFrame:
+def near_words(dealt: DataFrame, n_tasks: int) -> DataFrame:
     """(word, n_near, best): in parts, how many words are one edit away, and the most frequent of them as (-n, word)."""
     key = ["m", "half", "key", "i", "j"]
-    sent = dealt.repartition(*key).sortWithinPartitions(*key, "word")
+    sent = dealt.repartition(max(1, n_tasks), *key).sortWithinPartitions(*key, "word")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
@@ -199,7 +201,7 @@ def variant_groups(words: DataFrame, ratio: int = RATIO, block: int = BLOCK) ->
     if ratio < 2:
         raise ValueError("chains of forms end only if a form is more frequent than its word")
     words = stage(words.select("word", F.col("n").cast("long").alias("n")), "spelling-words")
-    near = near_words(tiles(words, block)).groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
+    near = near_words(tiles(words, block), -(-words.count() // TASK_WORDS)).groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
     common = -F.col("best.less") >= ratio * F.col("n")
     found = stage(
         words.join(near, "word", "left").select(

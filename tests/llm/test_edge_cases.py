@@ -144,7 +144,7 @@ def test_toxicity_catches_misspelling_and_spares_clean_texts(spark, docs, none):
     own = spark.createDataFrame(bad + good, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 60)) for i in range(300)], "doc_id long, toxic int")
     model = toxicity.fit(own, labels)
-    assert {"idiot", "scum"} <= set(model.terms)
+    assert {"idiot", "scum"} <= set(model.lexicon.terms)
     scores = {r["doc_id"]: r["score"] for r in toxicity.score(own, model).collect()}
     assert all((scores[i] >= 0.5) == (i < 60) for i in scores)
     assert toxicity.score(docs, model).count() == len(TEXTS)

@@ -16,13 +16,13 @@ from trialflow.session import stage
 
 #: Labelled documents that the lexicon and the weights are fitted on at most, those with the smallest hash.
 MAX_TRAINING_ROWS = 20_000
-#: Terms that the lexicon has at most, the most telling ones.
-MAX_TERMS = 200
-#: A term is in so many toxic training documents at least, and in this share of them ...
-MIN_TOXIC = 5
-MIN_TOXIC_SHARE = 0.02
-#: ... and its odds among toxic documents are so many times those among the others.
-MIN_ODDS = 8.0
+#: A term is in so many toxic training documents at least, however many there are ...
+MIN_TOXIC = 3
+#: ... and its odds among toxic documents are so many times those among the others. Both must also
+#: be more than the most that as many words would show by chance (see ``_told_apart``).
+MIN_ODDS = 20.0
+#: Odds from which a word near a hit counts, and hits that it is near at least.
+MIN_CONTEXT_ODDS, MIN_CONTEXT = 2.0, 5
 #: Letters of a term from which one and two spelling errors are allowed.
 ONE_ERROR, TWO_ERRORS = 5, 9
 #: Words before and after a hit that make up its context.
@@ -32,11 +32,7 @@ _REMEMBERED = 200_000
 _QUOTES = "\"'“”„«»‘’‹›`"
 _OPEN, _CLOSE = "\"“„«‘‹`'", "\"”“»’›`'"
 _EDGES = ".,;:!?()[]{}<>*#$%&@~^_=+|/\\-" + _QUOTES
-#: Words that report speech or mention a word (fixed values).
-REPORTING = frozenset("said says say wrote writes called calls quote quoted quotes term word sagte schrieb wort zitat dit écrit mot dijo escribió palabra".split())
-#: Words that address or point at someone (fixed values).
-ADDRESS = frozenset("you your you're u ur he she they them him her this these du dein ihr sie tu vous ton votre tú usted tus ese".split())
-FEATURES = ("exact", "near", "quoted", "addressed", "any", "two", "density", "terms")
+FEATURES = ("exact", "near", "quoted", "context", "any", "two", "density", "terms", "strength")
 
 
 class TermAutomaton:
@@ -118,57 +114,75 @@ class TermAutomaton:
         return self.accepts[state] if state >= 0 else None
 
 
+@dataclass(frozen=True)
+class Lexicon:
+    """Terms with their log odds of standing in toxic documents, and words with theirs of standing near a hit there."""
+
+    terms: dict[str, float]
+    context: dict[str, float]
+
+
 class Remembered(dict):
     """Outcome of each word as written: None, or (errors, term)."""
 
-    def __init__(self, terms: list[str]) -> None:
+    def __init__(self, lexicon: Lexicon) -> None:
         super().__init__()
-        self.automaton = TermAutomaton(terms)
+        self.lexicon = lexicon
+        self.automaton = TermAutomaton(list(lexicon.terms))
 
     def __missing__(self, word: str) -> tuple[int, str] | None:
         out = self[word] = self.automaton.match(word.strip(_EDGES))
         return out
 
+    def hits(self, words: list[str]) -> list[tuple[int, tuple[int, str]]]:
+        if len(self) > _REMEMBERED:
+            self.clear()
+        return [(i, h) for i, h in enumerate(map(self.__getitem__, words)) if h]
+
 
 def _is_quoted(words: list[str], at: int) -> bool:
-    """Whether the word stands in quotation marks or near a word that reports it."""
+    """Whether the word stands in quotation marks."""
     own = words[at]
     if own[0] in _OPEN and own.rstrip(".,;:!?")[-1] in _CLOSE and len(own) > 1:
         return True
     before, after = words[max(0, at - CONTEXT) : at], words[at + 1 : at + 1 + CONTEXT]
     opened = own[0] in _OPEN or any(w[0] in _OPEN and not w.rstrip(".,;:!?")[-1:] in tuple(_CLOSE) for w in before)
     closed = own.rstrip(".,;:!?")[-1:] in tuple(_CLOSE) or any(w.rstrip(".,;:!?")[-1:] in tuple(_CLOSE) for w in after)
-    return (opened and closed) or any(w.strip(_EDGES) in REPORTING for w in before)
+    return opened and closed
+
+
+def _around(words: list[str], at: int) -> set[str]:
+    """The words around a hit, those before it marked apart from those after it."""
+    before, after = words[max(0, at - CONTEXT) : at], words[at + 1 : at + 1 + CONTEXT]
+    return {"<" + w.strip(_EDGES) for w in before} | {">" + w.strip(_EDGES) for w in after}
 
 
 def features(text: str | None, memory: Remembered) -> list[float]:
-    """FEATURES of a whole text: hits as written and misspelled, quoted, addressed, and how dense they are."""
+    """FEATURES of a whole text: hits as written and misspelled, quoted, in what context, how dense and how telling."""
     words = (text or "").lower().split()
-    if len(memory) > _REMEMBERED:
-        memory.clear()
-    hits = [(i, h) for i, h in enumerate(map(memory.__getitem__, words)) if h]
+    hits = memory.hits(words)
     if not hits:
         return [0.0] * len(FEATURES)
-    exact = near = quoted = addressed = 0
-    for i, (errors, _) in hits:
+    exact = near = quoted = 0
+    context, strength, known = [], 0.0, memory.lexicon
+    for i, (errors, term) in hits:
         if _is_quoted(words, i):
             quoted += 1
-        elif errors:
-            near += 1
         else:
-            exact += 1
-        around = words[max(0, i - CONTEXT) : i] + words[i + 1 : i + 1 + CONTEXT]
-        addressed += any(w.strip(_EDGES) in ADDRESS for w in around)
+            exact, near = exact + (not errors), near + bool(errors)
+            strength = max(strength, known.terms[term] / (1 + errors))
+        if known.context:
+            context.append(sum(known.context.get(w, 0.0) for w in _around(words, i)))
     log = np.log1p
     return [
-        float(log(exact)), float(log(near)), float(log(quoted)), float(log(addressed)), float(exact + near > 0),
-        float(exact >= 2), float(log(1000 * (exact + near) / len(words))), float(len({t for _, (e, t) in hits if not e})),
+        float(log(exact)), float(log(near)), float(log(quoted)), float(np.clip(np.mean(context), -6, 6)) if context else 0.0, float(exact + near > 0),
+        float(exact >= 2), float(log(1000 * (exact + near) / len(words))), float(log(len({t for _, (e, t) in hits if not e}))), strength,
     ]
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    terms: list[str]
+    lexicon: Lexicon
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -178,7 +192,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def fit_weights(rows: np.ndarray, toxic: np.ndarray, terms: list[str], ridge: float = 1.0) -> ToxicityModel:
+def fit_weights(rows: np.ndarray, toxic: np.ndarray, lexicon: Lexicon, ridge: float = 1.0) -> ToxicityModel:
     """Logistic regression by Newton steps; without rows every score is one half of an unknown."""
     if len(rows) == 0:
         rows, toxic = np.zeros((2, len(FEATURES))), np.array([0.0, 1.0])
@@ -192,39 +206,93 @@ def fit_weights(rows: np.ndarray, toxic: np.ndarray, terms: list[str], ridge: fl
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
-    return ToxicityModel(terms, mean, scale, w)
+    return ToxicityModel(lexicon, mean, scale, w)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
-    """(text, toxic) of at most ``max_rows`` labelled documents outside the held-out fold, as a written table."""
+    """(text, toxic) of at most ``max_rows`` labelled documents outside the held-out fold, as a written table.
+
+    Of rows that repeat an id one is taken, so that the bound holds.
+    """
     chosen = (
         labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).dropna()
         .filter(F.crc32(F.col("__id").cast("string")) % 5 != 0).dropDuplicates(["__id"])
         .orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     )
-    return stage(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "toxic"), "toxicity-training")
+    own = docs.select(F.col("doc_id").alias("__doc"), F.col("text").alias("text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    once = own.groupBy("__id").agg(F.min(F.struct("text", "toxic")).alias("row"))
+    return stage(once.select("row.text", "row.toxic"), "toxicity-training")
 
 
-def learn_terms(training: DataFrame) -> list[str]:
-    """The words whose presence tells toxic documents from others, most telling first."""
+def _told_apart(counted: DataFrame, bad: int, good: int, min_odds: float) -> DataFrame:
+    """(word, log_odds) of (word, t, c): words of ``bad`` toxic and ``good`` other texts that tell one from the other.
+
+    The evidence is twice the log ratio of likelihoods with and without a difference. Of n words without
+    any, the largest is about 2 ln n; a word needs more.
+    """
+    t, c = F.col("t"), F.col("c")
+    min_evidence = 2 * np.log(max(counted.count(), 1))
+    odds = ((t + 0.5) / (bad - t + 0.5)) / ((c + 0.5) / (good - c + 0.5))
+    every = bad + good
+
+    def part(seen, of):
+        """Seen documents times the log of how many times the expected number that is."""
+        return F.when(seen > 0, seen * F.log(seen / of)).otherwise(0.0)
+
+    def likelihood(seen, size):
+        share = (t + c) / every
+        return part(seen, size * share) + part(size - seen, size * (1 - share))
+
+    evidence = 2 * (likelihood(t, F.lit(float(bad))) + likelihood(c, F.lit(float(good))))
+    told = counted.withColumns({"log_odds": F.log(odds), "evidence": evidence})
+    return told.filter((F.abs("log_odds") >= np.log(min_odds)) & (F.col("evidence") >= min_evidence)).select("word", "log_odds", "t", "c")
+
+
+def _counted_words(training: DataFrame, words_of) -> DataFrame:
+    """(word, t, c): how often ``words_of`` finds a word in toxic and in other documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = words_of()
         for batch in batches:
             for piece, _, _ in tx.pieces(batch):
                 n = (Counter(), Counter())
                 for text, toxic in zip(piece.column("text").to_pylist(), piece.column("toxic").to_pylist()):
-                    n[toxic == 1].update({s for w in (text or "").lower().split() if len(s := w.strip(_EDGES)) >= 3})
+                    n[toxic == 1].update(found((text or "").lower().split()))
                 for toxic in (0, 1):
                     yield pa.RecordBatch.from_arrays([pa.array(list(n[toxic]), pa.string()), pa.array(list(n[toxic].values()), pa.int64()), pa.array([toxic] * len(n[toxic]), pa.int32())], ["word", "n", "toxic"])
 
+    by_word = training.mapInArrow(count, "word string, n long, toxic int").groupBy("word")
+    of = lambda kind: F.sum(F.when(F.col("toxic") == kind, F.col("n")).otherwise(0))
+    return by_word.agg(of(1).alias("t"), of(0).alias("c"))
+
+
+def learn_lexicon(training: DataFrame) -> Lexicon:
+    """The words whose presence tells toxic documents from others, and the words whose presence near a hit does.
+
+    Support and evidence are absolute: a language or a term that few documents have is told by as
+    many documents in a large sample as in a small one. The sample bounds both lists.
+    """
     sizes = {r["toxic"] == 1: r["n"] for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(True, 0), sizes.get(False, 0)
-    by_word = training.mapInArrow(count, "word string, n long, toxic int").groupBy("word").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")
-    )
-    odds = ((F.col("t") + 0.5) / (bad - F.col("t") + 0.5)) / ((F.col("c") + 0.5) / (good - F.col("c") + 0.5))
-    telling = by_word.filter(F.col("t") >= max(MIN_TOXIC, MIN_TOXIC_SHARE * bad)).filter(odds >= MIN_ODDS)
-    return [r["word"] for r in telling.orderBy((F.col("t") * F.log(odds)).desc(), "word").limit(MAX_TERMS).collect()]
+    if not bad or not good:
+        return Lexicon({}, {})
+    words = _counted_words(training, lambda: lambda words: {s for w in words if len(s := w.strip(_EDGES)) >= 3})
+    words = stage(words.filter(F.col("t") >= MIN_TOXIC), "toxicity-words")
+    telling = _told_apart(words, bad, good, MIN_ODDS).filter("log_odds > 0")
+    terms = {r["word"]: r["log_odds"] for r in telling.orderBy("word").collect()}
+
+    def near_hits():
+        memory = Remembered(Lexicon(terms, {}))
+        # A hit is a word of its own here, so that hits are counted too.
+        return lambda words: [w for i, _ in memory.hits(words) for w in {"", *_around(words, i)}]
+
+    near = stage(_counted_words(training, near_hits), "toxicity-context")
+    hit = near.filter("word = ''").first()
+    if hit is None or not hit["t"] or not hit["c"]:
+        return Lexicon(terms, {})
+    around = near.filter("length(word) > 1").filter(F.col("t") + F.col("c") >= MIN_CONTEXT)
+    told = _told_apart(around, hit["t"], hit["c"], MIN_CONTEXT_ODDS)
+    return Lexicon(terms, {r["word"]: float(np.clip(r["log_odds"], -3, 3)) for r in told.orderBy("word").collect()})
 
 
 def _features_of(piece: pa.RecordBatch, memory: Remembered, text_col: str) -> np.ndarray:
@@ -238,16 +306,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
     labels the lexicon is empty and every score is the same.
     """
     training = training_rows(docs, labels, max_rows)
-    terms = learn_terms(training)
+    lexicon = learn_lexicon(training)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Remembered(terms)
+        memory = Remembered(lexicon)
         for batch in batches:
             for piece, _, _ in tx.pieces(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(_features_of(piece, memory, "text").tolist(), pa.list_(pa.float64())), piece.column("toxic")], ["x", "toxic"])
 
     rows = training.mapInArrow(extract, "x array<double>, toxic int").collect()
-    return fit_weights(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([float(r["toxic"] == 1) for r in rows]), terms)
+    return fit_weights(np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([float(r["toxic"] == 1) for r in rows]), lexicon)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,7 +327,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Remembered(model.terms)
+        memory = Remembered(model.lexicon)
         for batch in batches:
             for piece, _, _ in tx.pieces(batch):
                 x = _features_of(piece, memory, "text")
@@ -273,7 +341,7 @@ def not_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", lim
     """The rows of ``docs`` whose score is under ``limit``, all columns kept; nothing is shuffled."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Remembered(model.terms)
+        memory = Remembered(model.lexicon)
         for batch in batches:
             for piece, _, _ in tx.pieces(batch, text_col):
                 yield piece.filter(pa.array(model.scores(_features_of(piece, memory, text_col)) < limit))

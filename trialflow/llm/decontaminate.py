@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 
 from trialflow.llm import text as tx
 
-#: Token positions that a seed keeps. With these masks, 13 tokens of which any two are replaced
-#: still hold at least one seed without a replaced token.
-MASKS = ((0, 1, 3, 5, 7, 8), (0, 1, 2, 8, 9, 10), (0, 3, 4, 5, 6, 10))
-SPAN = 11
+#: Token positions that a seed keeps. Every pattern of replaced tokens that the rule below accepts
+#: leaves at least one seed whole: tried out for 13 to 25 tokens, and of a longer stretch one half or
+#: the other is accepted as well.
+MASKS = ((0, 1, 3, 5, 7, 8), (0, 1, 2, 8, 9, 10), (0, 1, 7, 9, 10, 11), (0, 1, 2, 3, 5, 6))
 #: An overlap has so many tokens at least (a shorter item: all of its tokens) ...
 MIN_OVERLAP = 13
 #: ... of which so many in a hundred are equal.
@@ -27,12 +28,25 @@ _FILTER_BITS = 22
 _KEEP = np.random.default_rng(7).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+def short_masks(n: int) -> list[tuple[int, ...]]:
+    """Masks for an item of ``n`` < MIN_OVERLAP tokens, of which all count.
+
+    The item is cut into two more parts than tokens may be replaced; each mask leaves out as many
+    parts, so one of them holds no replaced token.
+    """
+    errors = n * (100 - MIN_EQUAL_PCT) // 100
+    cuts = [n * k // (errors + 2) for k in range(errors + 3)]
+    parts = [range(i, j) for i, j in zip(cuts, cuts[1:])]
+    kept = combinations(parts, len(parts) - errors) if errors else [[range(n)]]
+    return [tuple(at for part in some for at in part) for some in kept]
+
+
 def seed_hashes(tokens: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     """One hash for each placement of ``mask``; what a mask skips does not count."""
     n = len(tokens) - mask[-1]
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(n, np.uint64(len(mask) * 64 + mask[-1]))
+    total = np.full(n, np.bitwise_xor.reduce(_KEEP[list(mask)] * np.uint64(len(mask))))
     for k, at in enumerate(mask):
         total += tokens[at : at + n] * _KEEP[k]
     return tx.mix64(total)
@@ -58,17 +72,16 @@ def _tokens(text: str | None) -> np.ndarray:
 
 
 def build_block(rows: list[tuple]) -> Block:
-    """Seeds of (item_id, text) rows; an item shorter than a mask's span is one seed of all its tokens."""
+    """Seeds of (item_id, text) rows; an item of fewer tokens than an overlap has seeds of its own, at its start."""
     items, tokens = [r[0] for r in rows], [_tokens(r[1]) for r in rows]
-    short = sorted({len(t) for t in tokens if 0 < len(t) < SPAN})
-    masks = [*MASKS, *[tuple(range(n)) for n in short]]
+    used: dict[tuple[int, ...], None] = {}
     found = []
     for i, t in enumerate(tokens):
-        for mask in masks if len(t) >= SPAN else [tuple(range(len(t)))] if len(t) else []:
-            if len(t) >= SPAN and mask not in MASKS:
-                continue
-            h = seed_hashes(t, mask)
+        for mask in MASKS if len(t) >= MIN_OVERLAP else short_masks(len(t)) if len(t) else []:
+            used[mask] = None
+            h = seed_hashes(t, mask) if len(t) >= MIN_OVERLAP else seed_hashes(t, mask)[:1]
             found.append((h, np.full(len(h), i), np.arange(len(h))))
+    masks = list(used)
     hashes, item, place = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, int))
     order = np.argsort(hashes, kind="stable")
     maybe = np.zeros(1 << _FILTER_BITS, bool)

@@ -15,6 +15,8 @@ BUCKET_BYTES = 32 << 20
 MIN_BUCKETS = 64
 #: Buckets whose offsets are summed up in one task before the groups' own sums.
 OFFSET_GROUP = 1024
+#: A bucket of so many times the mean number of rows, and so many at least, holds rows that repeat; these are spread.
+CROWDED, CROWDED_ROWS = 4, 20_000
 #: Bytes that a record takes besides its text.
 RECORD_BYTES = 16
 
@@ -62,25 +64,37 @@ def shuffle_into_shards(
     p div n_shards, so that shard sizes are at most one row apart. The permutations are a written
     table: a lost executor cannot change them.
 
+    Rows equal in id and text have one hash. Where they crowd a bucket, they are written once with
+    a number each, which then takes part in the choice of the bucket.
+
     NULL ids and texts are hashed and ordered like values; empty and very long texts only change
     the number of buckets; rows that repeat each get a position of their own; an empty table gives
-    an empty result; other columns pass through, and columns named shard or slot are replaced.
+    an empty result; other columns pass through whatever their names are, and columns named shard or
+    slot are replaced.
     """
     records = records.drop("shard", "slot")
-    total = records.agg(F.sum(record_bytes(text_col))).first()[0] or 0
-    n_buckets = max(MIN_BUCKETS, math.ceil(total / bucket_bytes))
-    scattered = records.withColumn("__hash", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).withColumn(
-        "__bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "__hash"), F.lit(n_buckets))
-    )
-    counts = scattered.groupBy(F.col("__bucket").alias("bucket")).agg(F.count("*").alias("n"))
+    total, n_rows = records.agg(F.sum(record_bytes(text_col)), F.count("*")).first()
+    n_buckets = max(MIN_BUCKETS, math.ceil((total or 0) / bucket_bytes))
+    of_hash = F.pmod(F.xxhash64(F.lit(seed + 1), "__hash", "__salt"), F.lit(n_buckets))
+    packed = records.select(F.struct("*").alias("__row"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__hash"), F.col(id_col).alias("__id"))
+    scattered = packed.withColumn("__salt", F.lit(0).cast("long")).withColumn("__bucket", of_hash)
+    counts = stage(scattered.groupBy(F.col("__bucket").alias("bucket")).agg(F.count("*").alias("n")), "bucket-counts")
+    limit = max(CROWDED_ROWS, CROWDED * n_rows // n_buckets)
+    crowded = counts.filter(F.col("n") > limit)
+    if not crowded.isEmpty():
+        among = scattered.join(F.broadcast(crowded.select(F.col("bucket").alias("__bucket"))), "__bucket", "left_semi")
+        hot = stage(among.groupBy("__hash").agg(F.count("*").alias("n")).filter(F.col("n") > limit // 2).select(F.col("__hash").alias("__hot")), "hot-hashes")
+        # There are at most 2 rows / limit of them, fewer than buckets.
+        is_hot = F.col("__hash") == F.col("__hot")
+        numbered = stage(packed.join(F.broadcast(hot), is_hot, "left_semi").withColumn("__salt", F.monotonically_increasing_id()), "hot-rows")
+        others = packed.join(F.broadcast(hot), is_hot, "left_anti").withColumn("__salt", F.lit(0).cast("long"))
+        scattered = others.unionByName(numbered).withColumn("__bucket", of_hash)
+        counts = scattered.groupBy(F.col("__bucket").alias("bucket")).agg(F.count("*").alias("n"))
     positions = stage(bucket_positions(counts, seed), "bucket-positions")
-    in_order = Window.partitionBy("__bucket").orderBy("__hash", id_col)
-    position = F.element_at("positions", F.col("__nth"))
+    in_order = Window.partitionBy("__bucket").orderBy("__hash", "__id", "__salt")
     return (
         scattered.withColumn("__nth", F.row_number().over(in_order))
         .join(positions, F.col("__bucket") == F.col("bucket"))
-        .withColumn("__position", position)
-        .withColumn("shard", F.pmod("__position", F.lit(n_shards)).cast("int"))
-        .withColumn("slot", F.floor(F.col("__position") / n_shards).cast("long"))
-        .select(*records.columns, "shard", "slot")
+        .withColumn("__position", F.element_at("positions", F.col("__nth")))
+        .select("__row.*", F.pmod("__position", F.lit(n_shards)).cast("int").alias("shard"), F.floor(F.col("__position") / n_shards).cast("long").alias("slot"))
     )

@@ -140,7 +140,12 @@ def op8_sql() -> str:
                 FROM f{n} f JOIN t_{d} t ON f.{d} IS NOT DISTINCT FROM t.{d})"""
             )
             n += 1
-    steps.append(f"p AS (SELECT *, round(w / tokens / max(w / tokens) OVER (), 9) AS probability FROM f{n} WHERE tokens > 0)")
+    # Cells by falling ratio: of the first k at 1, the factor that the others need; the first k that leaves them below 1 is right.
+    steps.append(f"""o AS (SELECT *, w / tokens AS ratio, sum(tokens) OVER () AS total,
+        coalesce(sum(tokens) OVER (ORDER BY w / tokens DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+        sum(w) OVER (ORDER BY w / tokens DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM f{n} WHERE tokens > 0)""")
+    steps.append(f"x AS (SELECT ({mixing.KEEP} * total - before) / rest AS factor FROM o WHERE ratio * ({mixing.KEEP} * total - before) / rest < 1 ORDER BY ratio DESC LIMIT 1)")
+    steps.append(f"p AS (SELECT o.*, round(least(1, ratio * coalesce((SELECT factor FROM x), 1e300)), {mixing.DIGITS}) AS probability FROM o)")
     return f"""WITH {", ".join(steps)}
         SELECT r.doc_id, r.source, r.lang, r.topic, r.tokens,
             CASE WHEN r.tokens > 0 THEN p.probability ELSE 0 END AS probability,

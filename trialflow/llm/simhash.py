@@ -1,14 +1,15 @@
-"""SimHash near-duplicates: fingerprints linked by BK-trees within shards of agreeing bytes."""
+"""SimHash near-duplicates: fingerprints linked by BK-trees within shards of agreeing bits."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialflow.llm import text as tx
@@ -18,6 +19,8 @@ from trialflow.session import stage
 SHINGLE_WORDS = 3
 #: Fingerprints that differ in so many bits at most are linked.
 RADIUS = 2
+#: Fingerprints of a shard, about; a shard of more than LARGE is dealt again by whole bytes.
+SHARD, LARGE = 256, 20_000
 _FLAT = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b" " * 5)
 
 
@@ -111,20 +114,50 @@ def shard_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]
     return [(v, values[find(i)]) for i, v in enumerate(values) if find(i) != i]
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def agreeing_masks(n: int, radius: int, shard: int = SHARD) -> list[int]:
+    """Masks of which two fingerprints within ``radius`` agree on one at least, for shards of about ``shard`` of ``n``.
+
+    The 64 bits are cut into p > radius parts; at most radius of them differ, so the pair agrees on
+    some choice of p - radius parts. Of each chosen part as many bits are taken as ``n`` needs; p is
+    the smallest that has them.
+    """
+    wanted = max(0, math.ceil(math.log2(max(n, 1) / shard)))
+    for parts in range(radius + 1, 65):
+        width, chosen = 64 // parts, parts - radius
+        bits = min(width, -(-wanted // chosen))
+        if bits * chosen >= wanted or parts >= 4 * radius:
+            break
+    low = [((1 << bits) - 1) << width * k for k in range(parts)]
+    return [sum(some) for some in combinations(low, chosen)]
+
+
+def _keys(masks: list[int]) -> Column:
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
+
+
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, large: int = LARGE) -> DataFrame:
     """Edges (a, b) that connect exactly what links within ``radius`` connect, over distinct fps (fp).
 
-    Two fingerprints that differ in r bits agree on all but r of their 8 bytes. A shard is a choice
-    of r bytes left out and a value of the others, so each link falls within a shard, and a shard
-    has at most 256 ** r distinct fingerprints however skewed the texts are. Its tree travels with
-    its rows: one tree of all fingerprints grows with the data and may not be broadcast.
+    A shard is a mask and a value of its bits, so each link falls within a shard. Its tree travels with
+    its rows: one tree of all fingerprints grows with the data and may not be broadcast. Shards
+    are counted first; the members of one that is too large, as families of like texts make it, go to
+    shards by all choices of 8 - radius bytes instead, which have at most 256 ** radius members
+    however skewed the texts are.
     """
-    masks = []
-    for out in combinations(range(8), radius):
-        keep = sum(0xFF << 8 * k for k in range(8) if k not in out)
-        masks.append(keep - (1 << 64) if keep >> 63 else keep)
-    keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)])
-    shards = fps.select(F.explode(keys).alias("shard"), "fp").repartition("shard").sortWithinPartitions("shard", "fp")
+    dealt = fps.select(F.explode(_keys(agreeing_masks(fps.count(), radius, shard))).alias("shard"), "fp")
+    crowded = stage(dealt.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > large).select(F.col("shard").alias("__large")), "simhash-large")
+    if crowded.isEmpty():
+        return _tree_links(dealt, radius)
+    few = dealt.join(crowded, F.col("shard") == F.col("__large"), "left_anti")
+    again = dealt.join(crowded, F.col("shard") == F.col("__large"), "left_semi").select("fp").distinct()
+    by_byte = [sum(0xFF << 8 * k for k in range(8) if k not in out) for out in combinations(range(8), radius)]
+    return _tree_links(few, radius).unionByName(_tree_links(again.select(F.explode(_keys(by_byte)).alias("shard"), "fp"), radius))
+
+
+def _tree_links(dealt: DataFrame, radius: int) -> DataFrame:
+    """Edges that connect what is linked within the shards of (shard, fp)."""
+    shards = dealt.repartition("shard").sortWithinPartitions("shard", "fp")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)

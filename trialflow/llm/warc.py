@@ -175,7 +175,8 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([sidecar]), pa.array([n], pa.int64())], ["path", "sidecar", "n_records"])
 
     n_files = max(1, manifest.count())
-    return stage(manifest.repartition(n_files).mapInArrow(rewrite, NORMALISED), "warc-normalised")
+    # In ranges of their names every task gets one archive, where a round-robin deal starts anywhere.
+    return stage(manifest.repartitionByRange(n_files, "path").mapInArrow(rewrite, NORMALISED), "warc-normalised")
 
 
 def _sidecar(path: str) -> Iterator[dict]:
@@ -241,7 +242,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                     yield packed(rows)
 
     n_files = max(1, archives.count())
-    return archives.repartition(n_files).mapInArrow(read, RECORDS)
+    return archives.repartitionByRange(n_files, "path").mapInArrow(read, RECORDS)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:

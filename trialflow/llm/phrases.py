@@ -1,4 +1,9 @@
-"""Repeated-phrase automata: passages of 50 words that stand in a document with a smaller id."""
+"""Repeated-phrase automata: passages of 50 words that stand in a document with a smaller id.
+
+A sorted order of phrases confirms which recur (see ``repeats``). The phrases confirmed for a piece of
+documents are compiled into an automaton, the documents are streamed through it, and only windows
+around its hits are looked at: what it does not locate is not removed.
+"""
 
 from __future__ import annotations
 
@@ -34,29 +39,34 @@ def symbols(codes: np.ndarray) -> str:
     return point.tobytes().decode("utf-32-le")
 
 
-def locate(found: Anchors, confirmed: np.ndarray, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Which runs begin at a phrase that this shard's automaton finds.
+def spell(codes: np.ndarray, at: np.ndarray) -> list[str]:
+    """The phrases that begin at some words."""
+    spelled = symbols(codes)
+    return [spelled[i : i + PHRASE] for i in at.tolist()]
+
+
+def locate(codes: np.ndarray, texts: np.ndarray, phrases: list[str]) -> np.ndarray:
+    """Where the confirmed phrases begin in the texts (first word, end of each), in order.
 
-    The shard is a piece of documents; its automaton holds the phrases that the sorted order
-    confirmed as recurring in any of them, and every document of the piece is streamed through it.
-    A repeated window holds a confirmed phrase, so none is missed.
+    The phrases are those confirmed for a piece of documents, and one automaton of them all is a shard
+    of bounded size; every document of the piece that has one is streamed through it.
     """
-    here = np.zeros(len(found.row), bool)
-    if not confirmed.any():
-        return here
-    spelled = symbols(codes)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for at in (found.place[confirmed] + first[found.row[confirmed]]).tolist():
-        automaton.add_word(spelled[at : at + PHRASE])
+    for phrase in phrases:
+        automaton.add_word(phrase)
     automaton.make_automaton()
-    ends = np.zeros(len(codes) + 1, bool)
-    for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+    spelled, hits = symbols(codes), []
+    for i, j in texts.tolist():
         if j - i >= WINDOW:
-            ends[[end for end, _ in automaton.iter(spelled, i, j)]] = True
-    return ends[found.place + first[found.row] + PHRASE - 1]
+            hits += [end - PHRASE + 1 for end, _ in automaton.iter(spelled, i, j)]
+    return np.array(hits, np.int64)
+
+
+def _leading(data: np.ndarray, first: np.ndarray, found: Anchors) -> list[np.ndarray]:
+    return [found.gram]
 
 
-WORDS = repeats.Tokens(_codes, WINDOW, PHRASE, locate)
+WORDS = repeats.Tokens(_codes, WINDOW, PHRASE, _leading, 1, spell, locate)
 
 
 def remove_passages(docs: DataFrame, texts: bool = True) -> DataFrame:

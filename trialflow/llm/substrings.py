@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from trialflow.llm import repeats
 from trialflow.llm import text as tx
+from trialflow.llm.anchors import Anchors
 
 WINDOW = 50
 #: Leading bytes by which suffixes are put in order.
@@ -22,7 +23,19 @@ def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tx._VALUE[data], offsets
 
 
-BYTES = repeats.Tokens(_codes, WINDOW, LEADING)
+def _leading(data: np.ndarray, first: np.ndarray, found: Anchors) -> list[np.ndarray]:
+    """The LEADING bytes of the suffixes at the anchors, eight in a number, so that numbers sort as the bytes do."""
+    at = found.place + first[found.row]
+    columns = []
+    for k in range(0, LEADING, 8):
+        column = np.zeros(len(at), np.uint64)
+        for j in range(k, k + 8):
+            column = column << np.uint64(8) | data[at + j].astype(np.uint64)
+        columns.append(column)
+    return columns
+
+
+BYTES = repeats.Tokens(_codes, WINDOW, LEADING, _leading, LEADING // 8)
 
 
 def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:

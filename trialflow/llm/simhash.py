@@ -212,5 +212,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     copies = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
-    rest = docs.filter(F.col(id_col).isNotNull()).join(copies, F.col(id_col) == F.col("__copy"), "left_anti")
-    return rest.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    # Packed rows, so that no column of theirs can clash.
+    packed = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"))
+    rest = packed.filter("__id IS NOT NULL").join(copies, F.col("__id") == F.col("__copy"), "left_anti")
+    return rest.dropDuplicates(["__id"]).unionByName(packed.filter("__id IS NULL")).select("__row.*")

@@ -52,7 +52,7 @@ def _period(time: Column) -> Column:
     return F.floor(F.unix_micros(time) / (PERIOD_DAYS * 86_400_000_000))
 
 
-def temporal_list_join(captures: DataFrame, entries: DataFrame, last: str | None = None) -> DataFrame:
+def temporal_list_join(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per capture (capture_id, url, fetched_at): verdict, the deciding pattern and list, and n_active.
 
     Every capture meets the entries that were active when it was fetched: valid_from <= fetched_at

@@ -12,7 +12,7 @@ from trialflow.session import stage
 #: Bytes of records that one bucket holds on average; a bucket is shuffled in one task.
 BUCKET_BYTES = 32 << 20
 #: Buckets at least, so that small inputs use all cores.
-MIN_BUCKETS = 64
+MIN_BUCKETS = 16
 #: Buckets whose offsets are summed up in one task before the groups' own sums.
 OFFSET_GROUP = 1024
 #: A bucket of so many times the mean number of rows, and so many at least, holds rows that repeat; these are spread.

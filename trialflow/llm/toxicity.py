@@ -140,6 +140,18 @@ class Remembered(dict):
         return [(i, h) for i, h in enumerate(map(self.__getitem__, words)) if h]
 
 
+_LAST: dict[tuple, Remembered] = {}
+
+
+def remembered(lexicon: Lexicon) -> Remembered:
+    """The outcomes for a lexicon; a Python worker keeps those of the last one from task to task."""
+    name = (tuple(lexicon.terms.items()), tuple(lexicon.context.items()))
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Remembered(lexicon)
+    return _LAST[name]
+
+
 def _is_quoted(words: list[str], at: int) -> bool:
     """Whether the word stands in quotation marks."""
     own = words[at]
@@ -282,7 +294,7 @@ def learn_lexicon(training: DataFrame) -> Lexicon:
     terms = {r["word"]: r["log_odds"] for r in telling.orderBy("word").collect()}
 
     def near_hits():
-        memory = Remembered(Lexicon(terms, {}))
+        memory = remembered(Lexicon(terms, {}))
         # A hit is a word of its own here, so that hits are counted too.
         return lambda words: [w for i, _ in memory.hits(words) for w in {"", *_around(words, i)}]
 
@@ -309,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -
     lexicon = learn_lexicon(training)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Remembered(lexicon)
+        memory = remembered(lexicon)
         for batch in batches:
             for piece, _, _ in tx.pieces(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(_features_of(piece, memory, "text").tolist(), pa.list_(pa.float64())), piece.column("toxic")], ["x", "toxic"])
@@ -327,7 +339,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Remembered(model.lexicon)
+        memory = remembered(model.lexicon)
         for batch in batches:
             for piece, _, _ in tx.pieces(batch):
                 x = _features_of(piece, memory, "text")
@@ -341,7 +353,7 @@ def not_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", lim
     """The rows of ``docs`` whose score is under ``limit``, all columns kept; nothing is shuffled."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = Remembered(model.lexicon)
+        memory = remembered(model.lexicon)
         for batch in batches:
             for piece, _, _ in tx.pieces(batch, text_col):
                 yield piece.filter(pa.array(model.scores(_features_of(piece, memory, text_col)) < limit))

@@ -26,7 +26,7 @@ from trialflow.session import stage
 #: Bytes of text whose suffixes make up one range on average.
 RANGE_BYTES = 16 << 20
 #: Ranges at least, so that small inputs use all cores.
-MIN_RANGES = 16
+MIN_RANGES = 64
 #: Documents that splitters are sampled from at least, and for each range, and suffixes for each range.
 SAMPLED_DOCS, SAMPLED_DOCS_PER_RANGE, SAMPLED_PER_RANGE = 4000, 4, 50
 REPEATED, OPEN = 0, 1

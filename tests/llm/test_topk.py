@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from trialflow.llm import topk
+from trialflow.llm import registry, topk
 
 
 def brute_force(rows, queries, k=10):
@@ -90,3 +90,16 @@ def test_empty_tables(spark):
     assert topk.search(index, spark.createDataFrame([(1, "a b")], "doc_id long, text string")).count() == 0
     blank = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
     assert topk.search(topk.build_index(blank), blank).count() == 0
+
+
+def test_the_query_scores_terms_that_one_text_alone_has(spark, tmp_path):
+    """Words of one text only add to its score, and make up a whole query."""
+    rows = [(0, "alone solo"), (100, "shared once"), (101, "shared shared other"), (102, "other other")]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    idf, norm = math.log(1 + 3.5 / 1.5), topk.K1 * (1 - topk.B + topk.B * 2 / 2.25)
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in registry.queries()["op1_topk"](spark, folder).collect()}
+    assert got.keys() == {(0, 1), (100, 1), (100, 2)}
+    assert got[0, 1] == (0, pytest.approx(2 * idf * 2.2 / (1 + norm), abs=2e-6))
+    assert got[100, 1] == (100, pytest.approx((idf + math.log(2)) * 2.2 / (1 + norm), abs=2e-6))
+    assert got[100, 2][0] == 101

@@ -18,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for every document whose id is divisible by 100."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return topk.search(topk.build_index(docs), docs.filter("doc_id % 100 = 0"))
+    return topk.search(topk.build_index(docs), docs.filter("doc_id % 100 = 0"), min_df=1)
 
 
 def op1_sql() -> str:
@@ -29,7 +29,7 @@ def op1_sql() -> str:
         p AS (SELECT doc_id, word, count(*) AS tf FROM w GROUP BY ALL),
         s AS (SELECT d.doc_id, coalesce(x.size, 0) AS size FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS size FROM w GROUP BY ALL) x USING (doc_id)),
         g AS (SELECT count(*) AS n, avg(size) AS average FROM s),
-        f AS (SELECT word, count(*) AS df FROM p GROUP BY word HAVING count(*) >= 2),
+        f AS (SELECT word, count(*) AS df FROM p GROUP BY word),
         i AS (SELECT word, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM f, g),
         q AS (SELECT p.doc_id AS query_id, word, idf FROM p JOIN i USING (word) WHERE p.doc_id % 100 = 0),
         r AS (SELECT query_id, p.doc_id, round(sum(idf * tf * {k1 + 1} / (tf + {k1} * ({1 - b} + {b} * size / average))), {topk.DIGITS}) AS score

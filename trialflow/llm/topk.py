@@ -288,10 +288,11 @@ def search_shard(shard: Shard, asked: Queries, k: int, floors: list[tuple[float,
             yield q, found
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS, min_df: int = 2) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best rows of the index for each query text, exactly.
 
-    A query is all terms of its whole text that at least two indexed texts have. Document counts
+    A query is all terms of its whole text that at least ``min_df`` indexed texts have; with 1 it is every
+    term that the index holds. Document counts
     and lengths are summed over all shards before any is searched, so scores do not depend on the
     sharding and the shards' answers merge exactly. Queries with equal terms are searched once. About
     ``block_terms`` terms of queries at a time are broadcast; a shard gets the lists of these terms, each once, and only the
@@ -309,7 +310,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc
     asked = stage(_query_words(queries.filter(F.col(id_col).isNotNull()), id_col, text_col).dropDuplicates(["query", "term"]), "topk-query-words")
     lists = index.filter("term IS NOT NULL")
     asked_terms = asked.select("term").distinct()
-    df = lists.select("term", "n").join(asked_terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df")).filter("df >= 2")
+    df = lists.select("term", "n").join(asked_terms, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("df")).filter(F.col("df") >= min_df)
     idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     chosen = asked.join(df.select("term", idf.alias("idf"), (F.col("df") >= COMMON * n_docs).alias("common")), "term")
     terms = stage(chosen.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("common", "word", "term", "idf"))).alias("terms")).withColumn("same", F.xxhash64("terms.word")), "topk-terms")

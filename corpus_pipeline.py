@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trialflow.llm import decontaminate, mixing, nearcopies, sharding, toxicity
+from trialflow.llm import decontaminate, mixing, nearcopies, sharding, simhash, toxicity
 from trialflow.session import stage
 
 N_SHARDS = 40
@@ -27,11 +27,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts with 5-word Jaccard 0.8 or more, that with the smallest id.
+    """One document of each component of near copies, that with the smallest id.
 
-    Texts without words are one component; rows without id stay; of rows that repeat an id one stays.
+    Texts are linked by op3's SimHash fingerprints (at most 2 bits apart), and by 5-word Jaccard 0.8 or
+    more, which reaches copies with more changes. Texts without words are one component; rows without
+    id stay; of rows that repeat an id one stays.
     """
-    return nearcopies.one_of_each(docs)
+    return nearcopies.one_of_each(docs, further=[simhash.near_duplicates(docs.filter("doc_id IS NOT NULL"))])
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

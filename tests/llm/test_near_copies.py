@@ -4,7 +4,7 @@ import random
 from itertools import combinations
 
 import corpus_pipeline
-from trialflow.llm import nearcopies
+from trialflow.llm import nearcopies, simhash
 
 VOCABULARY = [f"w{i}" for i in range(3000)]
 
@@ -88,3 +88,17 @@ def test_rare_shingles_lose_no_similar_pair(spark):
 
 def test_empty_table(spark):
     assert nearcopies.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_stage_drops_what_fingerprints_link_too(spark):
+    """Repeated shingles decide a fingerprint: texts of one refrain are 0 bits apart, with Jaccard far below 0.8."""
+    rng = random.Random(9)
+    refrain = "la di da " * 400
+    rows = [(i, refrain + " ".join(rng.sample(VOCABULARY, 8))) for i in (5, 3, 8)] + [(i, " ".join(rng.sample(VOCABULARY, 40))) for i in (1, 2)]
+    rows += [(9, rows[0][1] + " " + rows[0][1].split()[-1]), (None, refrain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs.filter("doc_id IS NOT NULL")).collect()}
+    assert fps[5] == fps[8] == 3 and fps[1] == 1 and fps[2] == 2
+    assert components_of([r for r in rows if r[0] is not None])[8] == 8
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([1, 2, 3, None], key=str)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -198,12 +199,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return own.select("doc_id", "node").join(by_node, "node").select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", further: Sequence[DataFrame] = ()) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the document with the smallest id.
 
-    Rows without an id stay; of rows that repeat an id one stays. All columns are kept.
+    ``further`` are components (doc_id, component_id) by other measures, each named by its smallest id; what
+    links of any measure connect is one component. Rows without an id stay; of rows that repeat an id
+    one stays. All columns are kept.
     """
-    copies = near_copies(docs, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct()
+    placed = [each.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).filter("a <> b") for each in (near_copies(docs, id_col, text_col), *further)]
+    # Components joined: the root is the smallest id.
+    joined = components(reduce(DataFrame.unionByName, placed)) if further else placed[0].select(F.col("a").alias("node"), F.col("b").alias("root"))
+    copies = joined.filter("node <> root").select(F.col("node").alias("__copy")).distinct()
     # Packed rows, so that no column of theirs can clash.
     packed = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"))
     rest = packed.filter("__id IS NOT NULL").join(copies, F.col("__id") == F.col("__copy"), "left_anti")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trialflow.operators import quality as q
 from trialflow.session import at_end_of_run, run_scope, scratch_path, shared_dir, stage
 from trialflow.sources import schemas
+from trialflow.sources import files
 from trialflow.sources.files import (
     CSV_OPTIONS,
     JSON_OPTIONS,
@@ -236,3 +237,16 @@ def test_merging_tells_names_apart_as_the_session_does(spark, sensitive, kept):
     finally:
         spark.sql(f"DROP TABLE {name}")
         spark.conf.set("spark.sql.caseSensitive", before)
+
+
+def test_many_compressed_files_of_like_sizes_are_not_spread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILES_PER_CORE", 1)
+    few, many, uneven = (SourceSpec("json", str(tmp_path / name), "a long") for name in ("few", "many", "uneven"))
+    n = spark.sparkContext.defaultParallelism
+    for spec, rows, parts in ((few, n * 100, n - 1), (many, n * 100, n), (uneven, n, n)):
+        spark.range(rows, numPartitions=parts).selectExpr("id AS a").write.option("compression", "gzip").json(spec.path)
+    spark.range(0, 100000, 1, 1).selectExpr("id AS a").write.mode("append").option("compression", "gzip").json(uneven.path)
+    assert [files.is_well_cut(spark, spec) for spec in (few, many, uneven)] == [False, True, False]
+    ensure_schema(spark, "bronze_cut")
+    assert ingest(spark, many, "bronze_cut.many").count() == n * 100
+    assert len(spark.table("bronze_cut.many").inputFiles()) == n

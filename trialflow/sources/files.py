@@ -13,6 +13,8 @@ from trialflow.sources import schemas
 from trialflow.sources.tables import ensure_schema, write_table
 
 UNSPLITTABLE = (".gz", ".zst", ".snappy", ".lz4")
+#: A feed of this many compressed files for each core, none this many times as large as the mean, is not spread.
+FILES_PER_CORE, LARGEST_FILE = 3, 3
 #: Formats whose records may fail to load under the schema.
 TEXT_FORMATS = ("json", "csv")
 CORRUPT = "_corrupt_record"
@@ -63,6 +65,13 @@ def is_uneven(df: DataFrame, spec: SourceSpec) -> bool:
     return any(path.lower().endswith(UNSPLITTABLE) for path in df.inputFiles())
 
 
+def is_well_cut(spark: SparkSession, spec: SourceSpec) -> bool:
+    """Whether the feed's files keep all cores busy as they are: several for each, of like sizes."""
+    files = spark.read.format("binaryFile").load(spec.path).select("length")
+    n, largest, total = files.agg(F.count("*"), F.max("length"), F.sum("length")).first()
+    return n >= FILES_PER_CORE * spark.sparkContext.defaultParallelism and largest * n <= LARGEST_FILE * total
+
+
 def quarantined(raw: DataFrame, spec: SourceSpec, corrupt: str = CORRUPT) -> DataFrame:
     """(file, record, malformed, lost) of the records in ``raw`` that did not load whole.
 
@@ -87,9 +96,9 @@ def quarantined(raw: DataFrame, spec: SourceSpec, corrupt: str = CORRUPT) -> Dat
 def ingest(spark: SparkSession, spec: SourceSpec, table: str, quarantine: str | None = None) -> DataFrame:
     """Load a feed into ``table`` (replacing it) and return the stored table.
 
-    A compressed text file is one task however large it is. Its rows are handed on through a
-    rebalancing exchange, so the table gets files of the advisory size and every later stage
-    reads it in parallel. Failures are raised: a stale table must not pass for a fresh one.
+    A compressed text file is one task however large it is. Unless there are many of like sizes, rows
+    are handed on through a rebalancing exchange, so the table gets files of the advisory size and
+    every later stage reads it in parallel. Failures are raised: a stale table must not pass for a fresh one.
 
     Values that do not load are NULL in ``table``. ``quarantine`` names a second table, replaced
     too, that keeps the records they come from (see ``quarantined``). Whether there are any is
@@ -100,7 +109,7 @@ def ingest(spark: SparkSession, spec: SourceSpec, table: str, quarantine: str |
     rows, seen = raw, Observation()
     if capture:
         rows = raw.observe(seen, F.count_if(F.col(CORRUPT).isNotNull()).alias("corrupt")).drop(CORRUPT)
-    if is_uneven(raw, spec):
+    if is_uneven(raw, spec) and (spec.rebalance or not is_well_cut(spark, spec)):
         rows = rows.hint("rebalance")
     write_table(rows, table)
     if quarantine is not None:

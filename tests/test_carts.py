@@ -3,6 +3,7 @@ from frames import plan_of
 from pyspark.sql import functions as F
 
 from trialflow.operators.carts import CART_FEATURES, cart_features, parse_carts
+from workload import feeds, queries
 
 A = (
     '{"quantity":2,"unitPrice":{"value":"1000"},"totalValue":{"value":"2000"},'
@@ -84,3 +85,17 @@ def test_discount_in_one_of_several_items(spark):
     text = f"[{SINGLE},{B}]"
     df = spark.createDataFrame([(text,)], "items string")
     assert cart_features(df).select(F.col("had_restaurant_discount")).first()[0] is True
+
+
+def test_both_ways_of_reading_nulls_from_one_parse(carts):
+    both = cart_features(carts, null_as_zero="lenient")
+    assert both.columns == ["name", *CART_FEATURES, "lenient"] and plan_of(both).count("from_json(") == 1
+    for way in (False, True):
+        got = both.where(F.col("lenient") == way).drop("lenient").collect()
+        assert sorted(got) == sorted(cart_features(carts, null_as_zero=way).collect())
+
+
+def test_edge_case_query_parses_each_cart_once(spark, tmp_path):
+    cart_row = (1, 7, 2, 4, 3.0, 10.0, 0.1, 0.2, "N", "O", None)
+    spark.createDataFrame([cart_row], feeds.SCHEMAS["lineitem"]).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert plan_of(queries.cart_edge_cases(spark, str(tmp_path))).count("from_json(") == 1

@@ -42,12 +42,19 @@ def unit_prices(items: Column) -> Column:
     return F.filter(F.flatten(F.transform(items, prices)), lambda price: price > 0)
 
 
-def value_total(items: Column, null_as_zero: bool = False) -> Column:
+def _or_zero(value: Column, null_as_zero: bool | Column) -> Column:
+    """``value`` with 0.0 for NULL if ``null_as_zero`` says so, for all rows or row by row."""
+    filled = F.coalesce(value, F.lit(0.0))
+    if isinstance(null_as_zero, Column):
+        return F.when(null_as_zero, filled).otherwise(value)
+    return filled if null_as_zero else value
+
+
+def value_total(items: Column, null_as_zero: bool | Column = False) -> Column:
     """Sum of the total values of items and their garnishes; NULLs as in ``total_of``."""
 
     def add(acc: Column, part: Column) -> Column:
-        value = money(part["totalValue"])
-        return acc + (F.coalesce(value, F.lit(0.0)) if null_as_zero else value)
+        return acc + _or_zero(money(part["totalValue"]), null_as_zero)
 
     def add_item(acc: Column, item: Column) -> Column:
         return F.aggregate(F.coalesce(item["garnishItems"], F.array()), add(acc, item), add)
@@ -55,15 +62,13 @@ def value_total(items: Column, null_as_zero: bool = False) -> Column:
     return F.aggregate(items, F.lit(0.0), add_item)
 
 
-def total_of(parts: Column, amount, null_as_zero: bool = False) -> Column:
+def total_of(parts: Column, amount, null_as_zero: bool | Column = False) -> Column:
     """Sum of ``amount(part)``; one NULL makes the sum NULL unless ``null_as_zero``."""
-    zero = F.lit(0.0)
 
     def add(acc: Column, part: Column) -> Column:
-        value = amount(part)
-        return acc + (F.coalesce(value, zero) if null_as_zero else value)
+        return acc + _or_zero(amount(part), null_as_zero)
 
-    return F.aggregate(parts, zero, add)
+    return F.aggregate(parts, F.lit(0.0), add)
 
 
 def has_discount(items: Column) -> Column:

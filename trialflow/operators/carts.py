@@ -25,16 +25,24 @@ def parse_carts(df: DataFrame, items: str = "items", out: str = "cart") -> DataF
     return df.withColumn(out, fn.parse_cart(F.col(items)))
 
 
-def cart_features(df: DataFrame, items: str = "items", null_as_zero: bool = False) -> DataFrame:
+def cart_features(df: DataFrame, items: str = "items", null_as_zero: bool | str = False) -> DataFrame:
     """Replace the JSON column ``items`` by the eight cart features.
 
     A plain projection: no shuffle, no generated rows, no Python worker. The cart is parsed once
     per row, and what it holds is read in a second layer that leaves it behind.
+
+    ``null_as_zero`` may name a further, last column instead: each row then comes twice, with false
+    and with true there, read in that way; the cart is still parsed once.
     """
     cart, prices = F.col("_cart"), F.col("_prices")
-    kept = [name for name in df.columns if name != items]
-    read = parse_carts(df, items, "_cart").select(
+    parsed = parse_carts(df, items, "_cart")
+    kept, ways = [name for name in df.columns if name != items], []
+    if isinstance(null_as_zero, str):
+        ways, null_as_zero = [null_as_zero], F.col(null_as_zero)
+        parsed = parsed.withColumn(*ways, F.explode(F.array(F.lit(False), F.lit(True))))
+    read = parsed.select(
         *kept,
+        *ways,
         fn.total_of(cart, lambda item: item["quantity"], null_as_zero)
         .try_cast("int")
         .alias("item_quantity"),
@@ -51,4 +59,4 @@ def cart_features(df: DataFrame, items: str = "items", null_as_zero: bool = Fals
         "item_price_spread": population_stddev(prices),
         "max_item_share_pct": fn.share_pct(F.array_max(prices), F.col("recomputed_total")),
     }
-    return read.withColumns(features).select(*kept, *CART_FEATURES)
+    return read.withColumns(features).select(*kept, *CART_FEATURES, *ways)

@@ -227,3 +227,16 @@ def test_star_join_keeps_fact_rows_and_names(spark):
     out = star_join(fact, [Dim(dim, "k", "k", {"v": "dim_v", "k": "dim_k"})])
     assert out.columns == ["id", "k", "dim_v", "dim_k"]
     assert rows_of(out) == [(1, "a", 10, "a"), (2, None, None, None), (3, "zz", None, None)]
+
+
+def test_small_chunks_do_not_multiply_tasks(spark):
+    data = [(i, f"k{i % 7}", None, DAY0, 1.0 * i) for i in range(900)]
+    df = spark.createDataFrame(data, SCHEMA)
+    hot = skew.find_hot_keys(df, ["g"], 20, 5)
+    assert hot.n_chunks == 180
+    chunked = skew.in_ordered_chunks(df, ["g", "t", "id"], hot)
+    assert len(chunked.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sorted((r["g"], r["id"], r["_chunk"]) for r in chunked.collect())
+    numbers = [c for _, _, c in rows]
+    assert numbers == sorted(numbers) and max(numbers.count(c) for c in set(numbers)) <= 5
+    check(chunked_features(chunked, "t", ["id"], "g", "x", ["g", "r"], "nth").collect(), data)

@@ -93,9 +93,23 @@ def only_hot(dim: DataFrame, dim_key: str, hot: HotKeys) -> tuple[DataFrame, boo
 def in_ordered_chunks(df: DataFrame, order: Sequence[str], hot: HotKeys) -> DataFrame:
     """Number the rows' chunks along ``order``: chunk 0 precedes chunk 1, and so on.
 
-    The range exchange samples the full order, so even a single key is cut into chunks of about
-    ``hot.chunk_rows`` rows. The result is stored: a chunk number is a fact only once the exchange
-    that gave it will never run again.
+    The range exchange samples the full order, so even a single key is cut. A range has the rows of
+    many small chunks, or a task's worth of rows; it is sorted and cut into chunks of up to
+    ``hot.chunk_rows``. So tasks, files and exchange blocks do not multiply with the chunks. The result
+    is stored: a chunk number is a fact only once the exchange that gave it will never run again.
     """
-    ranged = df.repartitionByRange(hot.n_chunks, *order)
-    return stage(ranged.withColumn("_chunk", F.spark_partition_id()), "chunks")
+    n = _n_ranges(df, hot)
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # A chunk's number: its range's in the upper bits, its place in the range in those left of 31.
+    room = 1 << (31 - n.bit_length())
+    chunk = F.expr(
+        f"int(spark_partition_id() * {room} + "
+        f"least((monotonically_increasing_id() & {(1 << 33) - 1}) div {hot.chunk_rows}, {room - 1}))"
+    )
+    return stage(ranged.withColumn("_chunk", chunk), "chunks")
+
+
+def _n_ranges(df: DataFrame, hot: HotKeys) -> int:
+    """As many as an ordinary exchange has, more if a range would exceed HOT_ROWS, at most one a chunk."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(hot.n_chunks, max(usual, -(-hot.n_rows // HOT_ROWS)))

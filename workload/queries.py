@@ -16,7 +16,7 @@ from trialflow.functions.context import day_period
 from trialflow.operators import experiment as ex
 from trialflow.operators import quality as q
 from trialflow.operators import users as u
-from trialflow.operators.abt import abt_projection, build_abt
+from trialflow.operators.abt import ABT_COLUMNS, abt_projection, build_abt
 from trialflow.operators.carts import CART_FEATURES, cart_features
 from trialflow.operators.dedup import dedup_latest, duplicate_sample, find_duplicates
 from trialflow.operators.history import customer_history, visit_ordinal
@@ -227,13 +227,7 @@ def cart_features_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cart_edge_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = feeds.edge_carts(table(spark, sf_dir, "lineitem"))
-    strict = cart_features(lines)
-    lenient = cart_features(lines, null_as_zero=True)
-    return _grid_features(
-        strict.withColumn("null_as_zero", F.lit(False)).unionByName(
-            lenient.withColumn("null_as_zero", F.lit(True))
-        )
-    )
+    return _grid_features(cart_features(lines, null_as_zero="null_as_zero"))
 
 
 # ---------------------------------------------------------------- base table
@@ -249,12 +243,11 @@ _ABT_GRID = {
 }
 
 
-def _abt(spark: SparkSession, sf_dir: str, wanted: list[str] | None = None, **options):
-    """The base table from the raw feeds; orders are cleaned and stored first."""
+def _abt(spark: SparkSession, sf_dir: str, wanted: list[str] = ABT_COLUMNS, **options):
+    """The base table from the raw feeds; orders are cleaned and, as far as ``wanted``, stored first."""
     feed = feeds.load(spark, sf_dir)
     cleaned = clean_orders(feed.orders, tiebreak=_TIEBREAK)
-    if wanted:
-        cleaned = cleaned.select(*[c for c in cleaned.columns if c in wanted])
+    cleaned = cleaned.select(*[c for c in cleaned.columns if c in (*wanted, "merchant_id")])
     return build_abt(
         stage(cleaned, "orders"),
         feed.consumers,
@@ -333,7 +326,7 @@ _GOLD_INPUT = [
 
 def _gold_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base table's columns that the gold stage reads, stored as the silver stage does."""
-    rows = _abt(spark, sf_dir, wanted=[*_GOLD_INPUT, "merchant_id"])
+    rows = _abt(spark, sf_dir, wanted=_GOLD_INPUT)
     return stage(rows.select(*_GOLD_INPUT), "abt")
 
 

@@ -4,7 +4,7 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
-from frames import rows_of
+from frames import plan_of, rows_of
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -250,3 +250,14 @@ def test_many_compressed_files_of_like_sizes_are_not_spread(spark, tmp_path, mon
     ensure_schema(spark, "bronze_cut")
     assert ingest(spark, many, "bronze_cut.many").count() == n * 100
     assert len(spark.table("bronze_cut.many").inputFiles()) == n
+
+
+def test_an_empty_quarantine_takes_no_python_workers(spark, tmp_path, monkeypatch):
+    stored = {}
+    monkeypatch.setattr(files, "write_table", lambda df, name, **options: stored.update({name: df}) or write_table(df, name, **options))
+    (tmp_path / "p.csv").write_text("id\na\n")
+    ensure_schema(spark, "bronze_whole")
+    ingest(spark, SourceSpec("csv", f"{tmp_path}/p.csv", "id string", CSV_OPTIONS), "bronze_whole.p", "bronze_whole.p_quarantine")
+    assert "RDD" not in plan_of(stored["bronze_whole.p_quarantine"])
+    kinds = [f.dataType.simpleString() for f in spark.table("bronze_whole.p_quarantine").schema]
+    assert kinds == ["string", "string", "boolean", "array<string>"]

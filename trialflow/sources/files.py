@@ -19,6 +19,7 @@ FILES_PER_CORE, LARGEST_FILE = 3, 3
 TEXT_FORMATS = ("json", "csv")
 CORRUPT = "_corrupt_record"
 QUARANTINE_SUFFIX = "_quarantine"
+QUARANTINE = {"file": "string", "record": "string", "malformed": "boolean", "lost": "array<string>"}
 
 JSON_OPTIONS = {"timestampFormat": schemas.TIMESTAMP_FORMAT}
 CSV_OPTIONS = {"header": "true", "sep": ",", "timestampFormat": schemas.TIMESTAMP_FORMAT}
@@ -116,7 +117,7 @@ def ingest(spark: SparkSession, spec: SourceSpec, table: str, quarantine: str |
         if capture and seen.get["corrupt"]:
             kept = quarantined(raw, spec)
         else:
-            kept = spark.createDataFrame([], "file string, record string, malformed boolean, lost array<string>")
+            kept = spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in QUARANTINE.items()])
         write_table(kept, quarantine)
     return spark.table(table)
 

@@ -261,3 +261,12 @@ def test_an_empty_quarantine_takes_no_python_workers(spark, tmp_path, monkeypatc
     assert "RDD" not in plan_of(stored["bronze_whole.p_quarantine"])
     kinds = [f.dataType.simpleString() for f in spark.table("bronze_whole.p_quarantine").schema]
     assert kinds == ["string", "string", "boolean", "array<string>"]
+
+
+def test_two_compressed_files_for_each_core_are_enough_unless_one_exceeds_a_share(spark, tmp_path):
+    n = 2 * spark.sparkContext.defaultParallelism
+    even, uneven = (SourceSpec("json", str(tmp_path / name), "a long") for name in ("even", "uneven"))
+    for spec, rows in ((even, n * 100), (uneven, n)):
+        spark.range(rows, numPartitions=n).selectExpr("id AS a").write.option("compression", "gzip").json(spec.path)
+    spark.range(0, 100000, 1, 1).selectExpr("id AS a").write.mode("append").option("compression", "gzip").json(uneven.path)
+    assert [files.is_well_cut(spark, spec) for spec in (even, uneven)] == [True, False]

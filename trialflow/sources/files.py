@@ -14,7 +14,8 @@ from trialflow.sources.tables import ensure_schema, write_table
 
 UNSPLITTABLE = (".gz", ".zst", ".snappy", ".lz4")
 #: A feed of this many compressed files for each core, none this many times as large as the mean, is not spread.
-FILES_PER_CORE, LARGEST_FILE = 3, 3
+#: With both numbers the same no file exceeds a core's share of the bytes.
+FILES_PER_CORE, LARGEST_FILE = 2, 2
 #: Formats whose records may fail to load under the schema.
 TEXT_FORMATS = ("json", "csv")
 CORRUPT = "_corrupt_record"

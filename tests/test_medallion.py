@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from frames import shuffle_files
 
 from trialflow.operators.quality import QualityError
 from trialflow.plans import medallion
@@ -182,3 +183,11 @@ def test_a_failed_raw_check_leaves_no_cleaned_orders(spark, tmp_path):
     with pytest.raises(Exception):
         medallion.silver(spark, layout("bad"))
     assert not spark.catalog.tableExists("silver_bad.orders_cleaned")
+
+
+def test_a_run_holds_no_shuffle_files_of_stored_tables(spark, tmp_path, monkeypatch):
+    registry, seen = write_feeds(tmp_path), []
+    before, real = shuffle_files(spark), medallion.write_table
+    monkeypatch.setattr(medallion, "write_table", lambda *a, **b: real(*a, **b) or seen.append(shuffle_files(spark, before)))
+    medallion.run(spark, registry, REF, layout("dropped"), hot_rows=60, chunk_rows=10)
+    assert seen and max(seen) <= before

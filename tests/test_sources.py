@@ -4,12 +4,12 @@ from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
-from frames import plan_of, rows_of
+from frames import plan_of, rows_of, shuffle_files
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from trialflow.operators import quality as q
-from trialflow.session import at_end_of_run, run_scope, scratch_path, shared_dir, stage
+from trialflow.session import SHUFFLE_CLEANUP_CONF, at_end_of_run, run_scope, scratch_path, shared_dir, shuffles_dropped, stage
 from trialflow.sources import schemas
 from trialflow.sources import files
 from trialflow.sources.files import (
@@ -270,3 +270,14 @@ def test_two_compressed_files_for_each_core_are_enough_unless_one_exceeds_a_shar
         spark.range(rows, numPartitions=n).selectExpr("id AS a").write.option("compression", "gzip").json(spec.path)
     spark.range(0, 100000, 1, 1).selectExpr("id AS a").write.mode("append").option("compression", "gzip").json(uneven.path)
     assert [files.is_well_cut(spark, spec) for spec in (even, uneven)] == [True, False]
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    before, set_to = shuffle_files(spark), spark.conf.get(SHUFFLE_CLEANUP_CONF, None)
+    with shuffles_dropped(spark):
+        kept = stage(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count())
+        assert kept.count() == 7
+        twice = kept.groupBy("count").agg(F.max("k").alias("k"))
+        assert rows_of(twice) == rows_of(twice) == [(142, 6), (143, 5)]
+    assert shuffle_files(spark, before) <= before
+    assert spark.conf.get(SHUFFLE_CLEANUP_CONF, None) == set_to

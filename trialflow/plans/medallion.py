@@ -20,7 +20,7 @@ from trialflow.operators.carts import cart_features
 from trialflow.operators.dedup import dedup_latest
 from trialflow.operators.skew import HOT_ROWS
 from trialflow.plans.naming import legacy_abt, legacy_summary, own_abt, own_names, same_naming
-from trialflow.session import pin_utc, run_scope
+from trialflow.session import pin_utc, run_scope, shuffles_dropped
 from trialflow.sources.files import QUARANTINE_SUFFIX, SourceSpec, ingest_all
 from trialflow.sources.tables import ensure_schema, write_table
 
@@ -118,7 +118,7 @@ def silver(
     With ``load_severity`` "error" a feed that lost values stops the run.
     """
     pin_utc(spark)
-    with run_scope(spark):
+    with run_scope(spark), shuffles_dropped(spark):
         return _silver(spark, layout, tz_col, enforce, load_severity, hot_rows, chunk_rows, legacy_names)
 
 
@@ -237,7 +237,7 @@ def run(
 ) -> dict[str, DataFrame]:
     """All three stages. What they stage on the way is removed; the results are stored tables."""
     pin_utc(spark)
-    with run_scope(spark):
+    with run_scope(spark), shuffles_dropped(spark):
         bronze(spark, registry, layout)
         silver(spark, layout, legacy_names=legacy_names, **silver_options)
         return gold(spark, reference_date, layout, legacy_n, legacy_names)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 WAREHOUSE_CONF = "spark.sql.warehouse.dir"
+SHUFFLE_CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:
@@ -74,6 +75,25 @@ def at_end_of_run(undo, *args) -> None:
         run.undo.callback(undo, *args)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a write or an action go when it ends.
+
+    Else they stay until the driver happens to collect its garbage, and a run of many stages holds
+    the shuffles of all of them on disk. For code that stores what it reads more than once: a
+    DataFrame executed a second time makes its shuffle files anew.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP_CONF, None)
+    spark.conf.set(SHUFFLE_CLEANUP_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP_CONF)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP_CONF, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared storage, if it is there."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -22,7 +22,7 @@ from trialflow.operators.dedup import dedup_latest, duplicate_sample, find_dupli
 from trialflow.operators.history import customer_history, visit_ordinal
 from trialflow.plans import medallion
 from trialflow.plans.medallion import bronze_checks, clean_orders
-from trialflow.session import at_end_of_run, pin_utc, scratch_path, stage
+from trialflow.session import at_end_of_run, pin_utc, scratch_path, shuffles_dropped, stage
 from trialflow.sources import schemas
 from trialflow.sources.files import CSV_OPTIONS, JSON_OPTIONS, SourceSpec, ingest, ingest_all
 from trialflow.sources.tables import ensure_schema, read_table, write_table
@@ -488,10 +488,6 @@ def run_job(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     consumers = feed.consumers.withColumns(
         {"customer_phone_area": unknown, "customer_phone_number": unknown}
     )
-    feed.orders.write.options(compression="gzip", **JSON_OPTIONS).json(f"{root}/orders")
-    consumers.write.options(compression="gzip", **CSV_OPTIONS).csv(f"{root}/consumers")
-    feed.restaurants.write.options(compression="gzip", **CSV_OPTIONS).csv(f"{root}/restaurants")
-    feed.assignment.write.options(**CSV_OPTIONS).csv(f"{root}/assignment")
     registry = {
         "orders": SourceSpec("json", f"{root}/orders", schemas.ORDERS, JSON_OPTIONS),
         "consumers": SourceSpec("csv", f"{root}/consumers", schemas.CONSUMERS, CSV_OPTIONS),
@@ -500,8 +496,14 @@ def run_job(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             "csv", f"{root}/assignment", schemas.AB_TEST_USERS, CSV_OPTIONS
         ),
     }
-    layout = medallion.Layout(_new_schema(spark), _new_schema(spark), _new_schema(spark))
-    return medallion.run(spark, registry, END, layout)
+
+    with shuffles_dropped(spark):
+        feed.orders.write.options(compression="gzip", **JSON_OPTIONS).json(f"{root}/orders")
+        consumers.write.options(compression="gzip", **CSV_OPTIONS).csv(f"{root}/consumers")
+        feed.restaurants.write.options(compression="gzip", **CSV_OPTIONS).csv(f"{root}/restaurants")
+        feed.assignment.write.options(**CSV_OPTIONS).csv(f"{root}/assignment")
+        layout = medallion.Layout(_new_schema(spark), _new_schema(spark), _new_schema(spark))
+        return medallion.run(spark, registry, END, layout)
 
 
 # Query -> stored result of the whole job, and how it is cut to a grid.

@@ -281,3 +281,16 @@ def test_shuffle_files_go_with_the_write_that_made_them(spark):
         assert rows_of(twice) == rows_of(twice) == [(142, 6), (143, 5)]
     assert shuffle_files(spark, before) <= before
     assert spark.conf.get(SHUFFLE_CLEANUP_CONF, None) == set_to
+
+
+def test_tables_are_compressed_with_zstd_unless_the_session_names_a_codec(spark):
+    ensure_schema(spark, "t_codec")
+    codecs = lambda: {path.split(".")[-2] for path in spark.table("t_codec.t").inputFiles()}
+    write_table(spark.range(5), "t_codec.t")
+    assert codecs() == {"zstd"}
+    spark.conf.set("spark.sql.parquet.compression.codec", "gzip")
+    try:
+        write_table(spark.range(5), "t_codec.t")
+        assert codecs() == {"gz"} and spark.table("t_codec.t").count() == 5
+    finally:
+        spark.conf.unset("spark.sql.parquet.compression.codec")

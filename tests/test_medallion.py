@@ -191,3 +191,16 @@ def test_a_run_holds_no_shuffle_files_of_stored_tables(spark, tmp_path, monkeypa
     monkeypatch.setattr(medallion, "write_table", lambda *a, **b: real(*a, **b) or seen.append(shuffle_files(spark, before)))
     medallion.run(spark, registry, REF, layout("dropped"), hot_rows=60, chunk_rows=10)
     assert seen and max(seen) <= before
+
+
+def test_feeds_may_go_once_the_raw_tables_are_stored(spark, stored, tmp_path):
+    registry = write_feeds(tmp_path, spoilt=3)
+
+    def drop():
+        assert spark.table("bronze_gone.orders").count() == 401 and spark.table("bronze_gone.orders_quarantine").count() == 3
+        for spec in registry.values():
+            os.remove(spec.path)
+
+    results = medallion.run(spark, registry, REF, layout("gone"), on_bronze=drop)
+    assert not os.listdir(tmp_path)
+    assert results["integrity"].collect() == stored[0]["integrity"].collect()

@@ -56,3 +56,10 @@ def test_the_job_leaves_only_its_tables_behind(spark):
 
 def test_entry_gives_both_arms(spark):
     assert {r["arm"] for r in entry(spark).collect()} == {"control", "target"}
+
+
+def test_the_jobs_feeds_go_once_they_are_stored(spark):
+    with run_scope(spark) as run:
+        run_job(spark, SF)
+        feeds = [p for p in Path(run.folder.removeprefix("file:")).glob("feeds-*/**/*") if p.is_file()]
+        assert feeds == []

@@ -6,7 +6,7 @@ executor costs at most one stage.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -233,11 +233,18 @@ def run(
     layout: Layout = Layout(),
     legacy_names: bool = False,
     legacy_n: bool = False,
+    on_bronze: Callable[[], None] | None = None,
     **silver_options,
 ) -> dict[str, DataFrame]:
-    """All three stages. What they stage on the way is removed; the results are stored tables."""
+    """All three stages. What they stage on the way is removed; the results are stored tables.
+
+    ``on_bronze`` is called once the raw tables and their quarantines are stored; the feeds are
+    not read any more then.
+    """
     pin_utc(spark)
     with run_scope(spark), shuffles_dropped(spark):
         bronze(spark, registry, layout)
+        if on_bronze:
+            on_bronze()
         silver(spark, layout, legacy_names=legacy_names, **silver_options)
         return gold(spark, reference_date, layout, legacy_n, legacy_names)

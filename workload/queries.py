@@ -22,7 +22,7 @@ from trialflow.operators.dedup import dedup_latest, duplicate_sample, find_dupli
 from trialflow.operators.history import customer_history, visit_ordinal
 from trialflow.plans import medallion
 from trialflow.plans.medallion import bronze_checks, clean_orders
-from trialflow.session import at_end_of_run, pin_utc, scratch_path, shuffles_dropped, stage
+from trialflow.session import at_end_of_run, pin_utc, remove, scratch_path, shuffles_dropped, stage
 from trialflow.sources import schemas
 from trialflow.sources.files import CSV_OPTIONS, JSON_OPTIONS, SourceSpec, ingest, ingest_all
 from trialflow.sources.tables import ensure_schema, read_table, write_table
@@ -482,7 +482,10 @@ def ttest_by_segment_control_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_job(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Feeds written as gzip JSON, gzip CSV and plain CSV, and all stages run from these files."""
+    """Feeds written as gzip JSON, gzip CSV and plain CSV, and all stages run from these files.
+
+    The files go once the raw tables hold what is in them.
+    """
     feed, root = feeds.load(spark, sf_dir), scratch_path(spark, "feeds")
     unknown = F.lit(None).cast("string")
     consumers = feed.consumers.withColumns(
@@ -497,13 +500,17 @@ def run_job(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ),
     }
 
+    def drop_feeds() -> None:
+        for spec in registry.values():
+            remove(spark, spec.path)
+
     with shuffles_dropped(spark):
         feed.orders.write.options(compression="gzip", **JSON_OPTIONS).json(f"{root}/orders")
         consumers.write.options(compression="gzip", **CSV_OPTIONS).csv(f"{root}/consumers")
         feed.restaurants.write.options(compression="gzip", **CSV_OPTIONS).csv(f"{root}/restaurants")
         feed.assignment.write.options(**CSV_OPTIONS).csv(f"{root}/assignment")
         layout = medallion.Layout(_new_schema(spark), _new_schema(spark), _new_schema(spark))
-        return medallion.run(spark, registry, END, layout)
+        return medallion.run(spark, registry, END, layout, on_bronze=drop_feeds)
 
 
 # Query -> stored result of the whole job, and how it is cut to a grid.

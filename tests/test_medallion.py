@@ -204,3 +204,10 @@ def test_feeds_may_go_once_the_raw_tables_are_stored(spark, stored, tmp_path):
     results = medallion.run(spark, registry, REF, layout("gone"), on_bronze=drop)
     assert not os.listdir(tmp_path)
     assert results["integrity"].collect() == stored[0]["integrity"].collect()
+
+
+def test_the_cleaned_orders_are_checked_once(spark, tmp_path, monkeypatch):
+    held, real = [], medallion.q.enforce
+    monkeypatch.setattr(medallion.q, "enforce", lambda report: held.append(report) or real(report))
+    medallion.run(spark, write_feeds(tmp_path), REF, layout("once"))
+    assert len(held) == 2 and not any("Aggregate" in r._jdf.queryExecution().executedPlan().toString() for r in held)

@@ -20,7 +20,7 @@ from trialflow.operators.carts import cart_features
 from trialflow.operators.dedup import dedup_latest
 from trialflow.operators.skew import HOT_ROWS
 from trialflow.plans.naming import legacy_abt, legacy_summary, own_abt, own_names, same_naming
-from trialflow.session import pin_utc, run_scope, shuffles_dropped
+from trialflow.session import pin_utc, run_scope, shuffles_dropped, stage
 from trialflow.sources.files import QUARANTINE_SUFFIX, SourceSpec, ingest_all
 from trialflow.sources.tables import ensure_schema, write_table
 
@@ -138,6 +138,7 @@ def _silver(spark, layout, tz_col, enforce, load_severity, hot_rows, chunk_rows,
     write_table(clean_orders(orders, [tz_col] if tz_col else []), cleaned_name)
     cleaned = spark.table(cleaned_name)
     checked = q.quality_report(q.table_checks(cleaned, "cleaned orders", unique=["order_id"]))
+    checked = stage(checked, "cleaned-checks")
     checked.write.mode("append").saveAsTable(report_name)
     if enforce:
         q.enforce(checked)

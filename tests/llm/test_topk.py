@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from frames import shuffle_files
 
 from trialflow.llm import registry, topk
 
@@ -103,3 +104,65 @@ def test_the_query_scores_terms_that_one_text_alone_has(spark, tmp_path):
     assert got[0, 1] == (0, pytest.approx(2 * idf * 2.2 / (1 + norm), abs=2e-6))
     assert got[100, 1] == (100, pytest.approx((idf + math.log(2)) * 2.2 / (1 + norm), abs=2e-6))
     assert got[100, 2][0] == 101
+
+
+def like_blocks(n=64 * 12, n_terms=30, seed=5):
+    """Common terms in half of all texts each, alike in all blocks, and two rare ones."""
+    rng = np.random.default_rng(seed)
+    sizes, posts, lengths = rng.integers(40, 200, n), [], []
+    for t in range(n_terms + 2):
+        places = np.flatnonzero(rng.random(n) < (0.5 if t < n_terms else 0.02))
+        own = np.zeros(len(places), topk._POSTING)
+        own["place"], own["tf"] = places, rng.integers(1, 4, len(places))
+        posts.append(own)
+        lengths.append(len(own))
+    return np.arange(n) * 3, sizes, np.arange(n_terms + 2), np.array(lengths), np.concatenate(posts), np.arange(n_terms)
+
+
+def test_texts_of_blocks_that_are_not_ruled_out_get_closer_bounds(monkeypatch):
+    """The bounds of the blocks rule nothing out here; still only texts near the k-th best are scored exactly."""
+    *table, common = like_blocks()
+    shard = topk.Shard(*table, 100.0, common)
+    scored, real = [], topk.Shard.common_scores
+    monkeypatch.setattr(topk.Shard, "common_scores", lambda self, r, w, p: scored.extend(p.tolist()) or real(self, r, w, p))
+    weights = np.random.default_rng(6).random(32) + 0.5
+    got = topk.block_max_wand(shard, np.arange(32), weights, 10)
+    everything = topk.Shard(*table, 100.0, np.arange(32))
+    total = np.round(real(everything, np.arange(32), weights, np.arange(len(table[0]))), topk.DIGITS)
+    best = np.lexsort((np.arange(len(total)), -total))[:10]
+    assert [d for _, d in got] == (best * 3).tolist() and [s for s, _ in got] == pytest.approx(total[best])
+    assert len(scored) <= topk.FIRST_TEXTS + 20
+
+
+@pytest.mark.parametrize("batch, cells", [(256, 1 << 24), (3, 1 << 24), (256, 1), (2, 30 * 64 * 5)])
+def test_batches_of_queries_and_parts_of_a_shard_change_no_answer(monkeypatch, batch, cells):
+    *table, common = like_blocks()
+    rng = np.random.default_rng(7)
+    terms = [np.sort(rng.choice(34, n, replace=False)) for n in (1, 5, 20, 32, 2, 7, 0)]
+    first = np.concatenate(([0], np.cumsum([len(t) for t in terms])))
+    asked = topk.Queries(np.arange(len(terms)), first, np.concatenate(terms), rng.random(first[-1]) + 0.2, common)
+    whole = topk.Shard(*table, 100.0, common)
+    want = {}
+    for q, (i, j) in enumerate(zip(first[:-1], first[1:])):
+        rows = whole.rows_of(asked.terms[i:j])
+        found = topk.block_max_wand(whole, rows[rows >= 0], asked.weights[i:j][rows >= 0], 10)
+        want |= {q: found} if found else {}
+    monkeypatch.setattr(topk, "BATCH", batch)
+    monkeypatch.setattr(topk, "DENSE_CELLS", cells)
+    parts = list(topk._cut(*table, common))
+    assert (len(parts) > 1) == (cells < 1 << 24) and sum(len(p[0]) for p in parts) == len(table[0])
+    got = {}
+    for part in parts:
+        for q, found in topk.search_shard(topk.Shard(*part, 100.0, common), asked, 10, [topk._NO_FLOOR] * len(terms)):
+            got[q] = sorted(got.get(q, []) + found, key=lambda x: (-x[0], x[1]))[:10]
+    assert {q: [d for _, d in f] for q, f in got.items()} == {q: [d for _, d in f] for q, f in want.items()}
+    assert {q: [s for s, _ in f] for q, f in got.items()} == {q: pytest.approx([s for s, _ in f], abs=2e-6) for q, f in want.items()}
+
+
+def test_a_search_leaves_no_shuffle_files(spark):
+    docs = spark.createDataFrame(texts(), "doc_id long, text string")
+    index = topk.build_index(docs)
+    before = shuffle_files(spark)
+    found = topk.search(index, docs.filter("doc_id % 10 = 0"))
+    assert shuffle_files(spark, before) <= before
+    assert found.count() > 0

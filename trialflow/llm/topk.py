@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialflow.llm import text as tx
-from trialflow.session import stage
+from trialflow.session import shuffles_dropped, stage
 
 K1, B = 1.2, 0.75
 #: Postings after which a shard is closed; a task holds the postings of one shard.
@@ -23,12 +23,17 @@ SHARD_POSTINGS = 1_000_000
 BLOCK = 64
 #: Texts, those with the highest bounds, that are scored before the others are compared with the k-th best.
 FIRST_TEXTS = 64
-#: Terms of distinct queries that one broadcast holds, about; more go in blocks of whole queries.
-BLOCK_TERMS = 1_000_000
+#: Terms of distinct queries that one broadcast holds, about (64 MB); more go in blocks of whole queries, each of which
+#: reads the index again.
+BLOCK_TERMS = 4_000_000
 #: Shards are searched in waves; each makes the number of searched shards so many times as large.
 WAVE = 8
 #: A term that this share of all texts has is common: its blocks are bounded first. Rarer terms are scored as a whole.
-COMMON = 1 / 5
+COMMON = 1 / 20
+#: Queries that a shard answers at a time, and the cells that their scores may take.
+BATCH, BATCH_CELLS = 256, 1 << 20
+#: Texts, at least, that one product of matrices bounds; and cells of a matrix of common terms, beyond which a shard is cut.
+GROUP, DENSE_CELLS = 256, 1 << 24
 #: Bits of a shard's random name.
 _NAME_BITS = 62
 #: Scores are compared after rounding, so that equal texts tie in every shard.
@@ -160,7 +165,11 @@ def _tf_part(tf, size, average: float):
 
 
 class Shard:
-    """A shard's lists for the terms asked for, with the bound of each block of texts for each common term."""
+    """A shard's lists for the terms asked for, with the bound of each block of texts for each common term.
+
+    Common terms also stand in a matrix of single precision, from which texts of blocks that the
+    bounds do not rule out get bounds of their own, many queries at a time.
+    """
 
     def __init__(self, ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, lengths: np.ndarray, posts: np.ndarray, average: float, common: np.ndarray) -> None:
         self.ids, self.terms = ids, terms
@@ -180,9 +189,13 @@ class Shard:
         if len(starts):
             bounds[cell[starts]] = np.maximum.reduceat(self.parts[at], starts)
         self.bounds = bounds.reshape(len(some), self.n_blocks)
+        self.dense = np.zeros((len(some), len(ids)), np.float32)
+        self.dense[row, place] = self.parts[at]
+        #: What a sum of products in single precision may fall short of the exact one: every factor is positive.
+        self.single = 1 + (len(some) + 8) * 2.0**-22
         #: The common terms of each text, one text after the other.
-        by_text = np.argsort(place, kind="stable")
-        self.text_first = np.searchsorted(place[by_text], np.arange(len(ids) + 1))
+        by_text = np.argsort(place.astype(np.uint16) if len(ids) <= 1 << 16 else place, kind="stable")
+        self.text_first = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(ids)))))
         self.text_rows, self.text_parts = row[by_text], self.parts[at][by_text]
 
     def rows_of(self, terms: np.ndarray) -> np.ndarray:
@@ -192,11 +205,22 @@ class Shard:
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         return np.where(self.terms[at] == terms, at, -1)
 
-    def rare_scores(self, rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """What the lists of some terms add to the score of each text."""
+    def rare_scores(self, rows: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """What the lists of some terms add to the score of (query, text); ``first`` tells each query's terms."""
         n = self.first[rows + 1] - self.first[rows]
-        at = _ranges(self.first[rows], n)
-        return np.bincount(self.places[at], np.repeat(weights, n) * self.parts[at], len(self.ids))
+        end = np.concatenate(([0], np.cumsum(n)))
+        postings = np.diff(end[first])
+        number = np.arange(postings.max(initial=0))
+        # Where a list begins, less the number of the query's postings before it.
+        shift = self.first[rows] - end[:-1] + np.repeat(end[first[:-1]], np.diff(first))
+        out = np.empty((len(postings), len(self.ids)))
+        for q, (i, j, size) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), postings.tolist())):
+            at = shift[i:j].repeat(n[i:j])
+            at += number[:size]
+            part = self.parts.take(at)
+            part *= weights[i:j].repeat(n[i:j])
+            out[q] = np.bincount(self.places.take(at), part, len(self.ids))
+        return out
 
     def common_scores(self, rows: np.ndarray, weights: np.ndarray, places: np.ndarray) -> np.ndarray:
         """What common terms (rows of the bounds) add to the scores of some texts."""
@@ -206,6 +230,38 @@ class Shard:
         at = _ranges(self.text_first[places], n)
         return np.bincount(np.repeat(np.arange(len(places)), n), weight[self.text_rows[at]] * self.text_parts[at], len(places))
 
+    def text_bounds(self, base: np.ndarray, weights: np.ndarray, floors: np.ndarray) -> np.ndarray:
+        """What each text can score at most for each query, -inf if the bound of its blocks rules it out.
+
+        ``base`` has what rare terms add to (query, text), ``weights`` the query's weights of the common
+        terms (rows of the bounds).
+        """
+        ceiling = weights @ self.bounds
+        best = np.maximum.reduceat(base, np.arange(self.n_blocks) * BLOCK, axis=1) + ceiling
+        able = (best + _SLACK > floors[:, None]) & (best > 0)
+        single, bound = weights.astype(np.float32), np.full(base.shape, -math.inf)
+        step = max(1, GROUP // BLOCK)
+        for b in range(0, self.n_blocks, step):
+            some = np.flatnonzero(able[:, b : b + step].any(axis=1))
+            if len(some):
+                texts = slice(b * BLOCK, (b + step) * BLOCK)
+                bound[some, texts] = base[some, texts] + (single[some] @ self.dense[:, texts]) * self.single
+        return bound
+
+
+def _cut(ids: np.ndarray, sizes: np.ndarray, terms: np.ndarray, lengths: np.ndarray, posts: np.ndarray, common: np.ndarray) -> Iterator[tuple]:
+    """A shard's texts in parts, one after the other, so that no matrix of its common terms exceeds DENSE_CELLS."""
+    n = max(1, DENSE_CELLS // max(1, np.isin(terms, common).sum() * BLOCK)) * BLOCK
+    if len(ids) <= n:
+        yield ids, sizes, terms, lengths, posts
+        return
+    row = np.repeat(np.arange(len(terms)), lengths)
+    for i in range(0, len(ids), n):
+        own = (posts["place"] >= i) & (posts["place"] < i + n)
+        held, some = np.bincount(row[own], minlength=len(terms)), posts[own]
+        some["place"] -= i
+        yield ids[i : i + n], sizes[i : i + n], terms[held > 0], held[held > 0], some
+
 
 def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The numbers first, first + 1, ... of each range, one range after the other."""
@@ -217,28 +273,44 @@ def block_max_wand(shard: Shard, rows: np.ndarray, weights: np.ndarray, k: int,
 
     ``floor`` is the k-th best answer of other shards; what comes after it is left out. Rare terms are
     scored for all texts. What a text can score at most is that and what the common terms' bounds
-    of its block add up to. Blocks in which no text can reach the k-th best score are skipped, and
-    so are texts; those with the highest bounds are scored first, to raise the k-th best.
+    of its block add up to. Blocks in which no text can reach the k-th best score are skipped; texts
+    of the others get closer bounds, and are skipped by these; those with the highest bounds are scored first, to raise the k-th best.
     """
-    bounded = shard.bounded[rows]
-    common, own = bounded[bounded >= 0], weights[bounded >= 0]
-    base = shard.rare_scores(rows[bounded < 0], weights[bounded < 0])
-    ceiling = own @ shard.bounds[common]
-    best = np.maximum.reduceat(base, np.arange(shard.n_blocks) * BLOCK) + ceiling
-    blocks = np.flatnonzero((best + _SLACK > floor[0]) & (best > 0))
-    places = (blocks[:, None] * BLOCK + np.arange(BLOCK)[None, :]).ravel()
-    places = places[places < len(base)]
-    bound = base[places] + ceiling[places // BLOCK]
+    return next(_block_max_wand(shard, rows, weights, np.array([0, len(rows)]), k, [floor]))
+
+
+def _block_max_wand(shard: Shard, rows: np.ndarray, weights: np.ndarray, first: np.ndarray, k: int, floors: list[tuple[float, int]]) -> Iterator[list[tuple[float, int]]]:
+    """The k best of a shard for each of some queries, whose terms stand one after the other; -1 for terms that the shard lacks."""
+    query = np.repeat(np.arange(len(floors)), np.diff(first))
+    bounded = np.where(rows >= 0, shard.bounded[rows], -2)
+    rare, known = np.flatnonzero(bounded == -1), np.flatnonzero(bounded >= 0)
+    base = shard.rare_scores(rows[rare], weights[rare], np.searchsorted(query[rare], np.arange(len(floors) + 1)))
+    common = np.zeros((len(floors), len(shard.bounds)))
+    common[query[known], bounded[known]] = weights[known]
+    least = np.array([f[0] for f in floors])
+    bound = shard.text_bounds(base, common, least)
+    who, place = np.nonzero(bound > np.maximum(least - _SLACK, 0)[:, None])
+    cuts = np.searchsorted(who, np.arange(len(floors) + 1)).tolist()
+    for q, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+        if i == j:
+            yield []
+            continue
+        places, used = place[i:j], np.flatnonzero(common[q])
+        yield _best_texts(shard, places, base[q, places], bound[q, places], used, common[q, used], k, floors[q])
+
+
+def _best_texts(shard: Shard, places: np.ndarray, base: np.ndarray, bound: np.ndarray, common: np.ndarray, own: np.ndarray, k: int, floor: tuple[float, int]) -> list[tuple[float, int]]:
+    """The k best of some texts for one query, given what rare terms add to each and what it can score at most."""
     ids, scores = np.zeros(0, np.int64), np.zeros(0)
     for last in (False, True):
-        able = (bound + _SLACK > (scores[-1] if len(ids) == k else floor[0])) & (bound > 0)
-        places, bound = places[able], bound[able]
+        able = bound + _SLACK > (scores[-1] if len(ids) == k else floor[0])
+        places, base, bound = places[able], base[able], bound[able]
         if len(places) == 0:
             break
         taken = np.arange(len(places))
         if not last and len(places) > FIRST_TEXTS:
             taken = np.argpartition(-bound, FIRST_TEXTS)[:FIRST_TEXTS]
-        total = base[places[taken]] + shard.common_scores(common, own, places[taken])
+        total = base[taken] + shard.common_scores(common, own, places[taken])
         more, who = np.round(total, DIGITS), shard.ids[places[taken]]
         good = (who != _NO_ID) & (total > 0) & ((more > floor[0]) | ((more == floor[0]) & (who <= floor[1])))
         ids, scores = np.concatenate((ids, who[good])), np.concatenate((scores, more[good]))
@@ -249,7 +321,7 @@ def block_max_wand(shard: Shard, rows: np.ndarray, weights: np.ndarray, k: int,
         ids, scores = ids[order], scores[order]
         rest = np.ones(len(places), bool)
         rest[taken] = False
-        places, bound = places[rest], bound[rest]
+        places, base, bound = places[rest], base[rest], bound[rest]
     return list(zip(scores.tolist(), ids.tolist()))
 
 
@@ -278,14 +350,16 @@ class Queries:
 
 def search_shard(shard: Shard, asked: Queries, k: int, floors: list[tuple[float, int]]) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """(number of the query, its answers) of all queries that the shard has answers to."""
-    if len(shard.ids) == 0:
+    if len(shard.ids) == 0 or len(shard.terms) == 0:
         return
     rows = shard.rows_of(asked.terms)
-    for q, (i, j) in enumerate(zip(asked.first[:-1].tolist(), asked.first[1:].tolist())):
-        held = rows[i:j] >= 0
-        found = block_max_wand(shard, rows[i:j][held], asked.weights[i:j][held], k, floors[q]) if held.any() else []
-        if found:
-            yield q, found
+    step = max(1, min(BATCH, BATCH_CELLS // len(shard.ids)))
+    for q in range(0, len(asked.names), step):
+        first = asked.first[q : q + step + 1]
+        own = slice(first[0], first[-1])
+        for n, found in enumerate(_block_max_wand(shard, rows[own], asked.weights[own], first - first[0], k, floors[q : q + step]), q):
+            if found:
+                yield n, found
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", block_terms: int = BLOCK_TERMS, min_df: int = 2) -> DataFrame:
@@ -304,6 +378,13 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc
     must hold one text; ties of score go to the smaller doc_id; rows that repeat a doc_id are
     scored each by itself and answered each with a rank of its own.
     """
+    with shuffles_dropped(index.sparkSession):
+        terms, best = _search(index, queries, k, id_col, text_col, block_terms, min_df)
+    return terms.select(F.col("query").alias("query_id"), "same").join(best, F.col("same") == F.col("query")).select("query_id", "rank", "doc_id", "score")
+
+
+def _search(index: DataFrame, queries: DataFrame, k: int, id_col: str, text_col: str, block_terms: int, min_df: int) -> tuple[DataFrame, DataFrame]:
+    """Each query's terms and the name of its distinct query, and the answers of these, as written tables."""
     sizes = index.filter("term IS NULL").agg(F.sum("n_docs"), F.sum("n_words"), F.count("*")).first()
     n_docs, n_words = sizes[0] or 0, sizes[1] or 0
     average = n_words / n_docs if n_words else 1.0
@@ -321,7 +402,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc
         own = distinct.filter(F.pmod("same", F.lit(n_blocks)) == b)
         part = _search_block(index, own, k, average, sizes[2])
         best = part if best is None else best.unionByName(part)
-    return terms.select(F.col("query").alias("query_id"), "same").join(best, F.col("same") == F.col("query")).select("query_id", "rank", "doc_id", "score")
+    return terms, best
 
 
 def _waves(n_shards: int) -> list[tuple[int, int, int]]:
@@ -365,11 +446,12 @@ def _search_wave(lists: DataFrame, shared: Broadcast, limits: Broadcast, k: int,
             terms = np.concatenate([h[0] for h in held]) if held else np.zeros(0, np.int64)
             posts = np.concatenate([h[1] for h in held]) if held else np.zeros(0, _POSTING)
             lengths = np.concatenate([h[2] for h in held]) if held else np.zeros(0, np.int64)
-            shard, out = Shard(*table, terms, lengths, posts, average, shared.value.common), []
-            for q, found in search_shard(shard, shared.value, k, floors):
-                out += [(shared.value.names[q], d, s) for s, d in found]
-                if len(found) == k:
-                    floors[q] = found[-1]
+            common, out = shared.value.common, []
+            for part in _cut(*table, terms, lengths, posts, common):
+                for q, found in search_shard(Shard(*part, average, common), shared.value, k, floors):
+                    out += [(shared.value.names[q], d, s) for s, d in found]
+                    if len(found) == k:
+                        floors[q] = found[-1]
             return pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query", "doc_id", "score"])
 
         for batch in batches:

@@ -140,12 +140,13 @@ def test_batches_of_queries_and_parts_of_a_shard_change_no_answer(monkeypatch, b
     rng = np.random.default_rng(7)
     terms = [np.sort(rng.choice(34, n, replace=False)) for n in (1, 5, 20, 32, 2, 7, 0)]
     first = np.concatenate(([0], np.cumsum([len(t) for t in terms])))
-    asked = topk.Queries(np.arange(len(terms)), first, np.concatenate(terms), rng.random(first[-1]) + 0.2, common)
+    asked = topk.Queries.of(np.arange(len(terms)), first, np.concatenate(terms), (rng.random(34) + 0.2)[np.concatenate(terms)], common)
     whole = topk.Shard(*table, 100.0, common)
     want = {}
     for q, (i, j) in enumerate(zip(first[:-1], first[1:])):
-        rows = whole.rows_of(asked.terms[i:j])
-        found = topk.block_max_wand(whole, rows[rows >= 0], asked.weights[i:j][rows >= 0], 10)
+        own = asked.numbers[i:j]
+        rows = whole.rows_of(asked.terms[own])
+        found = topk.block_max_wand(whole, rows[rows >= 0], asked.weights[own][rows >= 0], 10)
         want |= {q: found} if found else {}
     monkeypatch.setattr(topk, "BATCH", batch)
     monkeypatch.setattr(topk, "DENSE_CELLS", cells)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,6 +67,13 @@ def _slices(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
+def _bytes(values: pa.Array) -> pa.Buffer:
+    """The bytes of all binary values, one value after the other."""
+    offsets = np.frombuffer(values.buffers()[1], np.int64 if pa.types.is_large_binary(values.type) else np.int32)
+    first, last = int(offsets[values.offset]), int(offsets[values.offset + len(values)])
+    return values.buffers()[2].slice(first, last - first)
+
+
 def _leading_terms(row: np.ndarray, term: np.ndarray, tf: np.ndarray, n: int) -> list[np.ndarray]:
     """The three most frequent terms of each text, which tell languages and kinds of text apart."""
     order = np.lexsort((term, -tf, row))
@@ -239,13 +247,14 @@ class Shard:
         ceiling = weights @ self.bounds
         best = np.maximum.reduceat(base, np.arange(self.n_blocks) * BLOCK, axis=1) + ceiling
         able = (best + _SLACK > floors[:, None]) & (best > 0)
-        single, bound = weights.astype(np.float32), np.full(base.shape, -math.inf)
+        single, bound = (weights * self.single).astype(np.float32), np.full(base.shape, -math.inf)
         step = max(1, GROUP // BLOCK)
         for b in range(0, self.n_blocks, step):
             some = np.flatnonzero(able[:, b : b + step].any(axis=1))
             if len(some):
+                some = slice(None) if len(some) == len(base) else some
                 texts = slice(b * BLOCK, (b + step) * BLOCK)
-                bound[some, texts] = base[some, texts] + (single[some] @ self.dense[:, texts]) * self.single
+                bound[some, texts] = base[some, texts] + single[some] @ self.dense[:, texts]
         return bound
 
 
@@ -327,37 +336,47 @@ def _best_texts(shard: Shard, places: np.ndarray, base: np.ndarray, bound: np.nd
 
 @dataclass
 class Queries:
-    """A block of distinct queries: their names, and their terms and weights one after the other; and all common terms."""
+    """A block of distinct queries: their names, and the places of their terms in a sorted table of terms, one after the other.
+
+    The table has a weight for each term; ``common`` are all common terms.
+    """
 
     names: np.ndarray
     first: np.ndarray
+    numbers: np.ndarray
     terms: np.ndarray
     weights: np.ndarray
     common: np.ndarray
 
+    @classmethod
+    def of(cls, names: np.ndarray, first: np.ndarray, terms: np.ndarray, weights: np.ndarray, common: np.ndarray) -> Queries:
+        """From the queries' terms and weights, one after the other; a term has one weight wherever it stands."""
+        table, at, numbers = np.unique(terms, return_index=True, return_inverse=True)
+        return cls(names, first, numbers.astype(np.int32), table, weights[at], common)
+
     @classmethod
     def read(cls, rows: DataFrame) -> Queries:
-        """Of (same, terms): one Arrow table of numbers on the driver. A query's rare terms come first."""
+        """Of (same, terms): one Arrow table of numbers on the driver."""
         table = rows.select("same", F.col("terms.term").alias("term"), F.col("terms.idf").alias("idf"), F.col("terms.common").alias("common")).toArrow()
         if table.num_rows == 0:
             none = np.zeros(0, np.int64)
-            return cls(none, np.zeros(1, np.int64), none, np.zeros(0), none)
+            return cls.of(none, np.zeros(1, np.int64), none, np.zeros(0), none)
         term, idf, common = (table.column(c).combine_chunks() for c in ("term", "idf", "common"))
         first = np.concatenate(([0], np.cumsum(np.array(term.value_lengths(), np.int64))))
         terms, weights = (c.flatten().to_numpy(zero_copy_only=False) for c in (term, idf))
-        return cls(table.column("same").to_numpy(), first, terms, weights, np.unique(terms[common.flatten().to_numpy(zero_copy_only=False)]))
+        return cls.of(table.column("same").to_numpy(), first, terms, weights, np.unique(terms[common.flatten().to_numpy(zero_copy_only=False)]))
 
 
 def search_shard(shard: Shard, asked: Queries, k: int, floors: list[tuple[float, int]]) -> Iterator[tuple[int, list[tuple[float, int]]]]:
     """(number of the query, its answers) of all queries that the shard has answers to."""
     if len(shard.ids) == 0 or len(shard.terms) == 0:
         return
-    rows = shard.rows_of(asked.terms)
+    row = shard.rows_of(asked.terms)
     step = max(1, min(BATCH, BATCH_CELLS // len(shard.ids)))
     for q in range(0, len(asked.names), step):
         first = asked.first[q : q + step + 1]
-        own = slice(first[0], first[-1])
-        for n, found in enumerate(_block_max_wand(shard, rows[own], asked.weights[own], first - first[0], k, floors[q : q + step]), q):
+        own = asked.numbers[first[0] : first[-1]]
+        for n, found in enumerate(_block_max_wand(shard, row[own], asked.weights[own], first - first[0], k, floors[q : q + step]), q):
             if found:
                 yield n, found
 
@@ -468,9 +487,9 @@ def _search_wave(lists: DataFrame, shared: Broadcast, limits: Broadcast, k: int,
                     table = np.frombuffer(part.column("postings")[0].as_py(), "<i8"), np.frombuffer(part.column("sizes")[0].as_py(), "<i4")
                     part = part.slice(1)
                 if part.num_rows:
-                    lists_of = part.column("postings").to_pylist()
-                    lengths = np.array([len(p) for p in lists_of]) // _POSTING.itemsize
-                    held.append((part.column("term").to_numpy(), np.frombuffer(b"".join(lists_of), _POSTING), lengths))
+                    lists_of = part.column("postings")
+                    lengths = pc.binary_length(lists_of).to_numpy().astype(np.int64) // _POSTING.itemsize
+                    held.append((part.column("term").to_numpy(), np.frombuffer(_bytes(lists_of), _POSTING), lengths))
         if name is not None:
             yield finish()
 

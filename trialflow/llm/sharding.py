@@ -58,7 +58,7 @@ def shuffle_into_shards(
 ) -> DataFrame:
     """``records`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in each shard).
 
-    Pass one scatters rows by a seeded hash of id and text into buckets of about ``bucket_bytes``;
+    Pass one scatters rows by a seeded hash of id and text into buckets of about ``bucket_bytes``, or CROWDED_ROWS short rows;
     pass two gives the rows of each bucket, numbered in a fixed order, a Fisher-Yates permutation
     of the positions that belong to the bucket. Position p goes to shard p mod n_shards, slot
     p div n_shards, so that shard sizes are at most one row apart. The permutations are a written
@@ -74,7 +74,7 @@ def shuffle_into_shards(
     """
     records = records.drop("shard", "slot")
     total, n_rows = records.agg(F.sum(record_bytes(text_col)), F.count("*")).first()
-    n_buckets = max(MIN_BUCKETS, math.ceil((total or 0) / bucket_bytes))
+    n_buckets = max(MIN_BUCKETS, math.ceil((total or 0) / bucket_bytes), math.ceil(n_rows / CROWDED_ROWS))
     of_hash = F.pmod(F.xxhash64(F.lit(seed + 1), "__hash", "__salt"), F.lit(n_buckets))
     packed = records.select(F.struct("*").alias("__row"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__hash"), F.col(id_col).alias("__id"))
     scattered = packed.withColumn("__salt", F.lit(0).cast("long")).withColumn("__bucket", of_hash)
